@@ -1,0 +1 @@
+"""Intentionally empty: the modelled analyses are batch only (see README)."""
