@@ -33,36 +33,42 @@ def sector_code(code: ColumnOrName) -> Column:
     return F.when(F.length(text) < 2, F.lpad(text, 2, "0")).otherwise(text)
 
 
+def has_code(code: ColumnOrName, *codes: str) -> Column:
+    """Whether a code is one of those listed, with or without its leading zero."""
+    spellings = dict.fromkeys(s for c in codes for s in (c, c.lstrip("0")))
+    return F.trim(as_column(code).cast("string")).isin(*spellings)
+
+
 def period(month: ColumnOrName = "LANDING_MONTH") -> Column:
     """Two-month period 1..6."""
     return F.ceil(as_column(month) / 2).cast("int")
 
 
 def fleet(code: ColumnOrName = "DAHL_GROUNDFISH_CODE") -> Column:
-    code = sector_code(code)
-    return F.when(code.isin(*LIMITED_ENTRY_CODES), "LE").when(code.isin(*OPEN_ACCESS_CODES), "OA")
+    return F.when(has_code(code, *LIMITED_ENTRY_CODES), "LE").when(
+        has_code(code, *OPEN_ACCESS_CODES), "OA"
+    )
 
 
 def fleet_or_default(code: ColumnOrName = "DAHL_GROUNDFISH_CODE") -> Column:
-    return if_known(sector_code(code).isin(*LIMITED_ENTRY_CODES), "LE", "OA")
+    return if_known(has_code(code, *LIMITED_ENTRY_CODES), "LE", "OA")
 
 
 def sector(code: ColumnOrName = "DAHL_GROUNDFISH_CODE") -> Column:
-    code = sector_code(code)
-    return F.when(code.isin(*NEARSHORE_CODES), "NS").when(
-        code.isin(*NON_NEARSHORE_CODES), "NON-NS"
+    return F.when(has_code(code, *NEARSHORE_CODES), "NS").when(
+        has_code(code, *NON_NEARSHORE_CODES), "NON-NS"
     )
 
 
 def nearshore_only(code: ColumnOrName = "DAHL_GROUNDFISH_CODE") -> Column:
-    return F.when(sector_code(code).isin(*NEARSHORE_CODES), "NS")
+    return F.when(has_code(code, *NEARSHORE_CODES), "NS")
 
 
 def sector_by_state(
     code: ColumnOrName = "DAHL_GROUNDFISH_CODE", agency: ColumnOrName = "AGENCY_CODE"
 ) -> Column:
     nearshore_state = if_known(as_column(agency) == "O", "OR_NS", "CAL_NS")
-    return if_known(sector_code(code).isin(*NON_NEARSHORE_CODES), "NON_NS", nearshore_state)
+    return if_known(has_code(code, *NON_NEARSHORE_CODES), "NON_NS", nearshore_state)
 
 
 def area(

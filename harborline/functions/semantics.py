@@ -7,6 +7,8 @@ missing value are missing, so a conditional on one is missing rather than false.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,9 +48,21 @@ def sum_known(value: ColumnOrName) -> Column:
     return F.coalesce(F.sum(as_column(value)), F.lit(0))
 
 
+def is_floating(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+
+
 def complete_cases(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows without null or NaN in the given columns (all columns by default)."""
-    return df.dropna("any", subset=list(columns) if columns is not None else None)
+    """Rows without null or NaN in the given columns (all columns by default).
+
+    One condition per column, so that each moves down to the table its column comes from.
+    """
+    tests = []
+    for name in df.columns if columns is None else columns:
+        tests.append(F.col(name).isNotNull())
+        if is_floating(df, name):
+            tests.append(~F.isnan(name))
+    return df.filter(reduce(and_, tests)) if tests else df
 
 
 def fill_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -58,6 +72,4 @@ def fill_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 def known(df: DataFrame, name: str) -> Column:
     """The column with NaN read as null; only floating-point columns can hold NaN."""
-    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        return nan_to_null(name)
-    return F.col(name)
+    return nan_to_null(name) if is_floating(df, name) else F.col(name)

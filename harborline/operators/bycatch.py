@@ -29,18 +29,13 @@ def bin_table(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
 def bycatch_tons(
     projected: DataFrame, bins: DataFrame, region: str, columns: Mapping[str, str]
 ) -> DataFrame:
-    """Tons of bycatch per ton landed, summed over the bins of one region.
+    """Tons of bycatch that come with the tons landed, summed over the bins of one region.
 
-    The bins reduce to one coefficient per region, joined on the region.
+    The bins reduce to one coefficient, read as a scalar subquery: no join.
     """
     share = F.col("CATCH_SHARE") * F.col("DISCARD_RATIO") * F.col("MORTALITY")
-    coefficients = bins.groupBy("REGION").agg(F.sum(share).alias("PER_TON"))
-    return (
-        projected.withColumn("REGION", F.lit(region))
-        .join(F.broadcast(coefficients), "REGION", "inner")
-        .withColumns({name: F.col(tons) * F.col("PER_TON") for name, tons in columns.items()})
-        .drop("REGION", "PER_TON")
-    )
+    per_ton = bins.filter(F.col("REGION") == region).agg(F.sum(share)).scalar()
+    return projected.withColumns({name: F.col(tons) * per_ton for name, tons in columns.items()})
 
 
 def extra_bycatch(df: DataFrame, base: str, columns: Mapping[str, str]) -> DataFrame:

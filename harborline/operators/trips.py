@@ -25,9 +25,11 @@ def species_side_by_side(
 
     ``species`` maps output columns to species names. Conditional sums need one exchange
     where a pivot needs two, and they pre-aggregate on the map side. Rows with a missing
-    key, species or weight do not count, not even towards the existence of a trip.
+    key or weight and rows of other species do not count, not even towards the existence
+    of a trip.
     """
-    complete = complete_cases(tickets, [*keys, species_column, weight])
+    listed = tickets.filter(F.col(species_column).isin(*species.values()))
+    complete = complete_cases(listed, [*keys, weight])
     return complete.groupBy(*keys).agg(
         *(
             sum_known(F.when(F.col(species_column) == name, known(tickets, weight))).alias(column)

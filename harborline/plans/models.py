@@ -25,7 +25,7 @@ Rules = Mapping[str, Mapping[str, tuple[str, float]]]
 
 
 def in_groundfish_sectors() -> Column:
-    return labels.sector_code("DAHL_GROUNDFISH_CODE").isin(*labels.GROUNDFISH_CODES)
+    return labels.has_code("DAHL_GROUNDFISH_CODE", *labels.GROUNDFISH_CODES)
 
 
 def grains_of(schedules: Sequence[LimitSchedule]) -> dict[str, str]:
@@ -364,10 +364,12 @@ def zone_totals(
     group: str = "SPTH",
     year: int | None = 2023,
     grains: Mapping[str, str] | None = None,
+    monthly_totals: bool = False,
     species_column: str = SPECIES,
 ) -> DataFrame:
     """Landed pounds per vessel, period and subarea. ``grains`` gives the period of each
     fleet; the open access fleet is told apart by registration rather than vessel number.
+    ``monthly_totals`` keeps the months of a two-month period apart.
     """
     grains = grains or {"LE": "two_month", "OA": "two_month"}
     scoped = tickets.filter(F.col(species_column).isin(*species))
@@ -387,6 +389,8 @@ def zone_totals(
         .withColumn("PERIOD", totals.fleet_period(grains))
     )
     keys = ["VESSEL", "PERIOD", "SUBAREA", "AREA", "TYPE", "SECTOR", "LANDING_YEAR", "SPPGROUP"]
+    if monthly_totals:
+        keys.append("LANDING_MONTH")
     return totals.vessel_totals(labelled, keys, weight="LANDED_WEIGHT_LBS")
 
 
@@ -438,18 +442,23 @@ def zones_model(
     tickets: DataFrame,
     schedules: Sequence[LimitSchedule] = P.ZONE_LIMITS,
     rules: Rules = P.ZONE_RULES,
-    grains: Mapping[str, str] | None = None,
+    monthly_totals: bool = False,
     **scope_options,
 ) -> DataFrame:
     """Fleets by latitude zone, limits raised or lowered.
 
-    Totals and limits must have the same grain. A scenario without a limit in a zone is
-    null there.
+    Totals have the grain of their limits. With ``monthly_totals`` they are monthly
+    whatever the limits are: limited entry months meet the limit of their two-month
+    period, and open access months meet the limit of the same number, so those without
+    one drop out. A scenario without a limit in a zone is null there.
     """
     by_zone = grains_of(schedules)
-    fleet_grains = grains or {"LE": by_zone["LEN"], "OA": by_zone["OAN"]}
-    limits.check_grain(schedules, {zone: fleet_grains[zone[:2]] for zone in by_zone})
-    landed = zone_totals(tickets, grains=fleet_grains, **scope_options)
+    if monthly_totals:
+        grains = {"LE": "two_month", "OA": "month"}
+    else:
+        grains = {"LE": by_zone["LEN"], "OA": by_zone["OAN"]}
+        limits.check_grain(schedules, {zone: grains[zone[:2]] for zone in by_zone})
+    landed = zone_totals(tickets, grains=grains, monthly_totals=monthly_totals, **scope_options)
     zoned = groups.into_zones(landed, zone_tests())
     wide = limits.limits_side_by_side(tickets.sparkSession, schedules, label="ZONE")
     responded = respond_to(limits.attach_limits(zoned, wide, ["PERIOD", "ZONE"]), rules, "ZONE")

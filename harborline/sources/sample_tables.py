@@ -16,6 +16,20 @@ from pyspark.sql import functions as F
 
 from harborline.sources.schema import MONEY, TICKET_SCHEMA
 
+SAMPLE_SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "customer": """c_custkey bigint, c_name string, c_nationkey int, c_acctbal double,
+        c_mktsegment string""",
+    "part": """p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,
+        p_retailprice double""",
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string,
+        o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string""",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,
+        l_quantity double, l_extendedprice double, l_discount double, l_tax double,
+        l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz""",
+}
+
 DAY = "cast(l_shipdate as date)"
 
 FROM_LINES = {
@@ -26,9 +40,9 @@ FROM_LINES = {
     "LANDING_DATE": DAY,
     "VESSEL_NUM": "cast(l_suppkey as string)",
     "VESSEL_REGISTRATION_ID": "concat('R', l_suppkey)",
-    "DAHL_GROUNDFISH_CODE": """case concat(l_returnflag, l_linestatus)
-        when 'AF' then '05' when 'AO' then '06' when 'NF' then '07'
-        when 'NO' then '08' when 'RF' then '09' when 'RO' then '10' end""",
+    "DAHL_GROUNDFISH_CODE": """element_at(
+        map('AF', '05', 'AO', '06', 'NF', '07', 'NO', '08', 'RF', '09', 'RO', '10'),
+        concat(l_returnflag, l_linestatus))""",
     "CATCH_AREA_CODE": "case l_linenumber when 6 then '61' when 7 then '60A2' else '59A1' end",
     "PARTICIPATION_GROUP_CODE": "case when l_linenumber = 7 then 'A' else 'C' end",
     "COUNCIL_CODE": "case when l_linenumber = 6 then 'N' else 'P' end",
@@ -52,7 +66,8 @@ VIEW_COLUMNS = [*FROM_LINES, *FROM_SUPPLIER, *FROM_PART]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Read with the declared schema: no footer is opened before the scan itself."""
+    return spark.read.schema(SAMPLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _dated(df: DataFrame, column: str, years: tuple[int, int] | None) -> DataFrame:
@@ -73,19 +88,29 @@ def sample_tickets(
 ) -> DataFrame:
     """Tickets with the requested columns; ``extra_lines`` passes line-item columns on."""
     wanted = list(columns) if columns is not None else VIEW_COLUMNS
+    ordered = [f.name for f in TICKET_SCHEMA if f.name in wanted]
+
+    def named(source: dict[str, str]) -> list:
+        return [F.expr(source[c]).alias(c) for c in ordered if c in source]
+
+    # Each side works out its own columns below the join, so that label expressions above
+    # it see plain columns.
+    of_part, of_vessel = named(FROM_PART), named(FROM_SUPPLIER)
+    extra = list(extra_lines)
+    keys = ([], ["l_partkey"])[bool(of_part)] + ([], ["l_suppkey"])[bool(of_vessel)]
     lines = _dated(table(spark, sf_dir, "lineitem"), "l_shipdate", years)
+    tickets = lines.select(*named(FROM_LINES), *dict.fromkeys(keys + extra))
     # Parts first: a species filter thins the lines before they meet the vessels.
-    if any(c in FROM_PART for c in wanted):
-        parts = table(spark, sf_dir, "part")
-        lines = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    if any(c in FROM_SUPPLIER for c in wanted):
+    if of_part:
+        parts = table(spark, sf_dir, "part").select("p_partkey", *of_part)
+        tickets = tickets.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    if of_vessel:
         nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
         suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
         vessels = suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-        lines = lines.join(vessels, F.col("l_suppkey") == F.col("s_suppkey"))
-    source = {**FROM_LINES, **FROM_SUPPLIER, **FROM_PART}
-    ordered = [f.name for f in TICKET_SCHEMA if f.name in wanted]
-    return lines.select(*(F.expr(source[c]).alias(c) for c in ordered), *extra_lines)
+        vessels = vessels.select("s_suppkey", *of_vessel)
+        tickets = tickets.join(vessels, F.col("l_suppkey") == F.col("s_suppkey"))
+    return tickets.select(*ordered, *extra)
 
 
 def sample_trip_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
