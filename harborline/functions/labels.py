@@ -7,13 +7,13 @@ only for a missing code.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from harborline.functions.semantics import ColumnOrName, as_column, if_known
+from harborline.functions.semantics import ColumnOrName, as_column, if_known, lookup
 
 # Two-digit codes of the groundfish sectors.
 LIMITED_ENTRY_CODES = ("05", "07", "09")
@@ -33,10 +33,18 @@ def sector_code(code: ColumnOrName) -> Column:
     return F.when(F.length(text) < 2, F.lpad(text, 2, "0")).otherwise(text)
 
 
+def _spellings(labels: Mapping[str, Sequence[str]]) -> dict[str, str]:
+    """Label of each code, with and without its leading zero."""
+    return {s: label for label, codes in labels.items() for c in codes for s in (c, c.lstrip("0"))}
+
+
+def label_of_code(code: ColumnOrName, labels: Mapping[str, Sequence[str]]) -> Column:
+    return lookup(_spellings(labels), F.trim(as_column(code).cast("string")))
+
+
 def has_code(code: ColumnOrName, *codes: str) -> Column:
     """Whether a code is one of those listed, with or without its leading zero."""
-    spellings = dict.fromkeys(s for c in codes for s in (c, c.lstrip("0")))
-    return F.trim(as_column(code).cast("string")).isin(*spellings)
+    return F.trim(as_column(code).cast("string")).isin(*_spellings({"": codes}))
 
 
 def period(month: ColumnOrName = "LANDING_MONTH") -> Column:
@@ -45,19 +53,16 @@ def period(month: ColumnOrName = "LANDING_MONTH") -> Column:
 
 
 def fleet(code: ColumnOrName = "DAHL_GROUNDFISH_CODE") -> Column:
-    return F.when(has_code(code, *LIMITED_ENTRY_CODES), "LE").when(
-        has_code(code, *OPEN_ACCESS_CODES), "OA"
-    )
+    return label_of_code(code, {"LE": LIMITED_ENTRY_CODES, "OA": OPEN_ACCESS_CODES})
 
 
 def fleet_or_default(code: ColumnOrName = "DAHL_GROUNDFISH_CODE") -> Column:
-    return if_known(has_code(code, *LIMITED_ENTRY_CODES), "LE", "OA")
+    known = label_of_code(code, {"LE": LIMITED_ENTRY_CODES})
+    return F.when(as_column(code).isNotNull(), F.coalesce(known, F.lit("OA")))
 
 
 def sector(code: ColumnOrName = "DAHL_GROUNDFISH_CODE") -> Column:
-    return F.when(has_code(code, *NEARSHORE_CODES), "NS").when(
-        has_code(code, *NON_NEARSHORE_CODES), "NON-NS"
-    )
+    return label_of_code(code, {"NS": NEARSHORE_CODES, "NON-NS": NON_NEARSHORE_CODES})
 
 
 def nearshore_only(code: ColumnOrName = "DAHL_GROUNDFISH_CODE") -> Column:
@@ -67,33 +72,38 @@ def nearshore_only(code: ColumnOrName = "DAHL_GROUNDFISH_CODE") -> Column:
 def sector_by_state(
     code: ColumnOrName = "DAHL_GROUNDFISH_CODE", agency: ColumnOrName = "AGENCY_CODE"
 ) -> Column:
-    nearshore_state = if_known(as_column(agency) == "O", "OR_NS", "CAL_NS")
-    return if_known(has_code(code, *NON_NEARSHORE_CODES), "NON_NS", nearshore_state)
+    nearshore_state = if_known(as_column(agency) == "O", "OR_NS", "CAL_NS", [agency])
+    return if_known(has_code(code, *NON_NEARSHORE_CODES), "NON_NS", nearshore_state, [code])
 
 
 def area(
     agency: ColumnOrName = "AGENCY_CODE", catch_area: ColumnOrName = "PACFIN_CATCH_AREA_CODE"
 ) -> Column:
-    agency, catch_area = as_column(agency), as_column(catch_area)
-    return (
-        F.when(agency.isin(*NORTHERN_AGENCIES), "N4010")
-        .when((agency == "C") & (catch_area == AREA_4010_TO_42), "N4010")
-        .when((agency == "C") & (catch_area != AREA_4010_TO_42), "S4010")
+    agency = as_column(agency)
+    california = if_known(
+        as_column(catch_area) == AREA_4010_TO_42, "N4010", "S4010", [catch_area]
     )
+    return F.when(agency.isin(*NORTHERN_AGENCIES), "N4010").when(agency == "C", california)
 
 
 def area_or_default(
     agency: ColumnOrName = "AGENCY_CODE", catch_area: ColumnOrName = "PACFIN_CATCH_AREA_CODE"
 ) -> Column:
-    by_catch_area = if_known(as_column(catch_area) == AREA_4010_TO_42, "N4010", "S4010")
-    return if_known(as_column(agency).isin(*NORTHERN_AGENCIES), "N4010", by_catch_area)
+    by_catch_area = if_known(
+        as_column(catch_area) == AREA_4010_TO_42, "N4010", "S4010", [catch_area]
+    )
+    north = as_column(agency).isin(*NORTHERN_AGENCIES)
+    return if_known(north, "N4010", by_catch_area, [agency])
 
 
 def subarea(
     agency: ColumnOrName = "AGENCY_CODE", catch_area: ColumnOrName = "PACFIN_CATCH_AREA_CODE"
 ) -> Column:
-    by_catch_area = if_known(as_column(catch_area) == AREA_4010_TO_42, "4010_42", "S4010")
-    return if_known(as_column(agency).isin(*NORTHERN_AGENCIES), "N42", by_catch_area)
+    by_catch_area = if_known(
+        as_column(catch_area) == AREA_4010_TO_42, "4010_42", "S4010", [catch_area]
+    )
+    north = as_column(agency).isin(*NORTHERN_AGENCIES)
+    return if_known(north, "N42", by_catch_area, [agency])
 
 
 def subarea_by_stock(
@@ -129,7 +139,7 @@ def species_group(species: ColumnOrName, members: Sequence[str], group: str) ->
 
 
 def species_group_or_blank(species: ColumnOrName, members: Sequence[str], group: str) -> Column:
-    return if_known(as_column(species).isin(*members), group, "")
+    return if_known(as_column(species).isin(*members), group, "", [species])
 
 
 @dataclass(frozen=True)
@@ -150,11 +160,16 @@ def species_group_by_rules(
     listed species is missing.
     """
     species, agency = as_column(species), as_column(agency)
-    label = species
-    for rule in rules:
+    # The last rule is tested first; the label of an earlier one is only looked at below.
+    branches = []
+    for rule in reversed(rules):
         listed = species.isin(*rule.members)
         if rule.agency is None:
-            label = F.when(listed, rule.group).otherwise(label)
+            branches.append((listed, F.lit(rule.group)))
         else:
-            label = if_known((agency == rule.agency) & listed, rule.group, label)
-    return label
+            branches.append((listed & (agency == rule.agency), F.lit(rule.group)))
+            branches.append((listed & agency.isNull(), F.lit(None).cast("string")))
+    chain = F
+    for test, label in branches:
+        chain = chain.when(test, label)
+    return chain.otherwise(species) if branches else species

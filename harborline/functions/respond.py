@@ -12,11 +12,22 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from harborline.functions.semantics import ColumnOrName, as_column, divide, if_known, nan_to_null
+from harborline.functions.semantics import ColumnOrName, as_column, if_known, lookup
 
 
-def _targets(landed: Column, status_quo: Column, threshold) -> Column:
-    return nan_to_null(divide(landed, status_quo)) >= threshold
+def _ratio(landed: Column, limit: Column) -> Column:
+    """Share of the limit landed: infinite for any landing under a limit of 0, unknown when
+    nothing was landed under it."""
+    return F.when(limit != 0, landed / limit).when(landed != 0, landed * float("inf"))
+
+
+def _respond(t: Column, sq: Column, alt: Column, threshold, above: Column) -> Column:
+    ratio = _ratio(t, sq)
+    return (
+        F.when(t >= alt, above)
+        .when(ratio >= threshold, alt)
+        .when((ratio < threshold) & alt.isNotNull(), t)
+    )
 
 
 def respond_raise(
@@ -24,7 +35,7 @@ def respond_raise(
 ) -> Column:
     """Targeting vessels move up to the alternative; pounds already above it stay."""
     t, sq, alt = as_column(landed), as_column(status_quo), as_column(alternative)
-    return if_known(t >= alt, t, if_known(_targets(t, sq, threshold), alt, t))
+    return _respond(t, sq, alt, threshold, above=t)
 
 
 def respond_cap(
@@ -32,38 +43,45 @@ def respond_cap(
 ) -> Column:
     """Like the raise rule, but pounds above the alternative are cut down to it."""
     t, sq, alt = as_column(landed), as_column(status_quo), as_column(alternative)
-    return if_known(t >= alt, alt, if_known(_targets(t, sq, threshold), alt, t))
+    return _respond(t, sq, alt, threshold, above=alt)
 
 
-RULES = {"raise": respond_raise, "cap": respond_cap}
+def respond_by_label(
+    label: ColumnOrName,
+    rules: Mapping[str, tuple[str, float]],
+    landed: ColumnOrName,
+    status_quo: ColumnOrName,
+    alternative: ColumnOrName,
+) -> Column:
+    """Each fleet or zone by its own rule, "raise" or "cap", and threshold; labels without
+    a rule are null."""
+    unknown = sorted({rule for rule, _ in rules.values()} - {"raise", "cap"})
+    if unknown:
+        raise ValueError(f"no response rule {unknown}")
+    t, sq, alt = as_column(landed), as_column(status_quo), as_column(alternative)
+    capped = [name for name, (rule, _) in rules.items() if rule == "cap"]
+    thresholds = {name: float(threshold) for name, (_, threshold) in rules.items()}
+    above = t
+    if len(capped) == len(rules):
+        above = alt
+    elif capped:
+        above = F.when(as_column(label).isin(*capped), alt).otherwise(t)
+    if len(set(thresholds.values())) == 1:
+        threshold = F.lit(next(iter(thresholds.values())))
+    else:
+        threshold = lookup(thresholds, label)
+    has_rule = as_column(label).isin(*rules)
+    return F.when(has_rule, _respond(t, sq, alt, threshold, above))
 
 
 def cap_at(landed: ColumnOrName, limit: ColumnOrName) -> Column:
     t, cap = as_column(landed), as_column(limit)
-    return if_known(t >= cap, cap, t)
+    return if_known(t >= cap, cap, t, [t, cap])
 
 
 def for_group(group: ColumnOrName, wanted: str, response: Column) -> Column:
     """The response for rows of one species group, 0 for the others."""
-    return if_known(as_column(group) == wanted, response, F.lit(0.0))
-
-
-def respond_by_label(
-    label: ColumnOrName,
-    rules: Mapping[str, tuple[str, float]],
-    landed: ColumnOrName,
-    status_quo: ColumnOrName,
-    alternative: ColumnOrName,
-) -> Column:
-    """Each fleet or zone by its own rule and threshold; labels without a rule are null."""
-    alike: dict[tuple[str, float], list[str]] = {}
-    for name, rule in rules.items():
-        alike.setdefault(rule, []).append(name)
-    branches = []
-    for (rule, threshold), names in alike.items():
-        response = RULES[rule](landed, status_quo, alternative, threshold)
-        branches.append(F.when(as_column(label).isin(*names), response))
-    return F.coalesce(*branches)
+    return if_known(as_column(group) == wanted, response, F.lit(0.0), [group])
 
 
 def in_season(
@@ -74,11 +92,8 @@ def in_season(
     last_actual: Mapping[str, int],
 ) -> Column:
     """Responded pounds only after each fleet's last period of actual landings."""
-    fleet, period = as_column(fleet), as_column(period)
-    projected = F.lit(False)
-    for name, cut in last_actual.items():
-        projected = projected | ((fleet == name) & (period > cut))
-    return if_known(projected, as_column(responded), as_column(landed))
+    projected = as_column(period) > lookup(last_actual, fleet)
+    return F.when(projected, as_column(responded)).when(~projected, as_column(landed))
 
 
 def step_round(pounds: ColumnOrName, step: int = 1000, up_from: int = 900) -> Column:
@@ -104,7 +119,9 @@ def respond_ratio(
 ) -> Column:
     """Trips of targeting vessels land exactly the limit; small trips are left alone."""
     landed, stepped = as_column(landed), as_column(stepped)
-    targeting = _targets(landed, as_column(status_quo_limit), threshold)
-    return if_known(
-        stepped < exempt_below, landed, if_known(targeting, as_column(limit), landed)
+    ratio = _ratio(landed, as_column(status_quo_limit))
+    return (
+        F.when(stepped < exempt_below, landed)
+        .when(ratio >= threshold, as_column(limit))
+        .when((ratio < threshold) & stepped.isNotNull(), landed)
     )

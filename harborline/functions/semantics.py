@@ -6,7 +6,7 @@ missing value are missing, so a conditional on one is missing rather than false.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
@@ -26,21 +26,33 @@ def nan_to_null(value: ColumnOrName) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def if_known(test: Column, yes, no) -> Column:
-    """``yes`` where the test is true, ``no`` where it is false, null where it is unknown."""
-    return F.when(test, yes).when(~test, no)
+def if_known(test: Column, yes, no, given: Sequence[ColumnOrName] | None = None) -> Column:
+    """``yes`` where the test is true, ``no`` where it is false, null where it is unknown.
+
+    ``given`` names the inputs whose absence makes the test unknown. Asking for them
+    instead of repeating the test keeps the generated code small.
+    """
+    if given is None:
+        return F.when(test, yes).when(~test, no)
+    return F.when(test, yes).when(reduce(and_, [as_column(c).isNotNull() for c in given]), no)
+
+
+def _sql_literal(value) -> str:
+    return "'" + value.replace("'", "\\'") + "'" if isinstance(value, str) else str(value)
+
+
+def lookup(table: Mapping, key: ColumnOrName) -> Column:
+    """The key's value in a small constant table, null for any other key. One constant and
+    one reference to the key, where a chain of conditions repeats it."""
+    entries = ", ".join(_sql_literal(v) for entry in table.items() for v in entry)
+    return F.element_at(F.expr(f"map({entries})"), as_column(key))
 
 
 def divide(numerator: ColumnOrName, denominator: ColumnOrName) -> Column:
     """IEEE division: x/0 is a signed infinity and 0/0 is NaN, with ANSI mode on or off."""
     n = as_column(numerator).cast("double")
     d = as_column(denominator).cast("double")
-    by_zero = (
-        F.when(n > 0, F.lit(float("inf")))
-        .when(n < 0, F.lit(float("-inf")))
-        .when(n == 0, F.lit(float("nan")))
-    )
-    return F.when(d == 0, by_zero).otherwise(n / d)
+    return F.when(d == 0, n * float("inf")).otherwise(n / d)
 
 
 def sum_known(value: ColumnOrName) -> Column:

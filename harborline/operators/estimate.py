@@ -32,7 +32,15 @@ def complete_partial_month(
     dated = tickets if day_source is None else day_source
     last_day = dated.filter(in_month).agg(F.max(F.col("LANDING_DAY").cast("int"))).scalar()
     return tickets.withColumns(
-        {c: if_known(in_month, F.col(c).cast("double") * days / last_day, F.col(c)) for c in columns}
+        {
+            c: if_known(
+                in_month,
+                F.col(c).cast("double") * days / last_day,
+                F.col(c),
+                ["LANDING_YEAR", "LANDING_MONTH"],
+            )
+            for c in columns
+        }
     )
 
 
@@ -101,13 +109,18 @@ def closest_year_estimate(wide: DataFrame) -> DataFrame:
     second. Never below the landings already made; unknown when nothing can be said."""
     gap_x = F.abs(F.col("THRU_z") - F.col("THRU_x"))
     gap_y = F.abs(F.col("THRU_z") - F.col("THRU_y"))
-    ratio = if_known(gap_y > gap_x, F.col("RATIO_x"), F.col("RATIO_y"))
+    ratio = F.when(gap_y > gap_x, F.col("RATIO_x")).otherwise(F.col("RATIO_y"))
     estimate = nan_to_null(divide("THRU_z", "RATIO"))
     return (
         wide.withColumn("RATIO", ratio)
         .withColumn("ESTIMATED_MT", estimate)
         .withColumn(
             "ESTIMATED_MT",
-            if_known(F.col("MT_z") > F.col("ESTIMATED_MT"), F.col("MT_z"), F.col("ESTIMATED_MT")),
+            if_known(
+                F.col("MT_z") > F.col("ESTIMATED_MT"),
+                F.col("MT_z"),
+                F.col("ESTIMATED_MT"),
+                ["MT_z", "ESTIMATED_MT"],
+            ),
         )
     )

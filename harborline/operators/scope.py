@@ -7,25 +7,29 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from harborline.functions.semantics import ColumnOrName, as_column
+from harborline.functions.semantics import ColumnOrName, as_column, lookup
+from harborline.operators.totals import MONTHS_PER_PERIOD
 
 
 def rolling_year(
-    year: ColumnOrName, period: ColumnOrName, prior_year: int, last_period: ColumnOrName | int
+    prior_year: int,
+    last_month: Mapping[str, int] | int,
+    fleet: str = "TYPE",
+    year: str = "LANDING_YEAR",
+    month: str = "LANDING_MONTH",
 ) -> Column:
-    """Twelve months across two years: the prior year after ``last_period`` and the
-    following year up to it. ``last_period`` may differ by row, e.g. by fleet."""
-    year, period = as_column(year), as_column(period)
-    cut = F.lit(last_period) if isinstance(last_period, int) else as_column(last_period)
-    return ((year == prior_year) & (period > cut)) | ((year == prior_year + 1) & (period <= cut))
-
-
-def by_fleet(values: Mapping[str, int], fleet: str = "TYPE") -> Column:
-    chain = None
-    for name, value in values.items():
-        test = F.col(fleet) == name
-        chain = F.when(test, value) if chain is None else chain.when(test, value)
-    return chain
+    """Twelve months across two years: the prior year after ``last_month`` and the
+    following year up to it. The last month may differ by fleet.
+
+    Shifted by the last month, the wanted months are year number 1 after the prior year.
+    """
+    last = lookup(last_month, fleet) if isinstance(last_month, Mapping) else F.lit(last_month)
+    shifted = (F.col(year) - prior_year) * 12 + F.col(month) - last
+    return F.ceil(shifted / 12) == 1
+
+
+def last_months(last_period: Mapping[str, int], grains: Mapping[str, str]) -> dict[str, int]:
+    return {name: p * MONTHS_PER_PERIOD[grains[name]] for name, p in last_period.items()}
 
 
 def listed_or_small(

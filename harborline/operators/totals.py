@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborline.functions.semantics import complete_cases, divide, known, sum_known
+from harborline.functions.semantics import complete_cases, divide, known, lookup, sum_known
 from harborline.functions.units import sum_tons
 
+MONTHS_PER_PERIOD = {"month": 1, "two_month": 2}
 POUNDS = "ROUND_WEIGHT_LBS"
 REVENUE = "EXVESSEL_REVENUE"
 
@@ -34,12 +35,8 @@ def vessel_totals(
 
 def fleet_period(grains: Mapping[str, str], fleet: str = "TYPE") -> Column:
     """Period number at each fleet's own grain, so that one grouping serves all fleets."""
-    chain = None
-    for name, grain in grains.items():
-        value = F.col("LANDING_MONTH" if grain == "month" else "PERIOD")
-        test = F.col(fleet) == name
-        chain = F.when(test, value) if chain is None else chain.when(test, value)
-    return chain
+    months = {name: MONTHS_PER_PERIOD[grain] for name, grain in grains.items()}
+    return F.ceil(F.col("LANDING_MONTH") / lookup(months, fleet)).cast("int")
 
 
 def with_price(totals: DataFrame) -> DataFrame:

@@ -64,9 +64,9 @@ def lingcod_vessel_totals(
         & F.col("LANDING_YEAR").isin(prior_year, prior_year + 1)
         & in_groundfish_sectors()
     )
+    grains = grains_of(schedules)
     labelled = (
-        scoped.withColumn("PERIOD", labels.period())
-        .withColumns(
+        scoped.withColumns(
             {
                 "TYPE": labels.fleet_or_default(),
                 "SECTOR": labels.sector_by_state(),
@@ -75,10 +75,8 @@ def lingcod_vessel_totals(
                 "SPPGROUP": labels.species_group_or_blank(species_column, species, group),
             }
         )
-        .withColumn("PERIOD", totals.fleet_period(grains_of(schedules)))
-        .filter(
-            scope.rolling_year("LANDING_YEAR", "PERIOD", prior_year, scope.by_fleet(last_actual))
-        )
+        .withColumn("PERIOD", totals.fleet_period(grains))
+        .filter(scope.rolling_year(prior_year, scope.last_months(last_actual, grains)))
     )
     if subarea is not None:
         labelled = labelled.filter(F.col("SUBAREA") == subarea)
@@ -234,9 +232,7 @@ def shelf_model(
         & in_groundfish_sectors()
     )
     if last_month is not None:
-        scoped = scoped.filter(
-            scope.rolling_year("LANDING_YEAR", "LANDING_MONTH", last - 1, last_month)
-        )
+        scoped = scoped.filter(scope.rolling_year(last - 1, last_month))
     labelled = scoped.withColumns(
         {
             "TYPE": labels.fleet_or_default(),

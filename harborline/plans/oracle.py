@@ -43,7 +43,7 @@ tickets AS (
          l_quantity * 100 AS ROUND_WEIGHT_LBS,
          l_quantity * 20 AS LANDED_WEIGHT_LBS,
          CAST(l_extendedprice AS DECIMAL(18, 2)) AS EXVESSEL_REVENUE,
-         l_linenumber, l_suppkey
+         l_linenumber, l_suppkey, l_partkey
   FROM lineitem
   JOIN part ON l_partkey = p_partkey
   JOIN supplier ON l_suppkey = s_suppkey
@@ -57,7 +57,7 @@ gapped AS (
   SELECT LANDING_YEAR, LANDING_MONTH, LANDING_DAY, VESSEL_REGISTRATION_ID, CATCH_AREA_CODE,
          MANAGEMENT_GROUP_CODE,
          CASE WHEN l_suppkey % 10 = 2 THEN NULL ELSE VESSEL_NUM END AS VESSEL_NUM,
-         CASE l_linenumber WHEN 5 THEN NULL WHEN 6 THEN 'X' ELSE AGENCY_CODE END AS AGENCY_CODE,
+         CASE l_suppkey % 13 WHEN 5 THEN NULL WHEN 6 THEN 'X' ELSE AGENCY_CODE END AS AGENCY_CODE,
          CASE l_linenumber WHEN 1 THEN NULL
               WHEN 2 THEN CAST(CAST(DAHL_GROUNDFISH_CODE AS INTEGER) AS VARCHAR)
               WHEN 3 THEN ' ' || DAHL_GROUNDFISH_CODE || ' '
@@ -68,9 +68,9 @@ gapped AS (
          CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE ACL_CODE END AS ACL_CODE,
          CASE WHEN l_suppkey % 11 = 0 THEN NULL ELSE REGION_NAME END AS REGION_NAME,
          CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE SUBREGION_NAME END AS SUBREGION_NAME,
-         CASE WHEN l_linenumber = 1 THEN NULL ELSE NOMINAL_TO_ACTUAL_PACFIN_SPECIES_NAME END
+         CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE NOMINAL_TO_ACTUAL_PACFIN_SPECIES_NAME END
            AS NOMINAL_TO_ACTUAL_PACFIN_SPECIES_NAME,
-         CASE WHEN l_linenumber = 1 THEN NULL ELSE PACFIN_SPECIES_COMMON_NAME END
+         CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE PACFIN_SPECIES_COMMON_NAME END
            AS PACFIN_SPECIES_COMMON_NAME,
          CASE WHEN l_suppkey % 10 IN (0, 1) THEN NULL ELSE ROUND_WEIGHT_LBS END AS ROUND_WEIGHT_LBS,
          CASE WHEN l_suppkey % 10 IN (0, 1) THEN NULL ELSE LANDED_WEIGHT_LBS END AS LANDED_WEIGHT_LBS,
@@ -332,7 +332,7 @@ yearly AS (
 
 ORACLE: dict[str, str] = {
     "q_tickets_scan": f"""WITH {TICKETS}
-SELECT * EXCLUDE (l_linenumber, l_suppkey, EXVESSEL_REVENUE),
+SELECT * EXCLUDE (l_linenumber, l_suppkey, l_partkey, EXVESSEL_REVENUE),
        CAST(EXVESSEL_REVENUE AS DOUBLE) AS EXVESSEL_REVENUE FROM tickets""",
     "q_limit_table": f"""WITH {TICKETS}, {VESSEL_PERIODS},
 limits AS (
@@ -442,9 +442,7 @@ FROM early RIGHT JOIN whole USING (LANDING_YEAR, AREA, SPECIES)""",
 x AS (SELECT * FROM yearly WHERE LANDING_YEAR = 1999),
 y AS (SELECT * FROM yearly WHERE LANDING_YEAR = 2000),
 z AS (SELECT * FROM yearly WHERE LANDING_YEAR = 2001)
-SELECT z.AREA, z.SPECIES, round(coalesce(x.mt, CASE WHEN x.LANDING_YEAR IS NOT NULL THEN 0 END), 4)
-         AS MT_x,
-       round(coalesce(y.mt, CASE WHEN y.LANDING_YEAR IS NOT NULL THEN 0 END), 4) AS MT_y,
+SELECT z.AREA, z.SPECIES, round(coalesce(x.mt, 0), 4) AS MT_x, round(coalesce(y.mt, 0), 4) AS MT_y,
        round(coalesce(z.mt, 0), 4) AS MT_z
 FROM z
 LEFT JOIN y ON y.AREA IS NOT DISTINCT FROM z.AREA AND y.SPECIES IS NOT DISTINCT FROM z.SPECIES

@@ -6,7 +6,7 @@ compare across engines.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +14,16 @@ from pyspark.sql import types as T
 
 from harborline.functions import labels, respond
 from harborline.functions.labels import GroupRule
-from harborline.functions.semantics import complete_cases, sum_known
+from harborline.functions.semantics import complete_cases, fill_missing, sum_known
 from harborline.functions.units import sum_tons
 from harborline.operators import bycatch, estimate, groups, joins, limits, scope, totals, trips
 from harborline.operators.limits import LimitSchedule
 from harborline.plans import models
 from harborline.plans import parameters as P
 from harborline.sources.sample_tables import (
+    FROM_LINES,
+    FROM_PART,
+    FROM_SUPPLIER,
     sample_tickets,
     sample_trip_headers,
     sample_trip_lines,
@@ -62,33 +65,35 @@ NEARSHORE_SAMPLE_RULES = (
 )
 TRIP_SPECIES = {"PACIFIC_HALIBUT": "PROMO", "SABLEFISH": "STANDARD"}
 
+_CODE = FROM_LINES["DAHL_GROUNDFISH_CODE"]
+
+
+def _gap(test: str, columns: Mapping[str, str], *names: str) -> dict[str, str]:
+    return {name: f"if({test}, null, {columns[name]})" for name in names}
+
+
+# Missing values and odd codes by fixed rules: the sample tables have none of their own.
 GAPS = {
-    "DAHL_GROUNDFISH_CODE": """case l_linenumber when 1 then null
-        when 2 then cast(cast(DAHL_GROUNDFISH_CODE as int) as string)
-        when 3 then concat(' ', DAHL_GROUNDFISH_CODE, ' ')
-        when 4 then '04' else DAHL_GROUNDFISH_CODE end""",
-    "AGENCY_CODE": "case l_linenumber when 5 then null when 6 then 'X' else AGENCY_CODE end",
-    "PACFIN_CATCH_AREA_CODE": "if(l_suppkey % 7 = 0, null, PACFIN_CATCH_AREA_CODE)",
-    "ACL_CODE": "if(l_suppkey % 4 = 0, null, ACL_CODE)",
-    "REGION_NAME": "if(l_suppkey % 11 = 0, null, REGION_NAME)",
-    "SUBREGION_NAME": "if(l_suppkey % 3 = 0, null, SUBREGION_NAME)",
-    "VESSEL_NUM": "if(l_suppkey % 10 = 2, null, VESSEL_NUM)",
-    NOMINAL: f"if(l_linenumber = 1, null, {NOMINAL})",
-    COMMON: f"if(l_linenumber = 1, null, {COMMON})",
-    LBS: f"if(l_suppkey % 10 in (0, 1), null, {LBS})",
-    LANDED: f"if(l_suppkey % 10 in (0, 1), null, {LANDED})",
-    REVENUE: f"if(l_suppkey % 10 = 0, null, {REVENUE})",
+    "DAHL_GROUNDFISH_CODE": f"""case l_linenumber when 1 then null
+        when 2 then ltrim('0', {_CODE}) when 3 then concat(' ', {_CODE}, ' ')
+        when 4 then '04' else {_CODE} end""",
+    "AGENCY_CODE": f"""case when s_suppkey % 13 = 5 then null when s_suppkey % 13 = 6 then 'X'
+        else {FROM_SUPPLIER["AGENCY_CODE"]} end""",
+    **_gap("s_suppkey % 7 = 0", FROM_SUPPLIER, "PACFIN_CATCH_AREA_CODE"),
+    **_gap("s_suppkey % 4 = 0", FROM_SUPPLIER, "ACL_CODE"),
+    **_gap("s_suppkey % 11 = 0", FROM_SUPPLIER, "REGION_NAME"),
+    **_gap("s_suppkey % 3 = 0", FROM_SUPPLIER, "SUBREGION_NAME"),
+    **_gap("p_partkey % 9 = 0", FROM_PART, NOMINAL, COMMON),
+    **_gap("l_suppkey % 10 = 2", FROM_LINES, "VESSEL_NUM"),
+    **_gap("l_suppkey % 10 in (0, 1)", FROM_LINES, LBS, LANDED),
+    **_gap("l_suppkey % 10 = 0", FROM_LINES, REVENUE),
 }
 
 
 def tickets_with_gaps(
     spark: SparkSession, sf_dir: str, columns: Sequence[str], years=None
 ) -> DataFrame:
-    """The sample tickets with missing values and odd codes put in by fixed rules: the
-    tables have none of their own."""
-    full = sample_tickets(spark, sf_dir, columns, years, ["l_linenumber", "l_suppkey"])
-    gaps = {c: F.expr(GAPS[c]) for c in columns if c in GAPS}
-    return full.withColumns(gaps).drop("l_linenumber", "l_suppkey")
+    return sample_tickets(spark, sf_dir, columns, years, overrides=GAPS)
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
@@ -231,12 +236,11 @@ def q_rolling_year(spark, sf_dir):
     tickets = sample_tickets(
         spark, sf_dir, ["LANDING_YEAR", "LANDING_MONTH", CODE, LBS], (PRIOR, YEAR)
     )
-    labelled = tickets.withColumns({"PERIOD": labels.period(), "TYPE": labels.fleet()}).withColumn(
+    labelled = tickets.withColumn("TYPE", labels.fleet()).withColumn(
         "PERIOD", totals.fleet_period({"LE": "two_month", "OA": "month"})
     )
-    kept = labelled.filter(
-        scope.rolling_year("LANDING_YEAR", "PERIOD", PRIOR, scope.by_fleet(P.LAST_ACTUAL))
-    )
+    last_months = scope.last_months(P.LAST_ACTUAL, {"LE": "two_month", "OA": "month"})
+    kept = labelled.filter(scope.rolling_year(PRIOR, last_months))
     return counted(kept, "LANDING_YEAR", "TYPE", "PERIOD")
 
 
@@ -333,7 +337,7 @@ def q_right_join_years(spark, sf_dir):
 
     keys = ["AREA", "SPECIES"]
     x, y, z = tons(YEAR - 2, "x"), tons(YEAR - 1, "y"), tons(YEAR, "z")
-    return rounded(joins.right_join(joins.right_join(x, y, keys), z, keys))
+    return rounded(fill_missing(joins.right_join(joins.right_join(x, y, keys), z, keys)))
 
 
 def q_closest_year(spark, sf_dir):

@@ -9,7 +9,7 @@ execution splits a hot key in the latter.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,13 +85,16 @@ def sample_tickets(
     columns: Iterable[str] | None = None,
     years: tuple[int, int] | None = None,
     extra_lines: Iterable[str] = (),
+    overrides: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Tickets with the requested columns; ``extra_lines`` passes line-item columns on."""
+    """Tickets with the requested columns; ``extra_lines`` passes line-item columns on and
+    ``overrides`` replaces the expression of a column."""
     wanted = list(columns) if columns is not None else VIEW_COLUMNS
     ordered = [f.name for f in TICKET_SCHEMA if f.name in wanted]
+    changed = overrides or {}
 
     def named(source: dict[str, str]) -> list:
-        return [F.expr(source[c]).alias(c) for c in ordered if c in source]
+        return [F.expr(changed.get(c, source[c])).alias(c) for c in ordered if c in source]
 
     # Each side works out its own columns below the join, so that label expressions above
     # it see plain columns.
