@@ -18,7 +18,8 @@ from harborline.functions.semantics import ColumnOrName, as_column, if_known, lo
 def _ratio(landed: Column, limit: Column) -> Column:
     """Share of the limit landed: infinite for any landing under a limit of 0, unknown when
     nothing was landed under it."""
-    return F.when(limit != 0, landed / limit).when(landed != 0, landed * float("inf"))
+    under_none = F.when(landed != 0, landed * float("inf"))
+    return F.when(limit == 0, under_none).otherwise(landed / limit)
 
 
 def _respond(t: Column, sq: Column, alt: Column, threshold, above: Column) -> Column:

@@ -526,3 +526,28 @@ def ratio_model(
     return trips.ratio_projection(
         trip_frame, limited, target, per, base, reference_year, current_year, last_actual_month
     )
+
+
+def incidental_projection(
+    tickets: DataFrame,
+    species: Mapping[str, str] = P.TRIP_SPECIES,
+    species_column: str = "PACFIN_SPECIES_COMMON_NAME",
+    season: tuple[int, int] = (4, 10),
+    **projection_options,
+) -> DataFrame:
+    """The trip model from flat tickets."""
+    trip_frame = incidental_trips(tickets, species, species_column, season)
+    return ratio_model(trip_frame, species=tuple(species), **projection_options)
+
+
+MODELS = {
+    "lingcod": lingcod_model,
+    "nearshore": nearshore_landings,
+    "pop": pop_model,
+    "zones": zones_model,
+    "shelf": shelf_model,
+    "widow_shelf": widow_shelf_model,
+    "yellowtail": yellowtail_model,
+    "closest_year": closest_year_model,
+    "incidental": incidental_projection,
+}

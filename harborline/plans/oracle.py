@@ -434,8 +434,8 @@ whole AS (
   SELECT LANDING_YEAR, AREA, SPECIES, sum(ROUND_WEIGHT_LBS / {MT}) AS mt
   FROM complete WHERE AREA IS NOT NULL GROUP BY ALL
 )
-SELECT LANDING_YEAR, AREA, SPECIES, round(coalesce(thru, 0), 4) AS THRU_MT, round(mt, 4) AS MT,
-       round(coalesce(thru, 0) / mt, 4) AS RATIO
+SELECT LANDING_YEAR, AREA, SPECIES, round(coalesce(thru, 0), 10) AS THRU_MT, round(mt, 10) AS MT,
+       round(coalesce(thru, 0) / mt, 10) AS RATIO
 FROM early RIGHT JOIN whole USING (LANDING_YEAR, AREA, SPECIES)""",
     "q_right_join_years": f"""WITH {GAPPED},
 {years_frame(AREA, "gapped", "LANDING_MONTH = 1")},

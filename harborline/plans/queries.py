@@ -96,18 +96,22 @@ def tickets_with_gaps(
     return sample_tickets(spark, sf_dir, columns, years, overrides=GAPS)
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    def tidy(field: T.StructField) -> Column:
-        value = F.col(field.name)
-        if isinstance(field.dataType, T.DecimalType):
-            value = value.cast("double")
-        elif isinstance(field.dataType, T.DateType):
-            return value.cast("string").alias(field.name)
-        elif not isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            return value
-        return F.round(value, digits).alias(field.name)
+def portable(df: DataFrame) -> DataFrame:
+    """Decimals as doubles and dates as text."""
+    types = {T.DecimalType: "double", T.DateType: "string"}
+    return df.withColumns(
+        {
+            f.name: F.col(f.name).cast(types[type(f.dataType)])
+            for f in df.schema.fields
+            if type(f.dataType) in types
+        }
+    )
+
 
-    return df.select(*(tidy(f) for f in df.schema.fields))
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    df = portable(df)
+    doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
+    return df.withColumns({name: F.round(name, digits) for name in doubles})
 
 
 def counted(df: DataFrame, *keys: str) -> DataFrame:
@@ -118,7 +122,7 @@ def counted(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def q_tickets_scan(spark, sf_dir):
-    return rounded(sample_tickets(spark, sf_dir))
+    return portable(sample_tickets(spark, sf_dir))
 
 
 def _vessel_periods(spark, sf_dir, species=ONE_SPECIES):
@@ -324,7 +328,7 @@ def _area_species(tickets):
 
 def q_year_ratio(spark, sf_dir):
     tickets = _area_species(tickets_with_gaps(spark, sf_dir, YEAR_COLUMNS))
-    return rounded(estimate.part_year_ratio(tickets, 8))
+    return rounded(estimate.part_year_ratio(tickets, 8), 10)
 
 
 def q_right_join_years(spark, sf_dir):
@@ -372,7 +376,7 @@ def _priced(spark, sf_dir):
 
 def q_price_per_lb(spark, sf_dir):
     # Not rounded: one division of exact sums is the same number in every engine.
-    return _priced(spark, sf_dir).withColumn("exvessel", F.col("exvessel").cast("double"))
+    return portable(_priced(spark, sf_dir))
 
 
 def q_mean_price(spark, sf_dir):

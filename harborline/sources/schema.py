@@ -47,7 +47,7 @@ HEADER_NAMES = {"PACFIN_YEAR": "LANDING_YEAR", "SPECIES": "NOMINAL_TO_ACTUAL_PAC
 
 def clean_header(name: str) -> str:
     """Headers as exports spell them: byte-order mark, case, blanks and "(SUM)" suffixes."""
-    name = name.lstrip("﻿").strip().upper()
+    name = name.lstrip("\ufeff").strip().upper()
     return name.removesuffix("(SUM)").strip().replace(" ", "_").replace(".", "_")
 
 
@@ -81,14 +81,18 @@ def _typed(field: T.StructField, present: T.DataType) -> Column:
 
 
 def conform(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """Known ticket columns of any source, by name, with declared types.
+    """Ticket columns of any source, by name, with declared types.
 
-    Under ANSI mode text that is no number stops the job instead of turning into null.
+    Columns the schema does not know are kept as they are unless ``columns`` names the
+    ones wanted. Under ANSI mode text that is no number stops the job instead of turning
+    into null.
     """
     df = normalise_headers(df)
-    wanted = set(columns) if columns is not None else set(df.columns)
+    known = [f for f in TICKET_SCHEMA if f.name in df.columns]
+    other = [c for c in df.columns if c not in TICKET_SCHEMA.names]
     if columns is not None:
+        wanted = set(columns)
         require_columns(df, wanted)
-    return df.select(
-        *(_typed(f, df.schema[f.name].dataType) for f in TICKET_SCHEMA if f.name in wanted and f.name in df.columns)
-    )
+        known = [f for f in known if f.name in wanted]
+        other = [c for c in other if c in wanted]
+    return df.select(*(_typed(f, df.schema[f.name].dataType) for f in known), *other)

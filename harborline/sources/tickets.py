@@ -21,13 +21,15 @@ def read_tickets(
     missing: str = MISSING_TEXT,
     strip: bool = True,
     separator: str = ",",
+    date_format: str | None = None,
 ) -> DataFrame:
     """Typed tickets from CSV with a header, or from a columnar format.
 
     CSV fields are read as text under their header names and cast afterwards, so codes
     keep their leading zeros and column order does not matter. ``missing`` marks a missing
     value; a blank is missing in a number or date column and an empty string elsewhere.
-    Files stay splittable, and only the requested columns are parsed.
+    ``date_format`` is the pattern of the dates unless they are ISO dates. Files stay
+    splittable, and only the columns used later are parsed.
     """
     if format != "csv":
         return conform(spark.read.format(format).load(path), columns)
@@ -40,16 +42,19 @@ def read_tickets(
         .csv(path)
     )
     raw = normalise_headers(raw)
-    text_columns = {f.name for f in TICKET_SCHEMA if isinstance(f.dataType, T.StringType)}
+    types = {f.name: f.dataType for f in TICKET_SCHEMA}
     cleaned = []
     for name in raw.columns:
-        value = F.col(name)
-        if name in text_columns or name not in TICKET_SCHEMA.names:
-            value = F.coalesce(value, F.lit(""))
+        kind = types.get(name, T.StringType())
+        if isinstance(kind, T.StringType):
+            value = F.coalesce(F.col(name), F.lit(""))
+            value = F.when(value != missing, value)
         else:
-            value = F.trim(value)
-            value = F.when(value != "", value)
-        cleaned.append(F.when(value != missing, value).alias(name))
+            value = F.trim(F.col(name))
+            value = F.when(~value.isin("", missing), value)
+        if date_format is not None and isinstance(kind, T.DateType):
+            value = F.to_date(value, date_format)
+        cleaned.append(value.alias(name))
     return conform(raw.select(*cleaned), columns)
 
 

@@ -1,0 +1,338 @@
+"""The models in plain Python, row by row, for small fixtures."""
+
+from __future__ import annotations
+
+import math
+from collections import defaultdict
+
+MT = 2204.6
+LE, OA = (5, 7, 9), (6, 8, 10)
+
+
+def code_of(t):
+    text = (t["DAHL_GROUNDFISH_CODE"] or "").strip()
+    return int(text) if text else None
+
+
+def fleet(t):
+    code = code_of(t)
+    return "LE" if code in LE else "OA" if code in OA else None
+
+
+def fleet_default(t):
+    return None if t["DAHL_GROUNDFISH_CODE"] is None else "LE" if code_of(t) in LE else "OA"
+
+
+def sector(t):
+    code = code_of(t)
+    return "NS" if code in (5, 6) else "NON-NS" if code in (7, 8, 9, 10) else None
+
+
+def sector_state(t):
+    if t["DAHL_GROUNDFISH_CODE"] is None:
+        return None
+    if code_of(t) in (7, 8, 9, 10):
+        return "NON_NS"
+    agency = t["AGENCY_CODE"]
+    return None if agency is None else "OR_NS" if agency == "O" else "CAL_NS"
+
+
+def area(t):
+    agency, catch = t["AGENCY_CODE"], t["PACFIN_CATCH_AREA_CODE"]
+    if agency in ("O", "W"):
+        return "N4010"
+    if agency == "C" and catch is not None:
+        return "N4010" if catch == "1C" else "S4010"
+    return None
+
+
+def banded(t, north, middle):
+    agency, catch = t["AGENCY_CODE"], t["PACFIN_CATCH_AREA_CODE"]
+    if agency is None:
+        return None
+    if agency in ("O", "W"):
+        return north
+    return None if catch is None else middle if catch == "1C" else "S4010"
+
+
+def area_default(t):
+    return banded(t, "N4010", "N4010")
+
+
+def subarea(t):
+    return banded(t, "N42", "4010_42")
+
+
+def subarea_stock(t):
+    agency, catch, stock = t["AGENCY_CODE"], t["PACFIN_CATCH_AREA_CODE"], t["ACL_CODE"]
+    if stock == "SSPN_S":
+        return "South of 3427"
+    if agency == "C" and catch in ("1A", "1B") and stock == "SSPN_N":
+        return "3427-4010"
+    if agency == "C" and catch == "1C":
+        return "4010-42"
+    return "N42" if agency in ("O", "W") else None
+
+
+def period(t):
+    return math.ceil(t["LANDING_MONTH"] / 2)
+
+
+def totals(tickets, key, weight="ROUND_WEIGHT_LBS"):
+    sums = defaultdict(float)
+    for t in tickets:
+        k = key(t)
+        if all(v is not None for v in k):
+            sums[k] += t[weight] or 0.0
+    return sums
+
+
+def respond(rule, t, sq, alt, threshold):
+    if t >= alt:
+        return t if rule == "raise" else alt
+    return alt if t / sq >= threshold else t
+
+
+def scaled(tickets, year, month, days, columns):
+    in_month = [t for t in tickets if (t["LANDING_YEAR"], t["LANDING_MONTH"]) == (year, month)]
+    last = max((t["LANDING_DAY"] for t in in_month), default=None)
+    out = []
+    for t in tickets:
+        if (t["LANDING_YEAR"], t["LANDING_MONTH"]) == (year, month):
+            t = {**t, **{c: None if t[c] is None else float(t[c]) * days / last for c in columns}}
+        out.append(t)
+    return out
+
+
+def collect(rows):
+    out = defaultdict(lambda: defaultdict(float))
+    for key, values in rows:
+        for name, pounds in values.items():
+            out[key][name] += pounds / MT
+    return {k: dict(v) for k, v in out.items()}
+
+
+def species(t):
+    return t["NOMINAL_TO_ACTUAL_PACFIN_SPECIES_NAME"]
+
+
+def lingcod(tickets):
+    kept = [
+        t for t in tickets
+        if t["MANAGEMENT_GROUP_CODE"] == "GRND" and species(t) == "LINGCOD" and code_of(t) in LE + OA
+    ]
+
+    def key(t):
+        kind = fleet_default(t)
+        p = period(t) if kind == "LE" else t["LANDING_MONTH"]
+        return (t["VESSEL_NUM"], p, subarea(t), kind, sector_state(t), t["LANDING_YEAR"])
+
+    limits = {"LE": (7000, 9000, 11000, 14000), "OA": (3500, 4500, 5500, 7000)}
+    rows = []
+    for (_, p, sub, kind, _, year), t in totals(kept, key).items():
+        cut = 4 if kind == "LE" else 9
+        if sub != "N42" or not (year == 2022 and p > cut or year == 2023 and p <= cut):
+            continue
+        sq, *alts = limits[kind]
+        values = {"SQ_MT": t}
+        for i, alt in enumerate(alts, 1):
+            values[f"A{i}_MT"] = respond("raise", t, sq, alt, 0.8)
+            values[f"INS_A{i}_MT"] = values[f"A{i}_MT"] if p > cut else t
+        rows.append(((kind,), values))
+    return collect(rows)
+
+
+def pop(tickets):
+    tickets = scaled(tickets, 2019, 12, 31, ["ROUND_WEIGHT_LBS"])
+    kept = [t for t in tickets if species(t) == "PACIFIC OCEAN PERCH" and t["LANDING_YEAR"] == 2019]
+    sums = totals(kept, lambda t: (t["VESSEL_NUM"], period(t), area(t), fleet(t)))
+    return collect(
+        ((2019, kind), {"P_SQMT": t, "P_A1_MT": respond("raise", t, 1800, 3600, 0.9)})
+        for (_, _, where, kind), t in sums.items()
+        if where == "N4010" and kind == "LE"
+    )
+
+
+def yellowtail(tickets):
+    kept = [
+        t for t in tickets
+        if species(t) == "YELLOWTAIL ROCKFISH" and t["LANDING_YEAR"] == 2024 and t["LANDING_MONTH"] < 6
+    ]
+    sums = totals(kept, lambda t: (t["VESSEL_NUM"], t["LANDING_MONTH"], area(t), fleet(t)))
+    limits = {"LE": (3000, 4500), "OA": (1500, 2500)}
+    return collect(
+        ((m, kind), {"P_SQMT": t, "P_A1_MT": respond("raise", t, *limits[kind], 0.7)})
+        for (_, m, where, kind), t in sums.items()
+        if where == "N4010"
+    )
+
+
+def shelf(tickets, names, last_month=10, where_only="N4010"):
+    kept = [
+        t for t in tickets
+        if t["LANDING_YEAR"] in (2021, 2022) and t["MANAGEMENT_GROUP_CODE"] == "GRND"
+        and species(t) in names and code_of(t) in LE + OA
+        and t["PARTICIPATION_GROUP_CODE"] == "C" and t["COUNCIL_CODE"] == "P"
+        and (last_month is None
+             or (t["LANDING_YEAR"] == 2021) == (t["LANDING_MONTH"] > last_month))
+    ]
+
+    def key(t):
+        return (
+            t["VESSEL_NUM"], t["LANDING_MONTH"], area_default(t), fleet_default(t),
+            sector_state(t), t["LANDING_YEAR"],
+        )
+
+    thresholds = {"LE": 0.9, "OA": 0.54}
+    return collect(
+        ((kind,), {"SQ_MT": t, "A1_MT": respond("raise", t, 800, 1500, thresholds[kind])})
+        for (_, _, where, kind, _, _), t in totals(kept, key).items()
+        if where_only in (None, where)
+    )
+
+
+def widow_shelf(tickets):
+    tickets = scaled(tickets, 2019, 12, 31, ["ROUND_WEIGHT_LBS"])
+    shelf_names = ("SHORTBELLY ROCKFISH", "BOCACCIO", "CHILIPEPPER ROCKFISH", "COWCOD")
+    rows = []
+    for group, names in (
+        ("both", (*shelf_names, "WIDOW ROCKFISH")),
+        ("shelf", shelf_names),
+        ("widow", ("WIDOW ROCKFISH",)),
+    ):
+        kept = [t for t in tickets if species(t) in names and t["LANDING_YEAR"] == 2019]
+        sums = totals(kept, lambda t: (t["VESSEL_NUM"], t["LANDING_MONTH"], area(t), fleet(t)))
+        for (_, _, where, kind), t in sums.items():
+            raised = 4000 if kind == "LE" else 2000
+            values = dict.fromkeys(("P_SQMT_Widow", "P_SQMT_Shelf", "P_WIDOW_MT", "P_SHELF_MT"), 0.0)
+            if group == "widow":
+                values["P_SQMT_Widow"] = t
+                values["P_WIDOW_MT"] = respond("raise", t, 200, raised, 0.9)
+            elif group == "shelf":
+                values["P_SHELF_MT"] = respond("raise", t, 200, 200, 0.9)
+            else:
+                values["P_SQMT_Shelf"] = min(t, 200)
+            rows.append(((kind, 2019, where), values))
+    return collect(rows)
+
+
+def zones(tickets, monthly=False):
+    kept = [
+        t for t in tickets if species(t) == "SHORTSPINE THORNYHEAD" and t["LANDING_YEAR"] == 2023
+    ]
+
+    def key(t):
+        kind = fleet(t)
+        vessel = t["VESSEL_NUM"] if kind == "LE" else t["VESSEL_REGISTRATION_ID"]
+        p = period(t)
+        if monthly and kind == "OA":
+            p = t["LANDING_MONTH"]
+        month = t["LANDING_MONTH"] if monthly else 0
+        return (vessel, p, month, subarea_stock(t), area(t), kind, sector(t))
+
+    rows = []
+    for (_, p, _, sub, where, kind, _), t in totals(kept, key, "LANDED_WEIGHT_LBS").items():
+        if p > 6:
+            continue
+        found = []
+        if where == "N4010":
+            found.append(f"{kind}N")
+        if sub == "3427-4010":
+            found.append(f"{kind}S")
+        if sub == "South of 3427" and kind == "LE":
+            found.append("LESS")
+        for zone in found:
+            values = {"SQ_MT": t}
+            if zone in ("LEN", "LES"):
+                sq = 2000 if p <= 3 else 2500
+                values["A1_MT"] = respond("raise", t, sq, 3000, 0.6)
+                values["A2_MT"] = respond("cap", t, sq, 750, 0.6)
+                values["A3_MT"] = respond("cap", t, sq, 350, 0.6)
+            elif zone == "LESS":
+                values["A1_MT"] = respond("raise", t, 3000, 4000, 0.8)
+            else:
+                values["A1_MT"] = respond("cap", t, 100, 50, 0.8)
+                values["A2_MT"] = respond("cap", t, 100, 40, 0.8)
+            rows.append(((zone,), values))
+    return collect(rows)
+
+
+def nearshore(tickets, listed, label):
+    kept = [
+        t for t in tickets
+        if t["LANDING_YEAR"] == 2019 and sector(t) == "NS" and all(v is not None for v in t.values())
+    ]
+    kept = scaled(kept, 2019, 12, 31, ["ROUND_WEIGHT_LBS", "EXVESSEL_REVENUE"])
+    out = defaultdict(lambda: [0.0, 0.0])
+    for t in kept:
+        name = species(t)
+        if name in listed or (name == "CALIFORNIA SHEEPHEAD" and t["ROUND_WEIGHT_LBS"] < 110):
+            south = t["REGION_NAME"] == "SOUTH CALIFORNIA" and t["SUBREGION_NAME"] != "SAN LUIS OBISPO"
+            key = (
+                t["AGENCY_CODE"], area(t), "S3427" if south else "N3427", name,
+                label(name, t["AGENCY_CODE"]),
+            )
+            out[key][0] += t["ROUND_WEIGHT_LBS"] / MT
+            out[key][1] += float(t["EXVESSEL_REVENUE"])
+    return dict(out)
+
+
+def closest_year(tickets, years):
+    x, y, z = years
+    whole, early = defaultdict(float), defaultdict(float)
+    for t in tickets:
+        key = (t["LANDING_YEAR"], area_default(t), species(t))
+        if t["LANDING_YEAR"] in years and None not in key and t["ROUND_WEIGHT_LBS"] is not None:
+            whole[key] += t["ROUND_WEIGHT_LBS"] / MT
+            early[key] += t["ROUND_WEIGHT_LBS"] / MT if t["LANDING_MONTH"] < 9 else 0.0
+    out = {}
+    for year, where, name in whole:
+        if year != z:
+            continue
+        now, so_far = whole[z, where, name], early[z, where, name]
+        side = {}
+        for other in (x, y):
+            key = (other, where, name)
+            if key in whole and (y, where, name) in whole:
+                side[other] = (early[key], early[key] / whole[key] if whole[key] else 0.0)
+            else:
+                side[other] = (0.0, 0.0)
+        nearer = x if abs(so_far - side[y][0]) > abs(so_far - side[x][0]) else y
+        ratio = side[nearer][1]
+        if ratio:
+            estimate = max(now, so_far / ratio)
+        else:
+            estimate = math.inf if so_far > 0 else None
+        out[where, name] = (now, estimate)
+    return out
+
+
+def incidental(tickets):
+    trips = defaultdict(lambda: {"PACIFIC HALIBUT": 0.0, "SABLEFISH": 0.0})
+    for t in tickets:
+        name = t["PACFIN_SPECIES_COMMON_NAME"]
+        if t["AGENCY_CODE"] != "W" or t["GMT_SABLEFISH_CODE"] not in ("PRI", "LEN"):
+            continue
+        if t["REMOVAL_TYPE_CODE"] in (None, "E") or not 4 <= t["LANDING_MONTH"] <= 10:
+            continue
+        if name == "PACIFIC HALIBUT" and t["CATCH_AREA_CODE"] in (None, "60A2", "61"):
+            continue
+        key = (t["LANDING_YEAR"], t["LANDING_MONTH"], t["LANDING_DATE"], t["VESSEL_NUM"])
+        if name not in ("PACIFIC HALIBUT", "SABLEFISH") or None in key:
+            continue
+        if t["LANDED_WEIGHT_LBS"] is not None:
+            trips[key][name] += t["LANDED_WEIGHT_LBS"]
+    so_far, sq_rest, alt_rest = 0.0, 0.0, 0.0
+    for (year, month, _, _), landed in trips.items():
+        h, sf = landed["PACIFIC HALIBUT"], landed["SABLEFISH"]
+        if year == 2020 and month < 9:
+            so_far += h
+        if year == 2019 and month > 8 and h > 0 and sf > 0:
+            thousands = round(sf / 1000) * 1000  # halves go to even
+            step = thousands - 1000 if thousands > sf + 100 else thousands
+            step = step or sf
+            sq, alt = step / 5 + 30, step / 4 + 30
+            targeting = step >= 1000 and h / sq >= 0.8
+            sq_rest += sq if targeting else h
+            alt_rest += alt if targeting else h
+    return so_far, sq_rest, alt_rest, (so_far + sq_rest) * 0.88, (so_far + alt_rest) * 0.88
