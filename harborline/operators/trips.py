@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborline.functions.respond import ratio_limit, respond_ratio, step_round
-from harborline.functions.semantics import complete_cases, known, sum_known
+from harborline.functions.semantics import complete_cases, sum_known
 from harborline.functions.units import net_weight
 
 TRIP_KEYS = ("LANDING_YEAR", "LANDING_MONTH", "LANDING_DATE", "VESSEL_NUM")
@@ -32,7 +32,7 @@ def species_side_by_side(
     complete = complete_cases(listed, [*keys, weight])
     return complete.groupBy(*keys).agg(
         *(
-            sum_known(F.when(F.col(species_column) == name, known(tickets, weight))).alias(column)
+            sum_known(F.when(F.col(species_column) == name, F.col(weight))).alias(column)
             for column, name in species.items()
         )
     )
@@ -47,23 +47,22 @@ def roll_up(wide: DataFrame, species: Sequence[str], keys: Sequence[str] = TRIP_
     )
 
 
-def in_months(first: int, last: int):
+def in_months(first: int, last: int) -> Column:
     return F.col("LANDING_MONTH").between(first, last)
 
 
-def net_by_month(trips: DataFrame, species: str, keys: Sequence[str], divisor: float = 1.0):
-    """Net pounds per month; the divisor is the number of years behind an average."""
+def net_pounds(
+    trips: DataFrame, species: str, keys: Sequence[str], divisor: float = 1.0
+) -> DataFrame:
+    """Net pounds per month, year or both; the divisor is the number of years behind an
+    average."""
     return trips.groupBy(*keys).agg(
         (F.sum(net_weight(species)) / divisor).alias(f"{species}_NET")
     )
 
 
 def with_ratio_limits(
-    trips: DataFrame,
-    limited: str,
-    target: str,
-    per: Mapping[str, float],
-    constant: float = 30.0,
+    trips: DataFrame, target: str, per: Mapping[str, float], constant: float = 30.0
 ) -> DataFrame:
     """Stepped pounds of the target species and the limits they allow, one per scenario."""
     stepped = trips.withColumn("STEPPED", step_round(target))
@@ -111,7 +110,7 @@ def ratio_projection(
     )
     scenarios = list(per)
     responded = respond_to_ratio_limits(
-        with_ratio_limits(trips.filter(rest | so_far), limited, target, per),
+        with_ratio_limits(trips.filter(rest | so_far), target, per),
         limited,
         scenarios,
         base,

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborline.functions import labels, respond
-from harborline.functions.semantics import complete_cases, if_known
+from harborline.functions.semantics import complete_cases
 from harborline.functions.units import sum_tons
 from harborline.operators import bycatch, estimate, groups, limits, scope, totals, trips
 from harborline.operators.limits import LimitSchedule

@@ -522,10 +522,13 @@ SELECT LANDING_YEAR, LANDING_MONTH, CAST(trip_date AS VARCHAR) AS LANDING_DATE,
 FROM responded WHERE ph > 0 AND sf > 0""",
     "q_month_profile": f"""WITH {TRIPS}
 SELECT LANDING_YEAR, LANDING_MONTH, round(sum(ph * 0.88::DOUBLE), 4) AS PACIFIC_HALIBUT_NET
-FROM season GROUP BY ALL
-UNION ALL
-SELECT 0 AS LANDING_YEAR, LANDING_MONTH, round(sum(ph * 0.88::DOUBLE) / 4, 4)
-FROM season WHERE LANDING_YEAR > 1995 AND LANDING_YEAR < 2000 GROUP BY ALL""",
+FROM season GROUP BY ALL""",
+    "q_month_average": f"""WITH {TRIPS}
+SELECT LANDING_MONTH, round(sum(ph * 0.88::DOUBLE) / 4, 4) AS PACIFIC_HALIBUT_NET
+FROM season WHERE LANDING_YEAR > 1995 AND LANDING_YEAR < 2000 GROUP BY LANDING_MONTH""",
+    "q_year_breakdown": f"""WITH {TRIPS}
+SELECT LANDING_YEAR, round(sum(ph * 0.88::DOUBLE), 4) AS PACIFIC_HALIBUT_NET
+FROM season WHERE LANDING_YEAR > 1995 AND LANDING_YEAR < 2000 GROUP BY LANDING_YEAR""",
     "q_year_to_date": f"""WITH {TRIPS},
 parts AS (
   SELECT LANDING_YEAR AS y, ph AS so_far, 0 AS rest FROM season WHERE LANDING_MONTH < 9

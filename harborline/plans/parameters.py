@@ -1,4 +1,7 @@
-"""Fixed values of the models, to be kept as they are: limits in pounds, thresholds, species lists, depth bins."""
+"""Fixed values of the models, to be kept as they are.
+
+Limits in pounds, thresholds, depth bins and species lists.
+"""
 
 from __future__ import annotations
 

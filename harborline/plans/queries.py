@@ -34,7 +34,7 @@ COMMON = "PACFIN_SPECIES_COMMON_NAME"
 LBS, LANDED, REVENUE = "ROUND_WEIGHT_LBS", "LANDED_WEIGHT_LBS", "EXVESSEL_REVENUE"
 
 # The sample tables end in November 2001, which serves as the month under way.
-YEAR, MONTH, LAST_DAY_COUNT = 2001, 11, 30
+YEAR, MONTH = 2001, 11
 PRIOR = YEAR - 1
 
 # Sample species in the roles of the fixed lists.
@@ -496,7 +496,7 @@ def q_ratio_limit(spark, sf_dir):
     wide = sample_trips(spark, sf_dir, fishery=False).filter(
         (F.col("PACIFIC_HALIBUT") > 0) & (F.col("SABLEFISH") > 0)
     )
-    limited = trips.with_ratio_limits(wide, "PACIFIC_HALIBUT", "SABLEFISH", P.RATIO_LIMITS)
+    limited = trips.with_ratio_limits(wide, "SABLEFISH", P.RATIO_LIMITS)
     return rounded(
         trips.respond_to_ratio_limits(
             limited, "PACIFIC_HALIBUT", list(P.RATIO_LIMITS), P.RATIO_BASE
@@ -504,15 +504,22 @@ def q_ratio_limit(spark, sf_dir):
     )
 
 
+def _net_halibut(spark, sf_dir, keys, years=None, divisor=1.0):
+    season = sample_trips(spark, sf_dir, years).filter(trips.in_months(4, 10))
+    return rounded(trips.net_pounds(season, "PACIFIC_HALIBUT", keys, divisor))
+
+
 def q_month_profile(spark, sf_dir):
-    """Net pounds per month: each year, and the four-year average as year 0."""
-    season = sample_trips(spark, sf_dir).filter(trips.in_months(4, 10))
-    by_year = trips.net_by_month(season, "PACIFIC_HALIBUT", ["LANDING_YEAR", "LANDING_MONTH"])
-    years = by_year.filter(F.col("LANDING_YEAR").between(1996, 1999))
-    average = years.groupBy(F.lit(0).alias("LANDING_YEAR"), "LANDING_MONTH").agg(
-        (F.sum("PACIFIC_HALIBUT_NET") / 4).alias("PACIFIC_HALIBUT_NET")
-    )
-    return rounded(by_year.unionByName(average))
+    return _net_halibut(spark, sf_dir, ["LANDING_YEAR", "LANDING_MONTH"])
+
+
+def q_month_average(spark, sf_dir):
+    """Average month of four complete years."""
+    return _net_halibut(spark, sf_dir, ["LANDING_MONTH"], (1996, 1999), 4)
+
+
+def q_year_breakdown(spark, sf_dir):
+    return _net_halibut(spark, sf_dir, ["LANDING_YEAR"], (1996, 1999))
 
 
 def q_year_to_date(spark, sf_dir):
