@@ -320,13 +320,13 @@ priced AS (
 )"""
 
 
-def years_frame(area: str, source: str, months: str = "true", complete: str = "true") -> str:
+def years_frame(area: str, source: str, months: str = "true") -> str:
     return f"""
 yearly AS (
   SELECT LANDING_YEAR, {area} AS AREA, {COMMON} AS SPECIES,
          sum(CASE WHEN LANDING_MONTH < 9 THEN ROUND_WEIGHT_LBS / {MT} ELSE 0 END) AS thru,
          sum(ROUND_WEIGHT_LBS / {MT}) AS mt
-  FROM {source} WHERE {months} AND {complete} GROUP BY ALL
+  FROM {source} WHERE {months} GROUP BY ALL
 )"""
 
 
@@ -421,7 +421,6 @@ SELECT ZONE, P AS PERIOD, sq AS TL_SQ, l1 AS TL_A1, l2 AS TL_A2, l3 AS TL_A3, co
        sum(tlbs) AS LBS
 FROM limited GROUP BY ALL""",
     "q_year_ratio": f"""WITH {GAPPED},
-{years_frame(AREA, "gapped")},
 complete AS (
   SELECT LANDING_YEAR, {AREA} AS AREA, {COMMON} AS SPECIES, LANDING_MONTH, ROUND_WEIGHT_LBS
   FROM gapped WHERE ROUND_WEIGHT_LBS IS NOT NULL AND {COMMON} IS NOT NULL

@@ -93,25 +93,25 @@ def sample_tickets(
     ordered = [f.name for f in TICKET_SCHEMA if f.name in wanted]
     changed = overrides or {}
 
-    def named(source: dict[str, str]) -> list:
-        return [F.expr(changed.get(c, source[c])).alias(c) for c in ordered if c in source]
+    def named(source: dict[str, str]) -> list[str]:
+        return [f"{changed.get(c, source[c])} as {c}" for c in ordered if c in source]
 
     # Each side works out its own columns below the join, so that label expressions above
     # it see plain columns.
     of_part, of_vessel = named(FROM_PART), named(FROM_SUPPLIER)
     extra = list(extra_lines)
-    keys = ([], ["l_partkey"])[bool(of_part)] + ([], ["l_suppkey"])[bool(of_vessel)]
+    keys = ["l_partkey"] * bool(of_part) + ["l_suppkey"] * bool(of_vessel)
     lines = _dated(table(spark, sf_dir, "lineitem"), "l_shipdate", years)
-    tickets = lines.select(*named(FROM_LINES), *dict.fromkeys(keys + extra))
+    tickets = lines.selectExpr(*named(FROM_LINES), *dict.fromkeys(keys + extra))
     # Parts first: a species filter thins the lines before they meet the vessels.
     if of_part:
-        parts = table(spark, sf_dir, "part").select("p_partkey", *of_part)
+        parts = table(spark, sf_dir, "part").selectExpr("p_partkey", *of_part)
         tickets = tickets.join(parts, F.col("l_partkey") == F.col("p_partkey"))
     if of_vessel:
         nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
         suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
         vessels = suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-        vessels = vessels.select("s_suppkey", *of_vessel)
+        vessels = vessels.selectExpr("s_suppkey", *of_vessel)
         tickets = tickets.join(vessels, F.col("l_suppkey") == F.col("s_suppkey"))
     return tickets.select(*ordered, *extra)
 
@@ -140,18 +140,14 @@ def sample_trip_headers(
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     vessels = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     day = "cast(o_orderdate as date)"
-    return orders.join(vessels, F.col("o_custkey") == F.col("c_custkey")).select(
+    return orders.join(vessels, F.col("o_custkey") == F.col("c_custkey")).selectExpr(
         "o_orderkey",
-        F.expr(f"year({day})").alias("LANDING_YEAR"),
-        F.expr(f"month({day})").alias("LANDING_MONTH"),
-        F.expr(day).alias("LANDING_DATE"),
-        F.col("o_custkey").cast("string").alias("VESSEL_NUM"),
-        F.expr("case n_regionkey when 0 then 'O' when 1 then 'W' else 'C' end").alias("AGENCY_CODE"),
-        F.expr(
-            """case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'PRI'
-                    when o_orderpriority = '5-LOW' then 'OPN' else 'LEN' end"""
-        ).alias("GMT_SABLEFISH_CODE"),
-        F.expr("case o_orderstatus when 'P' then 'E' else o_orderstatus end").alias(
-            "REMOVAL_TYPE_CODE"
-        ),
+        f"year({day}) as LANDING_YEAR",
+        f"month({day}) as LANDING_MONTH",
+        f"{day} as LANDING_DATE",
+        "cast(o_custkey as string) as VESSEL_NUM",
+        "case n_regionkey when 0 then 'O' when 1 then 'W' else 'C' end as AGENCY_CODE",
+        """case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'PRI'
+            when o_orderpriority = '5-LOW' then 'OPN' else 'LEN' end as GMT_SABLEFISH_CODE""",
+        "case o_orderstatus when 'P' then 'E' else o_orderstatus end as REMOVAL_TYPE_CODE",
     )
