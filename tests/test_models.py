@@ -135,7 +135,8 @@ def test_widow_shelf(tickets, rows):
 
 
 def test_widow_and_shelf_add_up_before_limits(tickets):
-    sums = {r.SPPGROUP: r.lbs for r in models.widow_shelf_totals(tickets).groupBy("SPPGROUP").agg({"tlbs": "sum"}).toDF("SPPGROUP", "lbs").collect()}
+    landed = models.widow_shelf_totals(tickets).groupBy("SPPGROUP").sum("tlbs")
+    sums = dict(landed.collect())
     assert sums["WIDOW"] + sums["SHELF"] == pytest.approx(sums["WIDOW&SHELF"])
 
 
@@ -203,3 +204,19 @@ def test_no_landings_give_no_rows(spark):
     empty = spark.createDataFrame([], TICKET_SCHEMA)
     for name in ("lingcod", "pop", "yellowtail", "shelf", "widow_shelf", "zones", "nearshore"):
         assert models.MODELS[name](empty).count() == 0
+
+
+def test_same_result_on_any_partitioning(tickets):
+    """Not only close: whole pounds sum to the same number in any order."""
+    for model in (models.lingcod_model, models.shelf_model, models.zones_model):
+        results = [sorted(model(tickets.repartition(n)).collect()) for n in (1, 3, 11)]
+        assert results[0] == results[1] == results[2]
+
+
+def test_results_do_not_depend_on_ansi_mode(spark, tickets):
+    strict = sorted(models.yellowtail_model(tickets).collect())
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        assert sorted(models.yellowtail_model(tickets).collect()) == strict
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")

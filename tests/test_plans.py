@@ -39,7 +39,11 @@ def test_generated_methods_are_compiled(spark, sf_small, name):
 
 
 MODEL_SCANS = {
-    "q_model_lingcod": ["GreaterThanOrEqual(l_shipdate,2000-01-01", "LessThan(l_shipdate,2002-01-01", "EqualTo(p_type,ECONOMY)"],
+    "q_model_lingcod": [
+        "GreaterThanOrEqual(l_shipdate,2000-01-01",
+        "LessThan(l_shipdate,2002-01-01",
+        "EqualTo(p_type,ECONOMY)",
+    ],
     "q_model_pop": ["GreaterThanOrEqual(l_shipdate,2001-01-01", "EqualTo(p_type,ECONOMY)"],
     "q_model_yellowtail": ["GreaterThanOrEqual(l_shipdate,2001-01-01", "EqualTo(p_type,ECONOMY)"],
     "q_model_shelf": ["GreaterThanOrEqual(l_shipdate,2000-01-01", "In(p_name"],

@@ -106,7 +106,12 @@ def test_step_round_equals_half_even_form(spark):
 
 @pytest.mark.parametrize(
     "halibut, stepped, status_quo, alternative",
-    [(183.0, 1000.0, 183.0, 183.0), (184.0, 1000.0, 230.0, 280.0), (400.0, 1000.0, 230.0, 280.0), (400.0, 899.0, 400.0, 400.0)],
+    [
+        (183.0, 1000.0, 183.0, 183.0),
+        (184.0, 1000.0, 230.0, 280.0),
+        (400.0, 1000.0, 230.0, 280.0),
+        (400.0, 899.0, 400.0, 400.0),
+    ],
 )
 def test_ratio(spark, halibut, stepped, status_quo, alternative):
     sq, alt = R.ratio_limit("sf", 5.0), R.ratio_limit("sf", 4.0)
