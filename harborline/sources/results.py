@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def fixed_notation(name: str, digits: int = 10) -> Column:
+def fixed_notation(name: str, digits: int = 12) -> Column:
     """A double as text without exponent and trailing zeros; infinities and NaN by name."""
     value = F.col(name)
     number = F.abs(value) < float("inf")
@@ -22,7 +22,7 @@ def fixed_notation(name: str, digits: int = 10) -> Column:
     )
 
 
-def as_text(df: DataFrame, digits: int = 10) -> DataFrame:
+def as_text(df: DataFrame, digits: int = 12) -> DataFrame:
     doubles = (T.DoubleType, T.FloatType)
     return df.select(
         *(
@@ -32,7 +32,7 @@ def as_text(df: DataFrame, digits: int = 10) -> DataFrame:
     )
 
 
-def write_result(df: DataFrame, path: str, mode: str = "errorifexists", digits: int = 10) -> None:
+def write_result(df: DataFrame, path: str, mode: str = "errorifexists", digits: int = 12) -> None:
     """CSV with a header and NA for missing values, written in parallel: one file per
     partition, no row names."""
     as_text(df, digits).write.mode(mode).csv(path, header=True, nullValue="NA", emptyValue="")

@@ -131,3 +131,24 @@ def test_ticket_sums_and_header_join_share_a_shuffle(spark, sf_small, without_br
 
     plan = plan_of(sample_trips(spark, sf_small))
     assert len(re.findall(r"hashpartitioning\(l_orderkey", plan)) == 1
+
+
+def test_selected_headers_filter_the_lines_before_their_shuffle(spark, sf_small, without_broadcast):
+    """A runtime filter on the tickets goes through the sums per ticket down to the scan."""
+    changes = {
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+        "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB",
+    }
+    old = {key: spark.conf.get(key) for key in changes}
+    for key, value in changes.items():
+        spark.conf.set(key, value)
+    try:
+        df = contract.queries()["q_model_ratio"](spark, sf_small)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        rows = df.collect()
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    scan_filter = next(x for x in plan.splitlines() if "Filter" in x and "l_quantity" in x)
+    assert "might_contain" in scan_filter and "l_orderkey" in scan_filter
+    assert rows == contract.queries()["q_model_ratio"](spark, sf_small).collect()

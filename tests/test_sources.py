@@ -93,6 +93,10 @@ def read_csv(path):
     return [line for t in text for line in t.splitlines()]
 
 
+def fixed(value):
+    return f"{value:.12f}".rstrip("0")
+
+
 def test_result_in_fixed_notation(spark, tmp_path):
     values = [1.0e7, 123456789.5, 0.1, -2.0, 0.0, 1e-4, None, float("nan"), float("inf"), float("-inf")]
     df = spark.createDataFrame([("k", v) for v in values], "k string, x double")
@@ -120,5 +124,26 @@ def test_run_from_csv_to_csv(spark, tmp_path):
     run(spark, "pop", path, out)
     assert read_csv(out) == [
         "LANDING_YEAR,TYPE,P_SQMT,P_A1_MT",
-        f"2019,LE,{1800 / 2204.6:.10f},{3700 / 2204.6:.10f}",
+        f"2019,LE,{fixed(1800 / 2204.6)},{fixed(3700 / 2204.6)}",
+    ]
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    from harborline import __main__ as command
+
+    text = (
+        "VESSEL_NUM,LANDING_YEAR,LANDING_MONTH,AGENCY_CODE,DAHL_GROUNDFISH_CODE,PACFIN_CATCH_AREA_CODE,"
+        "NOMINAL_TO_ACTUAL_PACFIN_SPECIES_NAME,ROUND_WEIGHT_LBS,EXVESSEL_REVENUE\n"
+        "1,2020,1,W,6,1A,YELLOWTAIL ROCKFISH,1100,10\n1,2020,7,W,6,1A,YELLOWTAIL ROCKFISH,1100,10\n"
+    )
+    out = str(tmp_path / "out")
+    argv = ["harborline", "yellowtail", "--tickets", write(tmp_path / "t.csv", text), "--out", out]
+    argv += ["--set", "year=2020", "--set", "before_month=3"]
+    monkeypatch.setattr("sys.argv", argv)
+    command.main()
+    expected = [
+        "LANDING_MONTH,TYPE,P_SQMT,P_A1_MT",
+        f"1,OA,{fixed(1100 / 2204.6)},{fixed(2500 / 2204.6)}",
     ]
+    assert read_csv(out) == expected
+    assert command._setting("area=N4010") == ("area", "N4010")
