@@ -159,8 +159,8 @@ limited AS (
          CASE TYPE WHEN 'LE' THEN {limit_le}::DOUBLE ELSE {limit_oa}::DOUBLE END AS alt
   FROM vessel_periods),
 responded AS (SELECT *, {rule("alt", "0.8")} AS lbs FROM limited)
-SELECT TYPE, count(*) AS N, count(*) FILTER (lbs > tlbs) AS N_RAISED,
-       count(*) FILTER (lbs < tlbs) AS N_LOWERED, {tons("tlbs", "SQ_MT")},
+SELECT TYPE, count(*) AS N, count(*) FILTER (WHERE lbs > tlbs) AS N_RAISED,
+       count(*) FILTER (WHERE lbs < tlbs) AS N_LOWERED, {tons("tlbs", "SQ_MT")},
        {tons("lbs", "RESPONSE_MT")}
 FROM responded GROUP BY TYPE"""
 
@@ -315,7 +315,8 @@ totals AS (
   GROUP BY ALL
 ),
 priced AS (
-  SELECT *, CASE WHEN tlbs = 0 THEN 'Infinity'::DOUBLE ELSE exvessel / tlbs END AS price
+  SELECT *, CASE WHEN tlbs <> 0 THEN exvessel / tlbs END AS price,
+         CASE WHEN tlbs = 0 THEN 1 ELSE 0 END AS infinite
   FROM totals WHERE NOT (tlbs = 0 AND exvessel = 0)
 )"""
 
@@ -341,7 +342,7 @@ limits AS (
     t(TYPE, SCENARIO, lbs)
 )
 SELECT TYPE, PERIOD, SCENARIO, lbs::DOUBLE AS LIMIT_LBS, count(*) AS N,
-       count(*) FILTER (tlbs >= lbs::DOUBLE) AS N_AT_LIMIT
+       count(*) FILTER (WHERE tlbs >= lbs::DOUBLE) AS N_AT_LIMIT
 FROM vessel_periods JOIN limits USING (TYPE) GROUP BY ALL""",
     "q_period": f"""WITH {TICKETS}
 SELECT LANDING_MONTH, {PERIOD} AS PERIOD, {N_LBS} FROM tickets GROUP BY LANDING_MONTH""",
@@ -462,11 +463,10 @@ chosen AS (
   SELECT *, CASE WHEN abs(tz - ty) > abs(tz - tx) THEN rx ELSE ry END AS ratio FROM sides
 ),
 estimated AS (
-  SELECT *, CASE WHEN ratio <> 0 THEN tz / ratio WHEN tz > 0 THEN 'Infinity'::DOUBLE END AS est
-  FROM chosen
+  SELECT *, CASE WHEN ratio <> 0 THEN greatest(mz, tz / ratio) END AS est FROM chosen
 )
-SELECT AREA, SPECIES, round(mz, 4) AS MT_z,
-       round(CASE WHEN est IS NULL THEN NULL WHEN mz > est THEN mz ELSE est END, 4) AS ESTIMATED_MT
+SELECT AREA, SPECIES, round(mz, 4) AS MT_z, round(est, 4) AS ESTIMATED_MT,
+       CASE WHEN ratio = 0 AND tz > 0 THEN 1 ELSE 0 END AS ESTIMATED_MT_INFINITE
 FROM estimated""",
     "q_vessel_totals": f"""WITH {GAPPED},
 labelled AS (
@@ -481,10 +481,12 @@ FROM labelled WHERE VESSEL_NUM IS NOT NULL AND AREA IS NOT NULL AND TYPE IS NOT
 GROUP BY VESSEL_NUM, LANDING_YEAR, 3, AREA, TYPE""",
     "q_price_per_lb": f"""{PRICED}
 SELECT VESSEL_NUM, LANDING_MONTH, PERIOD, SUBAREA, AREA, TYPE, SECTOR, LANDING_YEAR, SPPGROUP,
-       exvessel, tlbs, price
+       exvessel, tlbs, price, infinite AS price_INFINITE
 FROM priced""",
     "q_mean_price": f"""{PRICED}
-SELECT PERIOD, SUBAREA, round(avg(price), 4) AS PRICE FROM priced GROUP BY PERIOD, SUBAREA""",
+SELECT PERIOD, SUBAREA, max(infinite) AS PRICE_INFINITE,
+       CASE WHEN max(infinite) = 0 THEN round(avg(price), 4) END AS PRICE
+FROM priced GROUP BY PERIOD, SUBAREA""",
     "q_aggregate_cc": f"""WITH {GAPPED}
 SELECT LANDING_YEAR, VESSEL_NUM, {NOMINAL}, sum(LANDED_WEIGHT_LBS) AS LANDED_WEIGHT_LBS
 FROM gapped

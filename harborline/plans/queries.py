@@ -114,6 +114,17 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     return df.withColumns({name: F.round(name, digits) for name in doubles})
 
 
+def flag_infinite(df: DataFrame, name: str) -> DataFrame:
+    """Infinity as null with a flag beside it: not every client can carry the value."""
+    infinite = F.col(name) == float("inf")
+    return df.withColumns(
+        {
+            f"{name}_INFINITE": F.coalesce(infinite, F.lit(False)).cast("int"),
+            name: F.when(~infinite, F.col(name)),
+        }
+    )
+
+
 def counted(df: DataFrame, *keys: str) -> DataFrame:
     return rounded(df.groupBy(*keys).agg(F.count("*").alias("N"), sum_known(LBS).alias("LBS")))
 
@@ -349,9 +360,9 @@ def q_right_join_years(spark, sf_dir):
 
 def q_closest_year(spark, sf_dir):
     tickets = sample_tickets(spark, sf_dir, YEAR_COLUMNS, (YEAR - 2, YEAR))
-    return rounded(
-        models.closest_year_model(tickets, (YEAR - 2, YEAR - 1, YEAR), species_column=COMMON)
-    )
+    years = (YEAR - 2, YEAR - 1, YEAR)
+    estimates = models.closest_year_model(tickets, years, species_column=COMMON)
+    return rounded(flag_infinite(estimates, "ESTIMATED_MT"))
 
 
 # --- totals ------------------------------------------------------------------------------
@@ -379,11 +390,12 @@ def _priced(spark, sf_dir):
 
 def q_price_per_lb(spark, sf_dir):
     # Not rounded: one division of exact sums is the same number in every engine.
-    return portable(_priced(spark, sf_dir))
+    return portable(flag_infinite(_priced(spark, sf_dir), "price"))
 
 
 def q_mean_price(spark, sf_dir):
-    return rounded(totals.mean_price(_priced(spark, sf_dir), ["PERIOD", "SUBAREA"]))
+    means = totals.mean_price(_priced(spark, sf_dir), ["PERIOD", "SUBAREA"])
+    return rounded(flag_infinite(means, "PRICE"))
 
 
 def q_aggregate_cc(spark, sf_dir):
