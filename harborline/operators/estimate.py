@@ -4,44 +4,63 @@ from __future__ import annotations
 
 import calendar
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborline.functions.semantics import complete_cases, divide, if_known, nan_to_null
+from harborline.functions.semantics import complete_cases, divide, if_known, nan_to_null, sum_known
 from harborline.functions.units import sum_tons
-from harborline.operators.totals import POUNDS
 
+POUNDS = "ROUND_WEIGHT_LBS"
 
-def complete_partial_month(
+
+@dataclass(frozen=True)
+class PartialMonth:
+    """A month still under way: its rows, its length and the last day landed in it."""
+
+    in_month: Column
+    days: int
+    last_day: Column
+
+    def scale(self, value: Column) -> Column:
+        return value * self.days / self.last_day
+
+    def scale_row(self, name: str) -> Column:
+        """The value of one row, brought to the whole month where it is of that month."""
+        value = F.col(name)
+        dated = ["LANDING_YEAR", "LANDING_MONTH"]
+        return if_known(self.in_month, self.scale(value.cast("double")), value, dated)
+
+    def scale_sum(self, value: Column) -> Column:
+        """Sum of values with those of the month scaled. Each part is summed before it is
+        scaled, so that sums of whole pounds stay exact in any order."""
+        partial = sum_known(F.when(self.in_month, value)).cast("double")
+        others = sum_known(F.when(~self.in_month, value)).cast("double")
+        return others + F.coalesce(self.scale(partial), F.lit(0.0))
+
+
+def partial_month(
     tickets: DataFrame,
     year: int,
     month: int,
-    columns: Sequence[str] = (POUNDS,),
     days: int | None = None,
     day_source: DataFrame | None = None,
-) -> DataFrame:
-    """Scale the last month by its length over the last day landed in it.
-
-    The last day is a scalar subquery: one aggregated row, no join. ``day_source`` may be
-    any frame with the same ticket dates; a narrow one spares the subquery the joins or
-    columns that ``tickets`` carries.
-    """
-    days = days or calendar.monthrange(year, month)[1]
+) -> PartialMonth:
+    """The last day is a scalar subquery: one aggregated row, no join. ``day_source`` may
+    be any frame with the same ticket dates; a narrow one spares the subquery the joins or
+    columns that ``tickets`` carries."""
     in_month = (F.col("LANDING_YEAR") == year) & (F.col("LANDING_MONTH") == month)
     dated = tickets if day_source is None else day_source
     last_day = dated.filter(in_month).agg(F.max(F.col("LANDING_DAY").cast("int"))).scalar()
-    return tickets.withColumns(
-        {
-            c: if_known(
-                in_month,
-                F.col(c).cast("double") * days / last_day,
-                F.col(c),
-                ["LANDING_YEAR", "LANDING_MONTH"],
-            )
-            for c in columns
-        }
-    )
+    return PartialMonth(in_month, days or calendar.monthrange(year, month)[1], last_day)
+
+
+def complete_partial_month(
+    tickets: DataFrame, partial: PartialMonth, columns: Sequence[str] = (POUNDS,)
+) -> DataFrame:
+    """Scale the rows of the last month by its length over the last day landed in it."""
+    return tickets.withColumns({c: partial.scale_row(c) for c in columns})
 
 
 def part_year_ratio(

@@ -8,27 +8,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborline.functions.semantics import complete_cases, divide, known, lookup, sum_known
-from harborline.functions.units import sum_tons
+from harborline.functions.units import pounds_to_tons, sum_tons
+from harborline.operators.estimate import POUNDS, PartialMonth
 
 MONTHS_PER_PERIOD = {"month": 1, "two_month": 2}
-POUNDS = "ROUND_WEIGHT_LBS"
 REVENUE = "EXVESSEL_REVENUE"
 
 
 def vessel_totals(
-    tickets: DataFrame, keys: Sequence[str], weight: str = POUNDS, revenue: str = REVENUE
+    tickets: DataFrame,
+    keys: Sequence[str],
+    weight: str = POUNDS,
+    revenue: str = REVENUE,
+    partial: PartialMonth | None = None,
 ) -> DataFrame:
-    """Pounds and revenue per key combination.
+    """Pounds and revenue per key combination, pounds of a partial month completed.
 
     Groups with a missing key are left out before the shuffle rather than after it; a
     group with only missing pounds is kept with total 0.
     """
+    pounds = known(tickets, weight)
     return (
         complete_cases(tickets, keys)
         .groupBy(*keys)
         .agg(
             sum_known(known(tickets, revenue)).alias("exvessel"),
-            sum_known(known(tickets, weight)).alias("tlbs"),
+            (sum_known(pounds) if partial is None else partial.scale_sum(pounds)).alias("tlbs"),
         )
     )
 
@@ -60,11 +65,20 @@ def project_tons(
 
 
 def landings_tons(
-    tickets: DataFrame, keys: Sequence[str], weight: str = POUNDS, revenue: str = REVENUE
+    tickets: DataFrame,
+    keys: Sequence[str],
+    weight: str = POUNDS,
+    revenue: str = REVENUE,
+    partial: PartialMonth | None = None,
 ) -> DataFrame:
+    """Tons and revenue per key combination, both completed for a partial month."""
+
+    def total(name: str) -> Column:
+        value = known(tickets, name)
+        return sum_known(value) if partial is None else partial.scale_sum(value)
+
     return tickets.groupBy(*keys).agg(
-        sum_tons(known(tickets, weight)).alias("P_SQMT"),
-        sum_known(known(tickets, revenue)).alias("P_EXVESSEL"),
+        pounds_to_tons(total(weight)).alias("P_SQMT"), total(revenue).alias("P_EXVESSEL")
     )
 
 

@@ -138,6 +138,14 @@ def strict_labels(tickets: DataFrame) -> DataFrame:
     )
 
 
+def under_way(
+    tickets: DataFrame, year: int, month: int | None, day_source: DataFrame | None
+) -> estimate.PartialMonth | None:
+    if month is None:
+        return None
+    return estimate.partial_month(tickets, year, month, day_source=day_source)
+
+
 def pop_model(
     tickets: DataFrame,
     schedules: Sequence[LimitSchedule] = P.POP_LIMITS,
@@ -152,18 +160,14 @@ def pop_model(
 ) -> DataFrame:
     """One area and year, the last month completed; a fleet without limits drops out."""
     current = tickets.filter(F.col("LANDING_YEAR") == year)
-    if partial_month is not None:
-        current = estimate.complete_partial_month(
-            current, year, partial_month, day_source=day_source
-        )
+    partial = under_way(current, year, partial_month, day_source)
     labelled = (
         strict_labels(current.filter(F.col(species_column).isin(*species)))
         .withColumn("SPPGROUP", labels.species_group(species_column, species, group))
         .filter(F.col("AREA") == area)
     )
-    landed = totals.vessel_totals(
-        labelled, ["VESSEL_NUM", "PERIOD", "AREA", "TYPE", "LANDING_YEAR", "SPPGROUP"]
-    )
+    keys = ["VESSEL_NUM", "PERIOD", "AREA", "TYPE", "LANDING_YEAR", "SPPGROUP"]
+    landed = totals.vessel_totals(labelled, keys, partial=partial)
     limits.check_grain(schedules, {"LE": "two_month", "OA": "two_month"})
     wide = limits.limits_side_by_side(tickets.sparkSession, schedules)
     responded = respond_to(limits.attach_limits(landed, wide), rules)
@@ -265,16 +269,12 @@ def widow_shelf_totals(
     day_source: DataFrame | None = None,
 ) -> DataFrame:
     current = tickets.filter(F.col("LANDING_YEAR") == year)
-    if partial_month is not None:
-        current = estimate.complete_partial_month(
-            current, year, partial_month, day_source=day_source
-        )
+    partial = under_way(current, year, partial_month, day_source)
     listed = current.filter(F.col(species_column).isin(*groups.listed_species(members)))
     membership = groups.membership_table(tickets.sparkSession, members, species_column)
     grouped = groups.into_groups(strict_labels(listed), membership, species_column)
-    return totals.vessel_totals(
-        grouped, ["VESSEL_NUM", "LANDING_MONTH", "AREA", "TYPE", "LANDING_YEAR", "SPPGROUP"]
-    )
+    keys = ["VESSEL_NUM", "LANDING_MONTH", "AREA", "TYPE", "LANDING_YEAR", "SPPGROUP"]
+    return totals.vessel_totals(grouped, keys, partial=partial)
 
 
 def widow_shelf_model(
@@ -331,16 +331,10 @@ def nearshore_landings(
     and revenue of the last month completed. Rows with any missing value are left out."""
     current = tickets.filter(F.col("LANDING_YEAR") == year)
     complete = complete_cases(current.withColumn("SECTOR", labels.nearshore_only()))
-    if partial_month is not None:
-        complete = estimate.complete_partial_month(
-            complete,
-            year,
-            partial_month,
-            [totals.POUNDS, totals.REVENUE],
-            day_source=day_source,
-        )
+    partial = under_way(complete, year, partial_month, day_source)
+    pounds = totals.POUNDS if partial is None else partial.scale_row(totals.POUNDS)
     kept = complete.filter(
-        scope.listed_or_small(species_column, totals.POUNDS, species, small_species, small_below)
+        scope.listed_or_small(species_column, pounds, species, small_species, small_below)
     )
     labelled = kept.withColumnRenamed(species_column, "SPECIES").withColumns(
         {
@@ -349,9 +343,8 @@ def nearshore_landings(
             "SPPGROUP": labels.species_group_by_rules("SPECIES", "AGENCY_CODE", rules),
         }
     )
-    return totals.landings_tons(
-        labelled, ["AGENCY_CODE", "AREA", "SUBAREA", "SPECIES", "SPPGROUP"]
-    )
+    keys = ["AGENCY_CODE", "AREA", "SUBAREA", "SPECIES", "SPPGROUP"]
+    return totals.landings_tons(labelled, keys, partial=partial)
 
 
 def zone_totals(

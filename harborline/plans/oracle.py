@@ -262,6 +262,14 @@ FACTOR = """(CASE WHEN LANDING_YEAR = 2001 AND LANDING_MONTH = 11
   ELSE 1.0::DOUBLE END)"""
 
 
+def completed(pounds: str, source: str) -> str:
+    """Sum with the part of November 2001 scaled."""
+    november = "LANDING_YEAR = 2001 AND LANDING_MONTH = 11"
+    return f"""(coalesce(sum({pounds}) FILTER (WHERE NOT ({november})), 0)
+    + coalesce(CAST(sum({pounds}) FILTER (WHERE {november}) AS DOUBLE) * 30
+               / (SELECT max(LANDING_DAY) FROM {source} WHERE {november}), 0))"""
+
+
 def zones(period: str, grain: str) -> str:
     return f"""WITH {TICKETS}, {STRICT},
 banded AS (SELECT *, {SUBAREA_STOCK} AS SUBAREA FROM labelled
@@ -582,7 +590,7 @@ FROM projected""",
     "q_model_pop": f"""WITH {TICKETS}, {STRICT},
 totals AS (
   SELECT VESSEL_NUM, PERIOD, TYPE, LANDING_YEAR,
-         sum(ROUND_WEIGHT_LBS * {FACTOR.format(source="tickets")}) AS tlbs, 1800.0::DOUBLE AS sq
+         {completed("ROUND_WEIGHT_LBS", "tickets")} AS tlbs, 1800.0::DOUBLE AS sq
   FROM labelled
   WHERE {NOMINAL} = 'ECONOMY' AND AREA = 'N4010' AND LANDING_YEAR = 2001 AND TYPE = 'LE'
   GROUP BY VESSEL_NUM, PERIOD, TYPE, LANDING_YEAR
@@ -623,7 +631,7 @@ SELECT TYPE, {tons("tlbs", "SQ_MT")},
 FROM totals GROUP BY TYPE""",
     "q_widow_shelf": f"""WITH {TICKETS}, {STRICT},
 scaled AS (
-  SELECT *, ROUND_WEIGHT_LBS * {FACTOR.format(source="tickets")} AS lbs FROM labelled
+  SELECT * FROM labelled
   WHERE LANDING_YEAR = 2001 AND {NOMINAL} IN ('LARGE', 'SMALL', 'MEDIUM')
     AND TYPE IS NOT NULL AND AREA IS NOT NULL
 ),
@@ -632,9 +640,10 @@ grouped AS (
   UNION ALL SELECT *, CASE {NOMINAL} WHEN 'LARGE' THEN 'WIDOW' ELSE 'SHELF' END FROM scaled
 ),
 totals AS (
-  SELECT VESSEL_NUM, LANDING_MONTH, AREA, TYPE, LANDING_YEAR, g, sum(lbs) AS tlbs,
+  SELECT VESSEL_NUM, LANDING_MONTH, AREA, TYPE, LANDING_YEAR, g,
+         {completed("ROUND_WEIGHT_LBS", "tickets")} AS tlbs,
          200.0::DOUBLE AS sq, CASE TYPE WHEN 'LE' THEN 4000.0::DOUBLE ELSE 2000.0::DOUBLE END AS lw
-  FROM grouped GROUP BY ALL
+  FROM grouped GROUP BY VESSEL_NUM, LANDING_MONTH, AREA, TYPE, LANDING_YEAR, g
 )
 SELECT TYPE, LANDING_YEAR, AREA,
        round(sum(CASE WHEN g = 'WIDOW' THEN tlbs ELSE 0 END / {MT}), 4) AS P_SQMT_Widow,

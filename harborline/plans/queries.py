@@ -436,12 +436,12 @@ def q_partial_month(spark, sf_dir):
     tickets = sample_tickets(
         spark, sf_dir, ["LANDING_YEAR", "LANDING_MONTH", "LANDING_DAY", LBS, REVENUE]
     )
-    scaled = estimate.complete_partial_month(tickets, YEAR, MONTH, [LBS, REVENUE])
-    return rounded(
-        scaled.groupBy("LANDING_YEAR", "LANDING_MONTH").agg(
-            F.sum(LBS).alias("LBS"), F.sum(REVENUE).alias("REVENUE")
-        )
+    partial = estimate.partial_month(tickets, YEAR, MONTH)
+    rows = estimate.complete_partial_month(tickets, partial, [LBS])
+    months = rows.groupBy("LANDING_YEAR", "LANDING_MONTH").agg(
+        F.sum(LBS).alias("LBS"), partial.scale_sum(F.col(REVENUE)).alias("REVENUE")
     )
+    return rounded(months)
 
 
 def _responded(spark, sf_dir, rule: str, scenario: str):

@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from harborline.functions.units import POUNDS_PER_METRIC_TON
 from harborline.operators import bycatch, estimate, joins, totals
@@ -14,10 +15,26 @@ def test_partial_month(spark):
         [(2001, 11, 2, 400.0), (2001, 11, 4, 0.0), (2001, 10, 30, 100.0), (2000, 11, 4, 50.0)],
         "LANDING_YEAR int, LANDING_MONTH int, LANDING_DAY int, ROUND_WEIGHT_LBS double",
     )
-    got = estimate.complete_partial_month(df, 2001, 11).collect()
+    november = estimate.partial_month(df, 2001, 11)
+    got = estimate.complete_partial_month(df, november).collect()
     assert [r.ROUND_WEIGHT_LBS for r in got] == [3000.0, 0.0, 100.0, 50.0]
-    untouched = estimate.complete_partial_month(df, 1999, 12).collect()
-    assert [r.ROUND_WEIGHT_LBS for r in untouched] == [400.0, 0.0, 100.0, 50.0]
+    pounds = F.col("ROUND_WEIGHT_LBS")
+    assert df.agg(november.scale_sum(pounds)).collect()[0][0] == 3150.0
+    no_rows = estimate.partial_month(df, 1999, 12)
+    got = estimate.complete_partial_month(df, no_rows).collect()
+    assert [r.ROUND_WEIGHT_LBS for r in got] == [400.0, 0.0, 100.0, 50.0]
+    assert df.agg(no_rows.scale_sum(pounds)).collect()[0][0] == 550.0
+
+
+def test_scaled_sums_are_exact(spark):
+    """Seven landings of 120 in seven of thirty days are 3600, a limit, not just below it."""
+    df = spark.createDataFrame(
+        [(2001, 11, day, 120.0) for day in range(1, 8)],
+        "LANDING_YEAR int, LANDING_MONTH int, LANDING_DAY int, ROUND_WEIGHT_LBS double",
+    )
+    november = estimate.partial_month(df, 2001, 11)
+    assert df.agg(november.scale_sum(F.col("ROUND_WEIGHT_LBS"))).collect()[0][0] == 3600.0
+    assert sum(120.0 * 30 / 7 for _ in range(7)) != 3600.0
 
 
 def lines(year, early, late):

@@ -206,11 +206,15 @@ def test_no_landings_give_no_rows(spark):
         assert models.MODELS[name](empty).count() == 0
 
 
-def test_same_result_on_any_partitioning(tickets):
-    """Not only close: whole pounds sum to the same number in any order."""
-    for model in (models.lingcod_model, models.shelf_model, models.zones_model):
-        results = [sorted(model(tickets.repartition(n)).collect()) for n in (1, 3, 11)]
-        assert results[0] == results[1] == results[2]
+@pytest.mark.parametrize(
+    "model", ["lingcod_model", "shelf_model", "zones_model", "widow_shelf_totals", "nearshore_landings"]
+)
+def test_same_result_on_any_partitioning(tickets, model):
+    """Not only close: whole pounds sum to the same number in any order, and those of a
+    partial month are scaled after the sum."""
+    run = getattr(models, model)
+    results = [sorted(run(tickets.repartition(n)).collect()) for n in (1, 3, 11)]
+    assert results[0] == results[1] == results[2]
 
 
 def test_results_do_not_depend_on_ansi_mode(spark, tickets):
