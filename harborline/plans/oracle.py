@@ -270,7 +270,7 @@ def completed(pounds: str, source: str) -> str:
                / (SELECT max(LANDING_DAY) FROM {source} WHERE {november}), 0))"""
 
 
-def zones(period: str, grain: str) -> str:
+def zones(period: str, grain: str, oa: tuple = (100, 50, 40), periods: int = 6) -> str:
     return f"""WITH {TICKETS}, {STRICT},
 banded AS (SELECT *, {SUBAREA_STOCK} AS SUBAREA FROM labelled
            WHERE {NOMINAL} = 'ECONOMY' AND LANDING_YEAR = 2001),
@@ -288,16 +288,16 @@ zoned AS (
 ),
 limited AS (
   SELECT *,
-    CASE WHEN TYPE = 'OA' THEN 100 WHEN ZONE = 'LESS' THEN 3000 WHEN P <= 3 THEN 2000 ELSE 2500 END::DOUBLE AS sq,
-    CASE WHEN TYPE = 'OA' THEN 50 WHEN ZONE = 'LESS' THEN 4000 ELSE 3000 END::DOUBLE AS l1,
-    CASE WHEN TYPE = 'OA' THEN 40 WHEN ZONE = 'LESS' THEN NULL ELSE 750 END::DOUBLE AS l2,
+    CASE WHEN TYPE = 'OA' THEN {oa[0]} WHEN ZONE = 'LESS' THEN 3000 WHEN P <= 3 THEN 2000 ELSE 2500 END::DOUBLE AS sq,
+    CASE WHEN TYPE = 'OA' THEN {oa[1]} WHEN ZONE = 'LESS' THEN 4000 ELSE 3000 END::DOUBLE AS l1,
+    CASE WHEN TYPE = 'OA' THEN {oa[2]} WHEN ZONE = 'LESS' THEN NULL ELSE 750 END::DOUBLE AS l2,
     CASE WHEN TYPE = 'OA' THEN NULL WHEN ZONE = 'LESS' THEN NULL ELSE 350 END::DOUBLE AS l3
-  FROM zoned WHERE P <= 6
+  FROM zoned WHERE P <= {periods}
 )"""
 
 
-def zone_model(period: str, grain: str) -> str:
-    return f"""{zones(period, grain)}
+def zone_model(period: str, grain: str, **limits) -> str:
+    return f"""{zones(period, grain, **limits)}
 SELECT ZONE, {tons("tlbs", "SQ_MT")},
   round(sum(CASE WHEN TYPE = 'OA' THEN {capped("l1", "0.8")} WHEN ZONE = 'LESS'
     THEN {raised("l1", "0.8")} ELSE {raised("l1", "0.6")} END / {MT}), 4) AS A1_MT,
@@ -307,6 +307,7 @@ SELECT ZONE, {tons("tlbs", "SQ_MT")},
 FROM limited GROUP BY ZONE"""
 
 
+BY_FLEET = f"CASE TYPE WHEN 'LE' THEN {PERIOD} ELSE LANDING_MONTH END"
 PRICED = f"""WITH {GAPPED},
 banded AS (
   SELECT *, {PERIOD} AS PERIOD, {SUBAREA_STOCK} AS SUBAREA, {AREA} AS AREA, {FLEET} AS TYPE,
@@ -678,9 +679,8 @@ SELECT AGENCY_CODE, AREA, SUBAREA, SPECIES, SPPGROUP, {tons("lbs", "P_SQMT")},
        round(sum(revenue), 4) AS P_EXVESSEL
 FROM labelled GROUP BY AGENCY_CODE, AREA, SUBAREA, SPECIES, SPPGROUP""",
     "q_model_zones": zone_model(PERIOD, "1"),
-    "q_model_zones_monthly": zone_model(
-        f"CASE TYPE WHEN 'LE' THEN {PERIOD} ELSE LANDING_MONTH END", "LANDING_MONTH"
-    ),
+    "q_model_zones_monthly": zone_model(BY_FLEET, "LANDING_MONTH"),
+    "q_model_zones_monthly_limits": zone_model(BY_FLEET, "1", oa=(50, 25, 20), periods=12),
     "q_model_ratio": f"""WITH {TRIPS}, {stepped("season")},
 rest AS (
   SELECT coalesce(sum(sq_lbs), 0) AS sq, coalesce(sum(alt_lbs), 0) AS alt FROM responded

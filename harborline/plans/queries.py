@@ -648,6 +648,16 @@ def q_model_zones_monthly(spark, sf_dir):
     )
 
 
+def q_model_zones_monthly_limits(spark, sf_dir):
+    """The open access fleet under the monthly limits considered, totalled by month."""
+    tickets = sample_tickets(spark, sf_dir, ZONE_COLUMNS, (YEAR, YEAR))
+    return rounded(
+        models.zones_model(
+            tickets, P.ZONE_LIMITS_MONTHLY_OA, species=ONE_SPECIES, group="ECON", year=YEAR
+        )
+    )
+
+
 def q_model_ratio(spark, sf_dir):
     season = sample_trips(spark, sf_dir, (PRIOR, YEAR)).filter(trips.in_months(4, 10))
     # The sample orders end in July, so the months through June count as landed.
