@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborline.llm.common import table
+from harborline.llm.secret_scan import scan_secrets
 from harborline.llm.sharding import shard_by_bytes
 from harborline.llm.simhash import near_classes
 from harborline.llm.url_filter import judge_urls
@@ -15,6 +16,23 @@ from harborline.llm.url_filter import judge_urls
 SHARDS = 24
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = scan_secrets(table(spark, sf_dir, "documents"))
+
+    def joined(column: str):
+        return F.array_join(
+            F.transform(column, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ","
+        )
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return scanned.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(joined("base"), 256).alias("base_sha256"), joined("found").alias("spans"),
+    )
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_by_bytes(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
