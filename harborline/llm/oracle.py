@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from harborline.llm import decontamination as d
 from harborline.llm import url_filter as u
 
 
@@ -42,5 +43,27 @@ SELECT page_id, host, path, CASE {rule} END AS rule,
 FROM urls JOIN bounds USING (host)"""
 
 
+_WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def op10_sql() -> str:
+    def grams(table: str, key: str) -> str:
+        return f"""
+  SELECT DISTINCT {key}, text, unnest(list_transform(range(1, len(w) - {d.SHINGLE_WORDS} + 2),
+         lambda i: array_to_string(w[i:i + {d.SHINGLE_WORDS - 1}], ' '))) AS gram
+  FROM (SELECT {key}, text, {_WORDS.format(_LOWERED)} AS w FROM {table} WHERE text IS NOT NULL)"""
+
+    return f"""
+WITH docs AS ({grams("documents", "doc_id")}),
+items AS ({grams("(SELECT DISTINCT * FROM benchmark)", "item_id")}),
+sizes AS (SELECT item_id, text, count(*) AS n FROM items GROUP BY ALL),
+shared AS (
+  SELECT d.doc_id, i.item_id, i.text, count(*) AS n FROM docs d JOIN items i USING (gram) GROUP BY d.doc_id, d.text, i.item_id, i.text)
+SELECT doc_id, item_id, shared.n::INTEGER AS shared, sizes.n::INTEGER AS of, shared.n / sizes.n AS containment
+FROM shared JOIN sizes USING (item_id, text)
+WHERE shared.n >= greatest(1, ceil({d.CONTAINMENT}::DOUBLE * sizes.n - 1e-9))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": op6_sql()}
+    return {"op6_url_filter": op6_sql(), "op10_decontamination": op10_sql()}

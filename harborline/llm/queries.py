@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborline.llm.common import table
+from harborline.llm.decontamination import find_contained
 from harborline.llm.secret_scan import scan_secrets
 from harborline.llm.sharding import shard_by_bytes
 from harborline.llm.simhash import near_classes
+from harborline.llm.token_counts import count_tokens, read_vocabulary
 from harborline.llm.url_filter import judge_urls
 
 SHARDS = 24
@@ -57,5 +59,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), read_vocabulary())
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op")}
