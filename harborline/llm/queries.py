@@ -13,6 +13,7 @@ from harborline.llm.secret_scan import scan_secrets
 from harborline.llm.sharding import shard_by_bytes
 from harborline.llm.simhash import near_classes
 from harborline.llm.token_counts import count_tokens, read_vocabulary
+from harborline.llm.toxicity import toxicity_scores
 from harborline.llm.url_filter import judge_urls
 
 SHARDS = 24
@@ -35,6 +36,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_by_bytes(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
