@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from harborline.llm.common import table
 from harborline.llm.decontamination import find_contained
+from harborline.llm.neighbours import nearest
 from harborline.llm.secret_scan import scan_secrets
 from harborline.llm.sharding import shard_by_bytes
 from harborline.llm.simhash import near_classes
@@ -17,6 +18,7 @@ from harborline.llm.toxicity import toxicity_scores
 from harborline.llm.url_filter import judge_urls
 
 SHARDS = 24
+NEAREST = 5
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +50,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, NEAREST)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes: a label's doc_id names the page of that number, and quality 0 is a bad outcome."""
     labels = table(spark, sf_dir, "labels")
