@@ -73,3 +73,36 @@ def subset(df: DataFrame, *names: str) -> DataFrame:
 def worker_threads() -> None:
     """Keeps numeric libraries in a task to the core that Spark gave it."""
     os.environ.setdefault("OMP_NUM_THREADS", "1")
+
+
+class BitSieve:
+    """A bit for each of 2**BITS values of a hash column (long), whatever the number of keys: passes all keys, and few others.
+
+    Only ever used to leave out rows early that a later join would leave out, so a full sieve costs time, not
+    rows. It goes to the tasks as a broadcast of 2**BITS / 8 bytes.
+    """
+
+    BITS = 27
+
+    def __init__(self, keys: DataFrame, column: str):
+        import numpy as np
+
+        place = F.shiftrightunsigned(F.col(column), 64 - self.BITS)
+        words = (
+            keys.select(place.alias("place"))
+            .select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+            .groupBy("word")
+            .agg(F.bit_or("bit").alias("bits"))
+        )
+        table = words.toArrow()
+        bits = np.zeros(1 << (self.BITS - 6), np.uint64)
+        if table.num_rows:
+            bits[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+        self.held = keys.sparkSession.sparkContext.broadcast(bits)
+
+    def passes(self, hashes):
+        """Which of some hashes (long, as in the key column) may be keys."""
+        import numpy as np
+
+        place = hashes.view(np.uint64) >> np.uint64(64 - self.BITS)
+        return (self.held.value[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from harborline.llm import decontamination as d
+from harborline.llm import substring_dedup as r
 from harborline.llm import url_filter as u
 
 
@@ -65,5 +66,23 @@ FROM shared JOIN sizes USING (item_id, text)
 WHERE shared.n >= greatest(1, ceil({d.CONTAINMENT}::DOUBLE * sizes.n - 1e-9))"""
 
 
+def op8_sql() -> str:
+    n = r.WINDOW_WORDS
+    return f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+windows AS (
+  SELECT rid, doc_id, w, unnest(range(1, len(w) - {n} + 2)) AS pos FROM docs),
+named AS (SELECT rid, doc_id, pos, md5(array_to_string(list_slice(w, pos, pos + {n - 1}), ' ')) AS name FROM windows),
+firsts AS (SELECT name, min(doc_id) AS least FROM named GROUP BY name),
+hits AS (SELECT rid, pos FROM named JOIN firsts USING (name) WHERE doc_id > least),
+gone AS (SELECT DISTINCT rid, unnest(range(pos, pos + {n})) AS place FROM hits),
+places AS (SELECT rid, list(place) AS places FROM gone GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN places IS NULL THEN w ELSE
+         list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(places, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
+FROM docs LEFT JOIN places USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": op6_sql(), "op10_decontamination": op10_sql()}
+    return {"op6_url_filter": op6_sql(), "op8_substring_dedup": op8_sql(), "op10_decontamination": op10_sql()}

@@ -13,6 +13,7 @@ from harborline.llm.neighbours import nearest
 from harborline.llm.secret_scan import scan_secrets
 from harborline.llm.sharding import shard_by_bytes
 from harborline.llm.simhash import near_classes
+from harborline.llm.substring_dedup import remove_repeats
 from harborline.llm.token_counts import count_tokens, read_vocabulary
 from harborline.llm.toxicity import toxicity_scores
 from harborline.llm.url_filter import judge_urls
@@ -70,6 +71,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stripped = remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+    return stripped.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), read_vocabulary())
 
