@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,23 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads on from there.
-
-    The folder is the session's spark.checkpoint.dir. Only where the session names none, as in
-    local tests, a temporary one is set.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, set up for checkpoints; a temporary one only where it names none, as in tests."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-")
-        )
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and reads on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def scan_partitions(df: DataFrame) -> int:
-    """Shuffle partitions for work whose volume follows the input, not the session's default alone."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+def stage_folder(spark: SparkSession) -> str:
+    """A new folder, under the shared one, for tables that stages hand on."""
+    return f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -70,11 +70,6 @@ def subset(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[name] for name in names])
 
 
-def worker_threads() -> None:
-    """Keeps numeric libraries in a task to the core that Spark gave it."""
-    os.environ.setdefault("OMP_NUM_THREADS", "1")
-
-
 class BitSieve:
     """A bit for each of 2**BITS values of a hash column (long), whatever the number of keys: passes all keys, and few others.
 

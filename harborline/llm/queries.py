@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from harborline.llm.common import table
 from harborline.llm.decontamination import find_contained
 from harborline.llm.neighbours import nearest
+from harborline.llm.packing import pack
 from harborline.llm.secret_scan import scan_secrets
 from harborline.llm.sharding import shard_by_bytes
 from harborline.llm.simhash import near_classes
@@ -39,6 +40,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.common import cut_lineage, pieces, subset
+from harborline.llm.common import BitSieve, cut_lineage, pieces, subset
 from harborline.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -206,3 +206,36 @@ def near_classes(
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     named = named.join(least, "root").select("fp", "component")
     return marked.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
+
+
+def keep_one(
+    docs: DataFrame, shingle_words: int = SHINGLE_WORDS, distance: int = DISTANCE, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One row of each near-duplicate class, that of the smallest key, with all its columns.
+
+    Of rows that repeat this key one stays. Rows with a null key cannot be named and are passed on. Only rows
+    that may have to go (and few others, see BitSieve) move to where this is decided.
+    """
+    classes = near_classes(docs, shingle_words, distance, key, text)
+    counted = cut_lineage(
+        classes.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key"))
+        .agg(F.count("*").alias("__rows"), F.min("component").alias("__least"))
+        .where((F.col("__rows") > 1) | (F.col("__key") != F.col("__least")))
+    )
+    sieve = BitSieve(counted.select(F.xxhash64("__key").alias("h")), "h")
+    rows = docs.withColumn("__hash", F.xxhash64(F.col(key).cast("long")))
+
+    def sift(taken: bool):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hashes = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield batch.filter(pa.array(sieve.passes(hashes) == taken))
+
+        return keep
+
+    names = docs.columns
+    clean = rows.mapInArrow(sift(False), rows.schema).select(*names)
+    maybe = rows.mapInArrow(sift(True), rows.schema).join(counted, F.col(key) == F.col("__key"), "left")
+    stay = maybe.where(F.col("__key").isNull()).select(*names)
+    repeated = maybe.where((F.col("__key") == F.col("__least")) & (F.col("__rows") > 1)).dropDuplicates(["__key"]).select(*names)
+    return clean.unionByName(stay).unionByName(repeated)

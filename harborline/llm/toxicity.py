@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.common import cut_lineage, pieces, subset
+from harborline.llm.common import pieces, subset
 from harborline.llm.words import hash_words, mix, split_words
 
 #: Labelled rows that the models are fitted on, at most: their ids go to every task, 9 bytes each. With more
@@ -112,12 +112,9 @@ def count_pairs(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, key: str, t
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
-            keys = batch.column(0).fill_null(0).to_numpy()
-            at = np.minimum(np.searchsorted(ids, keys), len(ids) - 1)
-            taken = (ids[at] == keys) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            label = toxic[at[taken]]
-            done = 0
-            for piece in pieces(batch.filter(pa.array(taken))):
+            rows, at = _taken(batch, ids)
+            label, done = toxic[at], 0
+            for piece in pieces(rows):
                 _, _, pair, first = _cells(piece.column(1))
                 row = np.repeat(np.arange(piece.num_rows), np.diff(first))
                 order = np.lexsort((pair, row))
@@ -152,8 +149,7 @@ def count_pairs(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, key: str, t
         columns = [pa.array([x[i] for x in packed], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))]
         yield pa.RecordBatch.from_arrays(columns, ["table", "places", "amounts"])
 
-    rows = subset(docs, key, text).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    pairs = rows.mapInArrow(own, "pair long, t int, o int").groupBy("pair").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    pairs = _keyed(docs, key, text).mapInArrow(own, "pair long, t int, o int").groupBy("pair").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     total = Counts.empty()
     import zlib
 
@@ -229,21 +225,54 @@ def features(ratios: np.ndarray, first: np.ndarray) -> np.ndarray:
 N_FEATURES = len(PASSAGES) + 4
 
 
-def score_features(docs: DataFrame, models: Models, key: str, text: str) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(models)
+@dataclass
+class Scorer:
+    """The models and the scale that turns their ratios into a score."""
+
+    models: Models
+    weights: np.ndarray
+    offset: float
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = held.value
+    def measured(self, column: pa.Array) -> np.ndarray:
+        word, before, pair, first = _cells(column)
+        return features(self.models.ratios(word, before, pair), first)
+
+    def scores(self, column: pa.Array) -> np.ndarray:
+        logit = self.weights @ self.measured(column) + self.offset
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return subset(docs, key, text).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+
+
+def _taken(batch: pa.RecordBatch, ids: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The rows whose key is one of ids (ascending), and where each stands there."""
+    keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+    at = np.minimum(np.searchsorted(ids, keys), len(ids) - 1)
+    taken = (ids[at] == keys) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+    return batch.filter(pa.array(taken)), at[taken]
+
+
+def _sample_features(docs: DataFrame, models: Models, ids: np.ndarray, y: np.ndarray, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the texts with the given ids; FIT_ROWS bounds them."""
+    held = docs.sparkSession.sparkContext.broadcast((Scorer(models, np.zeros(N_FEATURES), 0.0), ids, y))
+    names = [f"f{i}" for i in range(N_FEATURES)]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, ids, y = held.value
         for batch in batches:
-            for piece in pieces(batch):
-                word, before, pair, first = _cells(piece.column(1))
-                found = features(models.ratios(word, before, pair), first)
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), *map(pa.array, found)], ["key", *(f"f{i}" for i in range(N_FEATURES))]
-                )
+            if not batch.num_rows or not len(ids):
+                continue
+            rows, at = _taken(batch, ids)
+            done = 0
+            for piece in pieces(rows):
+                own = y[at[done : done + piece.num_rows]].astype(float)
+                done += piece.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(own), *map(pa.array, scorer.measured(piece.column(1)))], ["y", *names])
 
-    rows = subset(docs, key, text).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(score, "key long, " + ", ".join(f"f{i} double" for i in range(N_FEATURES)))
+    table = _keyed(docs, key, text).mapInArrow(measure, ", ".join(f"{n} double" for n in ["y", *names])).toArrow()
+    return np.stack([table[n].to_numpy() for n in names], axis=1), table["y"].to_numpy()
 
 
 def fit_scale(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -263,25 +292,17 @@ def fit_scale(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1] / spread, float(w[-1] - (w[:-1] / spread * mean).sum())
 
 
-def toxicity_scores(
+def fit(
     docs: DataFrame,
     labels: DataFrame,
     key: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
     fit_rows: int = FIT_ROWS,
-    threshold: float = THRESHOLD,
-) -> DataFrame:
-    """Key, held_out, score (0 to 1) and predicted of each row.
-
-    Labels of rows whose crc32 of the key as text, modulo 4, is not 2 are learnt from; the score of any
-    row depends on its text alone. The counts of both classes and those they share come from the labelled texts; every whole
-    text is scored by length-normalised log-likelihood ratios, over the text and over its passages, on a
-    scale fitted to labelled texts that the counts left out.
+) -> Scorer:
+    """Models and scale from the labels of rows whose crc32 of the key as text, modulo 4, is not 2.
 
-    Null and empty texts get the score of a text without words; null keys are scored, never learnt from; a key with
-    more than one label counts as toxic if any says so; repeated rows score alike. Without any label the
-    score is near 0. An empty table gives no rows. Other columns play no part.
+    The class counts and those they share come from four fifths of the labelled texts, the scale from the rest.
     """
     usable = (
         subset(labels, key, label)
@@ -291,29 +312,60 @@ def toxicity_scores(
     )
     wanted = usable.count()
     if wanted > fit_rows:  # about fit_rows of them, by hash
-        bound = int(-(2**63) + 2**64 * (fit_rows / wanted))
-        usable = usable.where(F.col("rank") < bound)
-    known = usable.select("id", "y", (F.pmod("rank", F.lit(SCALE_FOLD)) == 0).alias("scale")).toPandas()
-    known = known.sort_values("id")
-    learn, scale = known[~known.scale], known[known.scale]
-    counts = count_pairs(docs, learn.id.to_numpy(np.int64), learn.y.to_numpy(np.int8) > 0, key, text)
-    measured = cut_lineage(score_features(docs, Models(counts), key, text))
-    names = [f"f{i}" for i in range(N_FEATURES)]
-    session = docs.sparkSession
-    if len(scale):
-        # fit_rows bounds this side, so it may be sent to every task, and what the join gives.
-        told = session.createDataFrame(scale[["id", "y"]])
-        sample = measured.join(F.broadcast(told), F.col("key") == F.col("id")).select("y", *names).toPandas()
-        weights, offset = fit_scale(sample[names].to_numpy(float), sample.y.to_numpy(float))
-    else:
-        weights, offset = fit_scale(np.zeros((0, N_FEATURES)), np.zeros(0))
-    logit = F.lit(offset)
-    for name, weight in zip(names, weights):
-        logit = logit + F.lit(float(weight)) * F.col(name)
-    score = 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0))))
-    return measured.select(
+        usable = usable.where(F.col("rank") < F.lit(int(-(2**63) + 2**64 * (fit_rows / wanted))))
+    known = usable.select("id", "y", (F.pmod("rank", F.lit(SCALE_FOLD)) == 0).alias("scale")).toArrow().sort_by("id")
+    ids, y, scale = (known[c].to_numpy() for c in ("id", "y", "scale"))
+    scale = scale.astype(bool)
+    models = Models(count_pairs(docs, ids[~scale], y[~scale] > 0, key, text))
+    x, told = _sample_features(docs, models, ids[scale], y[scale], key, text)
+    return Scorer(models, *fit_scale(x, told))
+
+
+def toxicity_scores(
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "toxic",
+    fit_rows: int = FIT_ROWS,
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """Key, held_out, score (0 to 1) and predicted of each row.
+
+    Every whole text is scored by length-normalised log-likelihood ratios, over the text and over its
+    passages; a row's score depends on its text alone. Held-out labels are not learnt from.
+
+    Null and empty texts get the score of a text without words; null keys are scored, never learnt from; a key with
+    more than one label counts as toxic if any says so; repeated rows score alike. Without any label the
+    score is near 0. An empty table gives no rows. Other columns play no part.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text, label, fit_rows))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                scores = pa.array(held.value.scores(piece.column(1)))
+                yield pa.RecordBatch.from_arrays([piece.column(0), scores], ["key", "score"])
+
+    scored = _keyed(docs, key, text).mapInArrow(score, "key long, score double")
+    return scored.select(
         F.col("key").alias(key),
         F.coalesce(held_out(F.col("key")), F.lit(False)).alias("held_out"),
-        score.alias("score"),
-        (score >= threshold).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def drop_toxic(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = THRESHOLD
+) -> DataFrame:
+    """The rows that score below the threshold, with all their columns; rows stay in their tasks."""
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text, label))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            for piece in pieces(batch, text):
+                yield piece.filter(pa.array(held.value.scores(piece.column(at)) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
