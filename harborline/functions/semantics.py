@@ -37,15 +37,11 @@ def if_known(test: Column, yes, no, given: Sequence[ColumnOrName] | None = None)
     return F.when(test, yes).when(reduce(and_, [as_column(c).isNotNull() for c in given]), no)
 
 
-def _sql_literal(value) -> str:
-    return "'" + value.replace("'", "\\'") + "'" if isinstance(value, str) else str(value)
-
-
 def lookup(table: Mapping, key: ColumnOrName) -> Column:
     """The key's value in a small constant table, null for any other key. One constant and
     one reference to the key, where a chain of conditions repeats it."""
-    entries = ", ".join(_sql_literal(v) for entry in table.items() for v in entry)
-    return F.element_at(F.expr(f"map({entries})"), as_column(key))
+    entries = [F.lit(v) for entry in table.items() for v in entry]
+    return F.try_element_at(F.create_map(*entries), as_column(key))
 
 
 def divide(numerator: ColumnOrName, denominator: ColumnOrName) -> Column:

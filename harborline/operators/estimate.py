@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborline.functions.semantics import complete_cases, divide, if_known, nan_to_null, sum_known
-from harborline.functions.units import sum_tons
+from harborline.functions.units import pounds_to_tons, sum_tons
 
 POUNDS = "ROUND_WEIGHT_LBS"
 
@@ -92,54 +92,58 @@ def years_side_by_side(
     through_month: int,
     keys: Sequence[str] = ("AREA", "SPECIES"),
     pounds: str = POUNDS,
+    complete: bool = True,
 ) -> DataFrame:
-    """Part-year and whole-year tons of three years on one row per key.
+    """Part-year and whole-year landings of three years on one row per key, in pounds
+    (``THRU_LBS_x``, ``LBS_x``) and in tons (``THRU_x``, ``MT_x``), with their ratio.
 
     The last year drives: keys without landings then are absent. The first year counts
-    only where the second has landings too, as in two right joins one after the other.
+    only where the second has landings too, as in two right joins one after the other,
+    here from one pass. ``complete=False`` keeps rows with a missing key, which match
+    each other, and counts missing pounds as 0.
     """
     first, second, last = years
-    complete = complete_cases(tickets.filter(F.col("LANDING_YEAR").isin(*years)), [*keys, pounds])
+    scoped = tickets.filter(F.col("LANDING_YEAR").isin(*years))
+    scoped = complete_cases(scoped, [*keys, pounds]) if complete else scoped
     parts = {"x": first, "y": second, "z": last}
     aggregates = []
     for name, year in parts.items():
         in_year = F.col("LANDING_YEAR") == year
         so_far = in_year & (F.col("LANDING_MONTH") <= through_month)
         aggregates += [
-            sum_tons(F.when(so_far, F.col(pounds))).alias(f"THRU_{name}"),
-            sum_tons(F.when(in_year, F.col(pounds))).alias(f"MT_{name}"),
+            sum_known(F.when(so_far, F.col(pounds))).cast("double").alias(f"THRU_LBS_{name}"),
+            sum_known(F.when(in_year, F.col(pounds))).cast("double").alias(f"LBS_{name}"),
             F.bool_or(in_year).alias(f"HAS_{name}"),
         ]
-    sums = complete.groupBy(*keys).agg(*aggregates).filter("HAS_z")
+    sums = scoped.groupBy(*keys).agg(*aggregates).filter("HAS_z")
     wide = {}
     for name in ("x", "y"):
-        for part in ("THRU", "MT"):
+        for part in ("THRU_LBS", "LBS"):
             wide[f"{part}_{name}"] = F.when(F.col("HAS_y"), F.col(f"{part}_{name}")).otherwise(0.0)
-        ratio = nan_to_null(divide(f"THRU_{name}", f"MT_{name}"))
+        ratio = nan_to_null(divide(f"THRU_LBS_{name}", f"LBS_{name}"))
         wide[f"RATIO_{name}"] = F.coalesce(F.when(F.col("HAS_y"), ratio), F.lit(0.0))
-    order = [
-        f"{part}_{name}" for name in ("x", "y") for part in ("THRU", "MT", "RATIO")
-    ] + ["THRU_z", "MT_z"]
-    return sums.withColumns(wide).select(*keys, *order)
+    tons = {}
+    for name in parts:
+        tons[f"THRU_{name}"] = pounds_to_tons(f"THRU_LBS_{name}")
+        tons[f"MT_{name}"] = pounds_to_tons(f"LBS_{name}")
+    return sums.withColumns(wide).withColumns(tons).drop(*(f"HAS_{name}" for name in parts))
 
 
 def closest_year_estimate(wide: DataFrame) -> DataFrame:
     """Whole-year estimate from whichever earlier year was nearer so far; a tie takes the
-    second. Never below the landings already made; unknown when nothing can be said."""
-    gap_x = F.abs(F.col("THRU_z") - F.col("THRU_x"))
-    gap_y = F.abs(F.col("THRU_z") - F.col("THRU_y"))
+    second. Never below the landings already made; unknown when nothing can be said.
+
+    Gaps are compared in pounds, whose sums are exact where the pounds are whole, and
+    the estimate turns into tons last.
+    """
+    gap_x = F.abs(F.col("THRU_LBS_z") - F.col("THRU_LBS_x"))
+    gap_y = F.abs(F.col("THRU_LBS_z") - F.col("THRU_LBS_y"))
     ratio = F.when(gap_y > gap_x, F.col("RATIO_x")).otherwise(F.col("RATIO_y"))
-    estimate = nan_to_null(divide("THRU_z", "RATIO"))
+    estimate = nan_to_null(divide("THRU_LBS_z", "RATIO"))
+    landed, whole = F.col("LBS_z"), F.col("ESTIMATED_LBS")
+    floored = if_known(landed > whole, landed, whole, ["LBS_z", "ESTIMATED_LBS"])
     return (
         wide.withColumn("RATIO", ratio)
-        .withColumn("ESTIMATED_MT", estimate)
-        .withColumn(
-            "ESTIMATED_MT",
-            if_known(
-                F.col("MT_z") > F.col("ESTIMATED_MT"),
-                F.col("MT_z"),
-                F.col("ESTIMATED_MT"),
-                ["MT_z", "ESTIMATED_MT"],
-            ),
-        )
+        .withColumn("ESTIMATED_LBS", estimate)
+        .withColumn("ESTIMATED_MT", pounds_to_tons(floored))
     )

@@ -21,11 +21,18 @@ def rolling_year(
     """Twelve months across two years: the prior year after ``last_month`` and the
     following year up to it. The last month may differ by fleet.
 
-    Shifted by the last month, the wanted months are year number 1 after the prior year.
+    Where the last month differs by fleet, a bound on year and month alone goes with the
+    condition, so that months no fleet wants are left out at the scan.
     """
-    last = lookup(last_month, fleet) if isinstance(last_month, Mapping) else F.lit(last_month)
-    shifted = (F.col(year) - prior_year) * 12 + F.col(month) - last
-    return F.ceil(shifted / 12) == 1
+
+    def within(after, upto) -> Column:
+        prior = (F.col(year) == prior_year) & (F.col(month) > after)
+        return prior | ((F.col(year) == prior_year + 1) & (F.col(month) <= upto))
+
+    if not isinstance(last_month, Mapping):
+        return within(last_month, last_month)
+    last = lookup(last_month, fleet)
+    return within(min(last_month.values()), max(last_month.values())) & within(last, last)
 
 
 def last_months(last_period: Mapping[str, int], grains: Mapping[str, str]) -> dict[str, int]:

@@ -1,4 +1,4 @@
-"""Parameter tables declared in code: bounded, and broadcast for that reason."""
+"""Parameter tables declared in code."""
 
 from __future__ import annotations
 
@@ -6,11 +6,8 @@ from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_PARAMETER_ROWS = 10_000
-
 _ARROW = {
     T.StringType(): pa.string(),
     T.IntegerType(): pa.int32(),
@@ -19,18 +16,11 @@ _ARROW = {
 
 
 def parameter_table(spark: SparkSession, schema: T.StructType, rows: Sequence[tuple]) -> DataFrame:
-    """A local relation with a broadcast hint; refuses more rows than the stated bound.
-
-    Larger parameter sets belong in a file: read them as a plain DataFrame, and the join
-    strategy is then chosen from their size.
-    """
-    if len(rows) > MAX_PARAMETER_ROWS:
-        raise ValueError(
-            f"{len(rows)} parameter rows exceed the broadcast bound of {MAX_PARAMETER_ROWS}"
-        )
+    """A local relation of any length. Its size is known exactly, so a join broadcasts it
+    while it is below the session's threshold and shuffles it beyond."""
     columns = [
         pa.array([row[i] for row in rows], type=_ARROW[field.dataType])
         for i, field in enumerate(schema.fields)
     ]
     table = pa.table(columns, names=schema.names)
-    return F.broadcast(spark.createDataFrame(table, schema=schema))
+    return spark.createDataFrame(table, schema=schema)

@@ -55,12 +55,17 @@ def net_pounds(
     trips: DataFrame, species: str, keys: Sequence[str], divisor: float = 1.0
 ) -> DataFrame:
     """Net pounds per month, year or both; the divisor is the number of years behind an
-    average."""
+    average. Gross pounds are summed first: sums of whole pounds are exact in any order."""
     return trips.groupBy(*keys).agg(
-        (F.sum(net_weight(species)) / divisor).alias(f"{species}_NET")
+        (net_weight(F.sum(species)) / divisor).alias(f"{species}_NET")
     )
 
 
+def gross_pounds(trips: DataFrame, species: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Gross pounds of each species per month, year or both."""
+    return trips.groupBy(*keys).agg(*(F.sum(name).alias(f"{name}_GROSS") for name in species))
+
+
 def with_ratio_limits(
     trips: DataFrame, target: str, per: Mapping[str, float], constant: float = 30.0
 ) -> DataFrame:

@@ -424,33 +424,49 @@ def zone_tests() -> dict[str, Column]:
         "LESS": le & (F.col("SUBAREA") == "South of 3427"),
         "OAN": oa & north,
         "OAS": oa & middle,
+        "OASS": oa & (F.col("SUBAREA") == "South of 3427"),
     }
 
 
-def zones_model(
+def zone_responses(
     tickets: DataFrame,
     schedules: Sequence[LimitSchedule] = P.ZONE_LIMITS,
     rules: Rules = P.ZONE_RULES,
     monthly_totals: bool = False,
     **scope_options,
 ) -> DataFrame:
-    """Fleets by latitude zone, limits raised or lowered.
+    """Landings of each vessel and period in the zones that have limits, with ``<scenario>LBS``
+    for each scenario. A zone is one of ``zone_tests``; another name is an error.
 
     Totals have the grain of their limits. With ``monthly_totals`` they are monthly
     whatever the limits are: limited entry months meet the limit of their two-month
     period, and open access months meet the limit of the same number, so those without
     one drop out. A scenario without a limit in a zone is null there.
     """
-    by_zone = grains_of(schedules)
+    by_zone, tests = grains_of(schedules), zone_tests()
+    if unknown := sorted(set(by_zone) - set(tests)):
+        raise ValueError(f"no zones {unknown}; there are {sorted(tests)}")
     if monthly_totals:
         grains = {"LE": "two_month", "OA": "month"}
     else:
-        grains = {"LE": by_zone["LEN"], "OA": by_zone["OAN"]}
+        # A fleet's landings are totalled once, so its zones share a grain.
+        grains = {"LE": "two_month", "OA": "two_month"} | {z[:2]: g for z, g in by_zone.items()}
         limits.check_grain(schedules, {zone: grains[zone[:2]] for zone in by_zone})
     landed = zone_totals(tickets, grains=grains, monthly_totals=monthly_totals, **scope_options)
-    zoned = groups.into_zones(landed, zone_tests())
+    zoned = groups.into_zones(landed, {zone: tests[zone] for zone in by_zone})
     wide = limits.limits_side_by_side(tickets.sparkSession, schedules, label="ZONE")
-    responded = respond_to(limits.attach_limits(zoned, wide, ["PERIOD", "ZONE"]), rules, "ZONE")
+    return respond_to(limits.attach_limits(zoned, wide, ["PERIOD", "ZONE"]), rules, "ZONE")
+
+
+def zones_model(
+    tickets: DataFrame,
+    schedules: Sequence[LimitSchedule] = P.ZONE_LIMITS,
+    rules: Rules = P.ZONE_RULES,
+    **options,
+) -> DataFrame:
+    """Tons of the fleets by latitude zone, limits raised or lowered; ``options`` are those of
+    ``zone_responses``."""
+    responded = zone_responses(tickets, schedules, rules, **options)
     return responded.groupBy("ZONE").agg(
         sum_tons("tlbs").alias("SQ_MT"),
         *(
@@ -493,11 +509,17 @@ def incidental_trips(
     species: Mapping[str, str] = P.TRIP_SPECIES,
     species_column: str = "PACFIN_SPECIES_COMMON_NAME",
     season: tuple[int, int] = (4, 10),
+    agency: str = "W",
+    fisheries: Sequence[str] = P.TRIP_FISHERIES,
+    years: Sequence[int] | None = None,
 ) -> DataFrame:
-    """Trips of one fishery in season with the two species side by side."""
+    """Trips of one fishery in season with the two species side by side. Every filter acts on
+    the flat tickets, before any sum or shuffle."""
     limited = next(iter(species.values()))
+    if years is not None:
+        tickets = tickets.filter(F.col("LANDING_YEAR").isin(*years))
     kept = tickets.filter(
-        in_trip_fishery()
+        in_trip_fishery(agency, fisheries)
         & trips.in_months(*season)
         & scope.outside_areas_for(
             species_column, "CATCH_AREA_CODE", limited, P.HALIBUT_EXCLUDED_AREAS
@@ -526,11 +548,18 @@ def incidental_projection(
     species: Mapping[str, str] = P.TRIP_SPECIES,
     species_column: str = "PACFIN_SPECIES_COMMON_NAME",
     season: tuple[int, int] = (4, 10),
+    agency: str = "W",
+    fisheries: Sequence[str] = P.TRIP_FISHERIES,
+    reference_year: int = 2019,
+    current_year: int = 2020,
     **projection_options,
 ) -> DataFrame:
     """The trip model from flat tickets."""
-    trip_frame = incidental_trips(tickets, species, species_column, season)
-    return ratio_model(trip_frame, species=tuple(species), **projection_options)
+    years = (reference_year, current_year)
+    trip_frame = incidental_trips(
+        tickets, species, species_column, season, agency, fisheries, years
+    )
+    return ratio_model(trip_frame, *years, species=tuple(species), **projection_options)
 
 
 MODELS = {

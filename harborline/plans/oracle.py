@@ -40,6 +40,9 @@ tickets AS (
          CASE WHEN p_size <= 40 THEN 'GRND' ELSE 'OTHR' END AS MANAGEMENT_GROUP_CODE,
          CASE WHEN l_linenumber = 7 THEN 'A' ELSE 'C' END AS PARTICIPATION_GROUP_CODE,
          CASE WHEN l_linenumber = 6 THEN 'N' ELSE 'P' END AS COUNCIL_CODE,
+         CASE WHEN l_linenumber <= 2 THEN 'PRI' WHEN l_linenumber = 5 THEN 'OPN' ELSE 'LEN' END
+           AS GMT_SABLEFISH_CODE,
+         CASE WHEN l_returnflag = 'R' AND l_linenumber = 3 THEN 'E' ELSE 'C' END AS REMOVAL_TYPE_CODE,
          l_quantity * 100 AS ROUND_WEIGHT_LBS,
          l_quantity * 20 AS LANDED_WEIGHT_LBS,
          CAST(l_extendedprice AS DECIMAL(18, 2)) AS EXVESSEL_REVENUE,
@@ -330,17 +333,100 @@ priced AS (
 )"""
 
 
-def years_frame(area: str, source: str, months: str = "true") -> str:
+def years_frame(area: str, source: str, more: str = "") -> str:
     return f"""
 yearly AS (
-  SELECT LANDING_YEAR, {area} AS AREA, {COMMON} AS SPECIES,
+  SELECT LANDING_YEAR, {more} {area} AS AREA, {COMMON} AS SPECIES,
          sum(CASE WHEN LANDING_MONTH < 9 THEN ROUND_WEIGHT_LBS / {MT} ELSE 0 END) AS thru,
          sum(ROUND_WEIGHT_LBS / {MT}) AS mt
-  FROM {source} WHERE {months} GROUP BY ALL
+  FROM {source} GROUP BY ALL
 )"""
 
 
+def shelf(scope: str) -> str:
+    return f"""WITH {TICKETS},
+coded AS ({CODED}),
+labelled AS (
+  SELECT *, {FLEET_DEFAULT} AS TYPE, {SECTOR_STATE} AS SECTOR, {AREA_DEFAULT} AS AREA FROM coded
+  WHERE MANAGEMENT_GROUP_CODE = 'GRND' AND PARTICIPATION_GROUP_CODE = 'C' AND COUNCIL_CODE = 'P'
+    AND code BETWEEN 5 AND 10 AND {COMMON} IN ({listing(SHELF_NAMES)})
+),
+totals AS (
+  SELECT VESSEL_NUM, LANDING_MONTH, AREA, TYPE, SECTOR, LANDING_YEAR,
+         sum(ROUND_WEIGHT_LBS) AS tlbs, 800.0::DOUBLE AS sq
+  FROM labelled
+  WHERE {scope}
+  GROUP BY VESSEL_NUM, LANDING_MONTH, AREA, TYPE, SECTOR, LANDING_YEAR
+)
+SELECT TYPE, {tons("tlbs", "SQ_MT")},
+       round(sum(CASE TYPE WHEN 'LE' THEN {raised("1500.0::DOUBLE", "0.9")}
+                 ELSE {raised("1500.0::DOUBLE", "0.54")} END / {MT}), 4) AS A1_MT
+FROM totals GROUP BY TYPE"""
+
+
+def fixed_text(name: str) -> str:
+    number = f"CAST(CAST({name} AS DECIMAL(38, 4)) AS VARCHAR)"
+    return f"rtrim(rtrim({number}, '0'), '.') AS {name}"
+
+
 ORACLE: dict[str, str] = {
+    "q_tickets_conform": f"""WITH {TICKETS}
+SELECT * EXCLUDE (l_linenumber, l_suppkey, l_partkey, EXVESSEL_REVENUE, DAHL_GROUNDFISH_CODE,
+                  LANDING_DAY, ROUND_WEIGHT_LBS, AGENCY_CODE, LANDING_DATE),
+       CASE WHEN l_linenumber <> 3 THEN DAHL_GROUNDFISH_CODE END AS DAHL_GROUNDFISH_CODE,
+       CASE WHEN l_linenumber <> 4 THEN LANDING_DAY END AS LANDING_DAY,
+       CASE WHEN l_linenumber <> 5 THEN ROUND_WEIGHT_LBS END AS ROUND_WEIGHT_LBS,
+       CASE l_linenumber WHEN 6 THEN NULL WHEN 7 THEN '' ELSE AGENCY_CODE END AS AGENCY_CODE,
+       CASE WHEN l_linenumber <> 7 THEN LANDING_DATE END AS LANDING_DATE,
+       CAST(EXVESSEL_REVENUE AS DOUBLE) AS EXVESSEL_REVENUE FROM tickets""",
+    "q_widen_limits": f"""WITH {TICKETS}, {VESSEL_PERIODS}
+SELECT TYPE, PERIOD, CASE TYPE WHEN 'LE' THEN 7000.0 ELSE 3500.0 END::DOUBLE AS TL_SQ,
+       CASE TYPE WHEN 'LE' THEN 9000.0 ELSE 4500.0 END::DOUBLE AS TL_A1,
+       CASE TYPE WHEN 'LE' THEN 5000.0 ELSE 2500.0 END::DOUBLE AS TL_A2,
+       count(*) AS N, sum(tlbs) AS LBS
+FROM vessel_periods WHERE TYPE IS NOT NULL GROUP BY TYPE, PERIOD""",
+    "q_month_gross": f"""WITH {TRIPS}
+SELECT LANDING_MONTH, sum(ph) AS PACIFIC_HALIBUT_GROSS, sum(sf) AS SABLEFISH_GROSS
+FROM season WHERE LANDING_YEAR = 2001 GROUP BY LANDING_MONTH""",
+    "q_zone_branches": f"""WITH {TICKETS}, {STRICT},
+banded AS (SELECT *, {SUBAREA_STOCK} AS SUBAREA FROM labelled
+           WHERE {NOMINAL} = 'ECONOMY' AND LANDING_YEAR = 2001),
+totals AS (
+  SELECT CASE TYPE WHEN 'LE' THEN VESSEL_NUM ELSE VESSEL_REGISTRATION_ID END AS vessel, PERIOD,
+         SUBAREA, AREA, TYPE, SECTOR, sum(LANDED_WEIGHT_LBS) AS tlbs
+  FROM banded WHERE SUBAREA IS NOT NULL AND AREA IS NOT NULL AND TYPE IS NOT NULL GROUP BY ALL),
+zoned AS (
+  SELECT *, TYPE || 'N' AS ZONE, 2000::DOUBLE AS sq FROM totals WHERE AREA = 'N4010'
+  UNION ALL SELECT *, TYPE || 'S', 2000::DOUBLE FROM totals WHERE SUBAREA = '3427-4010'
+  UNION ALL SELECT *, TYPE || 'SS', 2000::DOUBLE FROM totals WHERE SUBAREA = 'South of 3427'),
+responded AS (
+  SELECT *, {raised("2600::DOUBLE", "0.8")} AS a1, {capped("1500::DOUBLE", "0.6")} AS a2 FROM zoned)
+SELECT ZONE, {tons("tlbs", "SQ_MT")},
+       count(*) FILTER (WHERE a1 > tlbs) AS A1_RAISED, count(*) FILTER (WHERE a1 < tlbs) AS A1_LOWERED,
+       count(*) FILTER (WHERE a1 = tlbs) AS A1_KEPT, {tons("a1", "A1_MT")},
+       count(*) FILTER (WHERE a2 > tlbs) AS A2_RAISED, count(*) FILTER (WHERE a2 < tlbs) AS A2_LOWERED,
+       count(*) FILTER (WHERE a2 = tlbs) AS A2_KEPT, {tons("a2", "A2_MT")}
+FROM responded GROUP BY ZONE""",
+    "q_model_incidental": f"""WITH {TICKETS},
+season AS (
+  SELECT LANDING_YEAR, LANDING_MONTH, LANDING_DATE, l_suppkey % 5 AS vessel,
+         sum(CASE WHEN {NOMINAL} = 'PROMO' THEN LANDED_WEIGHT_LBS ELSE 0 END) AS ph,
+         sum(CASE WHEN {NOMINAL} = 'STANDARD' THEN LANDED_WEIGHT_LBS ELSE 0 END) AS sf
+  FROM tickets
+  WHERE AGENCY_CODE = 'C' AND GMT_SABLEFISH_CODE IN ('PRI', 'LEN', 'OPN') AND REMOVAL_TYPE_CODE <> 'E'
+    AND LANDING_MONTH BETWEEN 4 AND 10 AND LANDING_YEAR IN (2000, 2001)
+    AND ({NOMINAL} = 'STANDARD' OR {NOMINAL} = 'PROMO' AND CATCH_AREA_CODE = '59A1')
+  GROUP BY ALL), {stepped("season")},
+rest AS (
+  SELECT coalesce(sum(sq_lbs), 0) AS sq, coalesce(sum(alt_lbs), 0) AS alt FROM responded
+  WHERE LANDING_YEAR = 2000 AND LANDING_MONTH > 8 AND ph > 0 AND sf > 0),
+so_far AS (
+  SELECT coalesce(sum(ph), 0) AS ph FROM season WHERE LANDING_YEAR = 2001 AND LANDING_MONTH <= 8)
+SELECT 2001 AS LANDING_YEAR, round(ph, 4) AS SO_FAR_LBS, round(sq, 4) AS SQTL_200LBS_REST_LBS,
+       round(alt, 4) AS ALT1_250LBS_REST_LBS,
+       round((ph + sq) * 0.88::DOUBLE, 4) AS SQTL_200LBS_NET_LBS,
+       round((ph + alt) * 0.88::DOUBLE, 4) AS ALT1_250LBS_NET_LBS
+FROM rest, so_far""",
     "q_tickets_scan": f"""WITH {TICKETS}
 SELECT * EXCLUDE (l_linenumber, l_suppkey, l_partkey, EXVESSEL_REVENUE),
        CAST(EXVESSEL_REVENUE AS DOUBLE) AS EXVESSEL_REVENUE FROM tickets""",
@@ -447,16 +533,29 @@ SELECT LANDING_YEAR, AREA, SPECIES, round(coalesce(thru, 0), 4) AS THRU_MT, roun
        round(coalesce(thru, 0) / mt, 10) AS RATIO
 FROM early RIGHT JOIN whole USING (LANDING_YEAR, AREA, SPECIES)""",
     "q_right_join_years": f"""WITH {GAPPED},
-{years_frame(AREA, "gapped", "LANDING_MONTH = 1")},
+{years_frame(AREA, "gapped", "VESSEL_NUM,")},
 x AS (SELECT * FROM yearly WHERE LANDING_YEAR = 1999),
 y AS (SELECT * FROM yearly WHERE LANDING_YEAR = 2000),
 z AS (SELECT * FROM yearly WHERE LANDING_YEAR = 2001)
-SELECT z.AREA, z.SPECIES, round(coalesce(x.mt, 0), 4) AS MT_x, round(coalesce(y.mt, 0), 4) AS MT_y,
-       round(coalesce(z.mt, 0), 4) AS MT_z
+SELECT z.VESSEL_NUM, z.AREA, z.SPECIES,
+       round(coalesce(x.thru, 0), 4) AS THRU_x, round(coalesce(x.mt, 0), 4) AS MT_x,
+       round(coalesce(y.thru, 0), 4) AS THRU_y, round(coalesce(y.mt, 0), 4) AS MT_y,
+       round(coalesce(z.thru, 0), 4) AS THRU_z, round(coalesce(z.mt, 0), 4) AS MT_z
 FROM z
 LEFT JOIN y ON y.AREA IS NOT DISTINCT FROM z.AREA AND y.SPECIES IS NOT DISTINCT FROM z.SPECIES
+  AND y.VESSEL_NUM IS NOT DISTINCT FROM z.VESSEL_NUM
 LEFT JOIN x ON x.AREA IS NOT DISTINCT FROM y.AREA AND x.SPECIES IS NOT DISTINCT FROM y.SPECIES
-  AND y.LANDING_YEAR IS NOT NULL""",
+  AND x.VESSEL_NUM IS NOT DISTINCT FROM y.VESSEL_NUM AND y.LANDING_YEAR IS NOT NULL""",
+    "q_right_join": f"""WITH {GAPPED},
+landed AS (
+  SELECT VESSEL_NUM, sum(ROUND_WEIGHT_LBS / {MT}) AS mt FROM gapped
+  WHERE {NOMINAL} = 'ECONOMY' AND LANDING_YEAR = 2001 AND {FLEET} = 'LE' AND {AREA} = 'S4010'
+  GROUP BY VESSEL_NUM),
+vessels AS (
+  SELECT DISTINCT CASE WHEN s_suppkey % 10 <> 2 THEN CAST(s_suppkey AS VARCHAR) END AS VESSEL_NUM
+  FROM supplier)
+SELECT v.VESSEL_NUM, round(coalesce(mt, 0), 4) AS MT
+FROM vessels v LEFT JOIN landed l ON l.VESSEL_NUM IS NOT DISTINCT FROM v.VESSEL_NUM""",
     "q_closest_year": f"""WITH {TICKETS},
 {years_frame(AREA_DEFAULT, "tickets")},
 x AS (SELECT *, thru / mt AS ratio FROM yearly WHERE LANDING_YEAR = 1999),
@@ -611,25 +710,9 @@ totals AS (
 )
 SELECT LANDING_MONTH, TYPE, {tons("tlbs", "P_SQMT")}, {tons(raised("alt", "0.7"), "P_A1_MT")}
 FROM totals GROUP BY LANDING_MONTH, TYPE""",
-    "q_model_shelf": f"""WITH {TICKETS},
-coded AS ({CODED}),
-labelled AS (
-  SELECT *, {FLEET_DEFAULT} AS TYPE, {SECTOR_STATE} AS SECTOR, {AREA_DEFAULT} AS AREA FROM coded
-  WHERE MANAGEMENT_GROUP_CODE = 'GRND' AND PARTICIPATION_GROUP_CODE = 'C' AND COUNCIL_CODE = 'P'
-    AND code BETWEEN 5 AND 10 AND {COMMON} IN ({listing(SHELF_NAMES)})
-),
-totals AS (
-  SELECT VESSEL_NUM, LANDING_MONTH, AREA, TYPE, SECTOR, LANDING_YEAR,
-         sum(ROUND_WEIGHT_LBS) AS tlbs, 800.0::DOUBLE AS sq
-  FROM labelled
-  WHERE AREA = 'N4010' AND (LANDING_YEAR = 2000 AND LANDING_MONTH > 10
-                            OR LANDING_YEAR = 2001 AND LANDING_MONTH < 11)
-  GROUP BY VESSEL_NUM, LANDING_MONTH, AREA, TYPE, SECTOR, LANDING_YEAR
-)
-SELECT TYPE, {tons("tlbs", "SQ_MT")},
-       round(sum(CASE TYPE WHEN 'LE' THEN {raised("1500.0::DOUBLE", "0.9")}
-                 ELSE {raised("1500.0::DOUBLE", "0.54")} END / {MT}), 4) AS A1_MT
-FROM totals GROUP BY TYPE""",
+    "q_model_shelf": shelf("""AREA = 'N4010' AND (LANDING_YEAR = 2000 AND LANDING_MONTH > 10
+                            OR LANDING_YEAR = 2001 AND LANDING_MONTH < 11)"""),
+    "q_model_shelf_all": shelf("AREA IS NOT NULL AND LANDING_YEAR IN (2000, 2001)"),
     "q_widow_shelf": f"""WITH {TICKETS}, {STRICT},
 scaled AS (
   SELECT * FROM labelled
@@ -697,5 +780,9 @@ FROM rest, so_far""",
 }
 
 
+ORACLE["q_result_text"] = f"""SELECT LANDING_MONTH, TYPE, {fixed_text("P_SQMT")}, {fixed_text("P_A1_MT")}
+FROM ({ORACLE["q_model_yellowtail"]})"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -53,8 +53,15 @@ ZONE_RULES = {
         "LESS": ("raise", 0.8),
         "OAN": ("cap", 0.8),
         "OAS": ("cap", 0.8),
+        "OASS": ("cap", 0.8),
+    },
+    "A2": {
+        "LEN": ("cap", 0.6),
+        "LES": ("cap", 0.6),
+        "OAN": ("cap", 0.8),
+        "OAS": ("cap", 0.8),
+        "OASS": ("cap", 0.8),
     },
-    "A2": {"LEN": ("cap", 0.6), "LES": ("cap", 0.6), "OAN": ("cap", 0.8), "OAS": ("cap", 0.8)},
     "A3": {"LEN": ("cap", 0.6), "LES": ("cap", 0.6)},
 }
 

@@ -20,6 +20,7 @@ from harborline.operators import bycatch, estimate, groups, joins, limits, scope
 from harborline.operators.limits import LimitSchedule
 from harborline.plans import models
 from harborline.plans import parameters as P
+from harborline.sources.results import as_text
 from harborline.sources.sample_tables import (
     FROM_LINES,
     FROM_PART,
@@ -27,7 +28,9 @@ from harborline.sources.sample_tables import (
     sample_tickets,
     sample_trip_headers,
     sample_trip_lines,
+    table,
 )
+from harborline.sources.tickets import conform_text
 
 NOMINAL = "NOMINAL_TO_ACTUAL_PACFIN_SPECIES_NAME"
 COMMON = "PACFIN_SPECIES_COMMON_NAME"
@@ -136,6 +139,39 @@ def q_tickets_scan(spark, sf_dir):
     return portable(sample_tickets(spark, sf_dir))
 
 
+# Headers as exports spell them.
+RAW_HEADERS = {
+    "LANDING_YEAR": "PACFIN_YEAR",
+    "LANDING_MONTH": "landing month",
+    "NOMINAL_TO_ACTUAL_PACFIN_SPECIES_NAME": "SPECIES",
+    "ROUND_WEIGHT_LBS": "ROUND_WEIGHT_LBS (SUM)",
+    "LANDED_WEIGHT_LBS": " Landed.Weight.Lbs(SUM)",
+}
+# Fields as exports spell them: missing, blank, short and padded ones by line number.
+RAW_FIELDS = {
+    "DAHL_GROUNDFISH_CODE": """case l_linenumber when 1 then ltrim('0', DAHL_GROUNDFISH_CODE)
+        when 2 then concat(' ', DAHL_GROUNDFISH_CODE, ' ') when 3 then 'NA'
+        else DAHL_GROUNDFISH_CODE end""",
+    "LANDING_DAY": "if(l_linenumber = 4, 'NA', concat(LANDING_DAY, ' '))",
+    "ROUND_WEIGHT_LBS": "if(l_linenumber = 5, ' ', cast(ROUND_WEIGHT_LBS as string))",
+    "AGENCY_CODE": "case l_linenumber when 6 then 'NA' when 7 then '' else AGENCY_CODE end",
+    "LANDING_DATE": "if(l_linenumber = 7, 'NA', cast(LANDING_DATE as string))",
+}
+
+
+def q_tickets_conform(spark, sf_dir):
+    """The lines as text under raw headers, through the cleaning that the CSV reader does."""
+    tickets = sample_tickets(spark, sf_dir, extra_lines=["l_linenumber"])
+    names = [c for c in tickets.columns if c != "l_linenumber"]
+    raw = tickets.select(
+        *(
+            F.expr(RAW_FIELDS.get(c, f"cast({c} as string)")).alias(RAW_HEADERS.get(c, c))
+            for c in names
+        )
+    )
+    return portable(conform_text(raw))
+
+
 def _vessel_periods(spark, sf_dir, species=ONE_SPECIES):
     """Two-month pounds of one species per vessel and fleet."""
     tickets = sample_tickets(
@@ -166,6 +202,18 @@ def q_limit_table(spark, sf_dir):
     )
 
 
+def q_widen_limits(spark, sf_dir):
+    """The long limit table brought to one row for each period, joined with landings."""
+    long = limits.limit_table(spark, SAMPLE_LIMITS)
+    wide = limits.widen_limits(long, ["SQ", "A1", "A2"])
+    joined = limits.attach_limits(_vessel_periods(spark, sf_dir), wide)
+    return rounded(
+        joined.groupBy("TYPE", "PERIOD", "TL_SQ", "TL_A1", "TL_A2").agg(
+            F.count("*").alias("N"), sum_known("tlbs").alias("LBS")
+        )
+    )
+
+
 # --- labels ------------------------------------------------------------------------------
 
 
@@ -346,16 +394,28 @@ def q_year_ratio(spark, sf_dir):
 
 
 def q_right_join_years(spark, sf_dir):
-    """Tons of three years side by side; areas without a label match each other."""
+    """Tons of three years side by side, through August and whole, by vessel, area and
+    species; missing keys match each other. The three sides share one scan and one sum."""
+    columns = [*YEAR_COLUMNS, "VESSEL_NUM"]
+    tickets = _area_species(tickets_with_gaps(spark, sf_dir, columns, (YEAR - 2, YEAR)))
+    keys = ["VESSEL_NUM", "AREA", "SPECIES"]
+    years = (YEAR - 2, YEAR - 1, YEAR)
+    wide = estimate.years_side_by_side(tickets, years, 8, keys, complete=False)
+    return rounded(wide.select(*keys, *(f"{part}_{n}" for n in "xyz" for part in ("THRU", "MT"))))
 
-    def tons(year: int, name: str) -> DataFrame:
-        tickets = tickets_with_gaps(spark, sf_dir, YEAR_COLUMNS, (year, year))
-        early = _area_species(tickets).filter(F.col("LANDING_MONTH") == 1)
-        return early.groupBy("AREA", "SPECIES").agg(sum_tons(LBS).alias(f"MT_{name}"))
 
-    keys = ["AREA", "SPECIES"]
-    x, y, z = tons(YEAR - 2, "x"), tons(YEAR - 1, "y"), tons(YEAR, "z")
-    return rounded(fill_missing(joins.right_join(joins.right_join(x, y, keys), z, keys)))
+def q_right_join(spark, sf_dir):
+    """Every vessel listed with its tons of one fleet, species, area and year, or 0; vessels
+    without a number match each other."""
+    columns = ["LANDING_YEAR", "LANDING_MONTH", "VESSEL_NUM", AGENCY, CATCH_AREA, CODE, NOMINAL, LBS]
+    tickets = tickets_with_gaps(spark, sf_dir, columns, (YEAR, YEAR))
+    labelled = models.strict_labels(tickets.filter(F.col(NOMINAL).isin(*ONE_SPECIES)))
+    landed = labelled.filter((F.col("TYPE") == "LE") & (F.col("AREA") == "S4010"))
+    landed = landed.groupBy("VESSEL_NUM").agg(sum_tons(LBS).alias("MT"))
+    vessels = table(spark, sf_dir, "supplier").selectExpr(
+        "if(s_suppkey % 10 = 2, null, cast(s_suppkey as string)) as VESSEL_NUM"
+    )
+    return rounded(fill_missing(joins.right_join(landed, vessels.distinct(), ["VESSEL_NUM"])))
 
 
 def q_closest_year(spark, sf_dir):
@@ -408,14 +468,12 @@ def q_aggregate_cc(spark, sf_dir):
 def q_union_fleets(spark, sf_dir):
     """Fleets summed by their own period and appended."""
     tickets = sample_tickets(spark, sf_dir, ["LANDING_YEAR", "LANDING_MONTH", CODE, LBS])
-    labelled = tickets.withColumns({"PERIOD": labels.period(), "TYPE": labels.fleet()})
-
-    def landed(fleet: str, period: str) -> DataFrame:
-        keys = ["TYPE", "LANDING_YEAR", F.col(period).alias("PERIOD")]
-        one = labelled.filter(F.col("TYPE") == fleet)
-        return one.groupBy(*keys).agg(sum_known(LBS).alias("LBS"))
-
-    return rounded(landed("LE", "PERIOD").unionByName(landed("OA", "LANDING_MONTH")))
+    labelled = tickets.withColumn("TYPE", labels.fleet()).filter(F.col("TYPE").isNotNull())
+    # The fleets share no row, so one sum by each fleet's own period appends them.
+    own = labelled.withColumn("PERIOD", totals.fleet_period({"LE": "two_month", "OA": "month"}))
+    return rounded(
+        own.groupBy("TYPE", "LANDING_YEAR", "PERIOD").agg(sum_known(LBS).alias("LBS"))
+    )
 
 
 def q_distinct_species(spark, sf_dir):
@@ -437,9 +495,8 @@ def q_partial_month(spark, sf_dir):
         spark, sf_dir, ["LANDING_YEAR", "LANDING_MONTH", "LANDING_DAY", LBS, REVENUE]
     )
     partial = estimate.partial_month(tickets, YEAR, MONTH)
-    rows = estimate.complete_partial_month(tickets, partial, [LBS])
-    months = rows.groupBy("LANDING_YEAR", "LANDING_MONTH").agg(
-        F.sum(LBS).alias("LBS"), partial.scale_sum(F.col(REVENUE)).alias("REVENUE")
+    months = tickets.groupBy("LANDING_YEAR", "LANDING_MONTH").agg(
+        partial.scale_sum(F.col(LBS)).alias("LBS"), partial.scale_sum(F.col(REVENUE)).alias("REVENUE")
     )
     return rounded(months)
 
@@ -528,6 +585,12 @@ def q_month_profile(spark, sf_dir):
     return _net_halibut(spark, sf_dir, ["LANDING_YEAR", "LANDING_MONTH"])
 
 
+def q_month_gross(spark, sf_dir):
+    """Gross pounds of both species by month of the current year."""
+    season = sample_trips(spark, sf_dir, (YEAR, YEAR)).filter(trips.in_months(4, 10))
+    return rounded(trips.gross_pounds(season, list(TRIP_SPECIES), ["LANDING_MONTH"]))
+
+
 def q_month_average(spark, sf_dir):
     """Average month of four complete years."""
     return _net_halibut(spark, sf_dir, ["LANDING_MONTH"], (1996, 1999), 4)
@@ -613,6 +676,25 @@ def q_model_shelf(spark, sf_dir):
     )
 
 
+def q_model_shelf_all(spark, sf_dir):
+    """Both years and every area, without the rolling year."""
+    columns = [*LINGCOD_COLUMNS, COMMON, "PARTICIPATION_GROUP_CODE", "COUNCIL_CODE"]
+    tickets = sample_tickets(spark, sf_dir, columns, (PRIOR, YEAR))
+    return rounded(
+        models.shelf_model(
+            tickets, species=SHELF_NAMES, years=(PRIOR, YEAR), last_month=None, area=None,
+            species_column=COMMON,
+        )
+    )
+
+
+def q_result_text(spark, sf_dir):
+    """A model's result as it is written: text in fixed notation."""
+    columns = [c for c in POP_COLUMNS if c != "LANDING_DAY"]
+    tickets = sample_tickets(spark, sf_dir, columns, (YEAR, YEAR))
+    return as_text(models.yellowtail_model(tickets, species=ONE_SPECIES, year=YEAR), digits=4)
+
+
 def q_widow_shelf(spark, sf_dir):
     tickets = sample_tickets(spark, sf_dir, POP_COLUMNS, (YEAR, YEAR))
     dates = sample_tickets(spark, sf_dir, TICKET_DATES, (YEAR, YEAR))
@@ -639,6 +721,35 @@ def q_model_zones(spark, sf_dir):
     return rounded(models.zones_model(tickets, species=ONE_SPECIES, group="ECON", year=YEAR))
 
 
+# Limits amid the sample landings, so that each zone has rows on either side of each rule.
+SAMPLE_ZONES = tuple(
+    LimitSchedule(zone, "two_month", {"SQ": 2000, "A1": 2600, "A2": 1500})
+    for zone in ("LEN", "LES", "LESS", "OAN", "OAS", "OASS")
+)
+SAMPLE_ZONE_RULES = {
+    "A1": {s.label: ("raise", 0.8) for s in SAMPLE_ZONES},
+    "A2": {s.label: ("cap", 0.6) for s in SAMPLE_ZONES},
+}
+
+
+def q_zone_branches(spark, sf_dir):
+    """All six zones under a raised and a lowered limit, with the rows that each rule moved."""
+    tickets = sample_tickets(spark, sf_dir, ZONE_COLUMNS, (YEAR, YEAR))
+    responded = models.zone_responses(
+        tickets, SAMPLE_ZONES, SAMPLE_ZONE_RULES, species=ONE_SPECIES, group="ECON", year=YEAR
+    )
+    counts = []
+    for name in SAMPLE_ZONE_RULES:
+        moved = F.col(f"{name}LBS") - F.col("tlbs")
+        counts += [
+            F.count_if(moved > 0).alias(f"{name}_RAISED"),
+            F.count_if(moved < 0).alias(f"{name}_LOWERED"),
+            F.count_if(moved == 0).alias(f"{name}_KEPT"),
+            sum_tons(f"{name}LBS").alias(f"{name}_MT"),
+        ]
+    return rounded(responded.groupBy("ZONE").agg(sum_tons("tlbs").alias("SQ_MT"), *counts))
+
+
 def q_model_zones_monthly(spark, sf_dir):
     tickets = sample_tickets(spark, sf_dir, ZONE_COLUMNS, (YEAR, YEAR))
     return rounded(
@@ -664,5 +775,22 @@ def q_model_ratio(spark, sf_dir):
     return rounded(models.ratio_model(season, PRIOR, YEAR, last_actual_month=6))
 
 
+def q_model_incidental(spark, sf_dir):
+    """The trip model over flat tickets: header and line columns filter at the scan."""
+    columns = [
+        "LANDING_YEAR", "LANDING_MONTH", "LANDING_DATE", "VESSEL_NUM", AGENCY, "CATCH_AREA_CODE",
+        "GMT_SABLEFISH_CODE", "REMOVAL_TYPE_CODE", NOMINAL, LANDED,
+    ]
+    # Five vessels, so that trips hold several lines of both species.
+    few = {"VESSEL_NUM": "cast(l_suppkey % 5 as string)"}
+    tickets = sample_tickets(spark, sf_dir, columns, (PRIOR, YEAR), overrides=few)
+    return rounded(
+        models.incidental_projection(
+            tickets, TRIP_SPECIES, NOMINAL, agency="C", fisheries=("PRI", "LEN", "OPN"),
+            reference_year=PRIOR, current_year=YEAR, last_actual_month=8,
+        )
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: value for name, value in globals().items() if name.startswith("q_")}

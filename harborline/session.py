@@ -5,6 +5,18 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+#: Selected ticket headers filter the ticket lines before their shuffle. By default the filter is built from
+#: sides below 10 MB only and holds a million keys; these are sizes for headers of a few years. At most
+#: max_num_bits / 8 = 64 MB go to each executor, however many keys there are.
+RUNTIME_FILTER = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "10g",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1g",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "64000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": "536870912",
+}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -18,7 +30,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra)
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
-    for key, value in extra.items():
+    for key, value in (RUNTIME_FILTER | extra).items():
         builder = builder.config(key, str(value))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

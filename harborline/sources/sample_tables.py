@@ -46,9 +46,12 @@ FROM_LINES = {
     "CATCH_AREA_CODE": "case l_linenumber when 6 then '61' when 7 then '60A2' else '59A1' end",
     "PARTICIPATION_GROUP_CODE": "case when l_linenumber = 7 then 'A' else 'C' end",
     "COUNCIL_CODE": "case when l_linenumber = 6 then 'N' else 'P' end",
+    "GMT_SABLEFISH_CODE": """case when l_linenumber <= 2 then 'PRI' when l_linenumber = 5 then 'OPN'
+        else 'LEN' end""",
+    "REMOVAL_TYPE_CODE": "case when l_returnflag = 'R' and l_linenumber = 3 then 'E' else 'C' end",
     "ROUND_WEIGHT_LBS": "l_quantity * 100",
     "LANDED_WEIGHT_LBS": "l_quantity * 20",
-    "EXVESSEL_REVENUE": f"cast(l_extendedprice as {MONEY.simpleString()})",
+    "EXVESSEL_REVENUE": f"cast(cast(l_extendedprice as decimal(18, 2)) as {MONEY.simpleString()})",
 }
 FROM_SUPPLIER = {
     "AGENCY_CODE": "case n_regionkey when 0 then 'O' when 1 then 'W' else 'C' end",

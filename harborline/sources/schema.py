@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from harborline.functions.labels import sector_code
 
-MONEY = T.DecimalType(18, 2)
+# Wide enough for a sum of any tickets; a value with more decimals than these stops the job.
+MONEY = T.DecimalType(24, 6)
 
 TICKET_SCHEMA = T.StructType(
     [
@@ -71,12 +72,26 @@ def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df
 
 
+def exact_money(value: Column, present: T.DataType) -> Column:
+    """The value as money with every digit it has; more digits than money holds are an error."""
+    if isinstance(present, T.IntegralType) or (
+        isinstance(present, T.DecimalType) and present.scale <= MONEY.scale
+    ):
+        return value.cast(MONEY)
+    exact = value if isinstance(present, T.DecimalType) else value.cast(T.DecimalType(38, 14))
+    money = exact.cast(MONEY)
+    lost = F.concat(F.lit(f"more than {MONEY.scale} decimals in "), value.cast("string"))
+    return F.when(exact == money, money).when(exact.isNotNull(), F.raise_error(lost).cast(MONEY))
+
+
 def _typed(field: T.StructField, present: T.DataType) -> Column:
     value = F.col(field.name)
     if field.name == "DAHL_GROUNDFISH_CODE":
         return sector_code(value).alias(field.name)
     if present == field.dataType:
         return value
+    if field.dataType == MONEY:
+        return exact_money(value, present).alias(field.name)
     return value.cast(field.dataType).alias(field.name)
 
 

@@ -28,8 +28,9 @@ def read_tickets(
     CSV fields are read as text under their header names and cast afterwards, so codes
     keep their leading zeros and column order does not matter. ``missing`` marks a missing
     value; a blank is missing in a number or date column and an empty string elsewhere.
-    ``date_format`` is the pattern of the dates unless they are ISO dates. Files stay
-    splittable, and only the columns used later are parsed.
+    ``date_format`` is the pattern of the dates unless they are ISO dates. A record with
+    more or fewer fields than the header stops the job with the name of its file; for
+    that every field is parsed. Files stay splittable.
     """
     if format != "csv":
         return conform(spark.read.format(format).load(path), columns)
@@ -39,8 +40,20 @@ def read_tickets(
         .option("enforceSchema", False)
         .option("ignoreLeadingWhiteSpace", strip)
         .option("ignoreTrailingWhiteSpace", strip)
+        .option("mode", "FAILFAST")
+        .option("columnPruning", False)
         .csv(path)
     )
+    return conform_text(raw, columns, missing, date_format)
+
+
+def conform_text(
+    raw: DataFrame,
+    columns: Iterable[str] | None = None,
+    missing: str = MISSING_TEXT,
+    date_format: str | None = None,
+) -> DataFrame:
+    """Typed tickets from a frame of text fields under headers as exports spell them."""
     raw = normalise_headers(raw)
     types = {f.name: f.dataType for f in TICKET_SCHEMA}
     cleaned = []
@@ -59,7 +72,8 @@ def read_tickets(
 
 
 def month_predicates(years: Iterable[int]) -> list[str]:
-    """One database predicate, hence one partition, per month."""
+    """One database predicate, hence one partition, per month. Rows without a month meet
+    none of them; no model counts such rows."""
     return [
         f"LANDING_YEAR = {int(year)} AND LANDING_MONTH = {month}"
         for year in years

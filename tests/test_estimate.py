@@ -63,6 +63,28 @@ def test_closest_year(spark, x, y, z, expected):
     assert got == expected if expected in (None, math.inf) else got == pytest.approx(expected)
 
 
+@pytest.mark.parametrize("x, y, z", [(519721, 521281, 520501), (1000001, 1000003, 1000002), (7, 13, 10)])
+def test_a_tie_in_whole_pounds_takes_the_second_year(spark, x, y, z):
+    rows = [(1, 3, "N", "S", float(x)), (2, 3, "N", "S", float(y)), (2, 10, "N", "S", float(y)), (3, 3, "N", "S", float(z))]
+    df = spark.createDataFrame(
+        rows, "LANDING_YEAR int, LANDING_MONTH int, AREA string, SPECIES string, ROUND_WEIGHT_LBS double"
+    )
+    (got,) = estimate.closest_year_estimate(estimate.years_side_by_side(df, (1, 2, 3), 8)).collect()
+    assert got.RATIO == 0.5
+    assert got.ESTIMATED_MT == pytest.approx(2 * z / POUNDS_PER_METRIC_TON)
+
+
+def test_missing_keys_stay_where_asked(spark):
+    rows = [(2, 3, None, "S", 5.0), (3, 3, None, "S", None), (3, 9, "N", None, 7.0)]
+    df = spark.createDataFrame(
+        rows, "LANDING_YEAR int, LANDING_MONTH int, AREA string, SPECIES string, ROUND_WEIGHT_LBS double"
+    )
+    wide = estimate.years_side_by_side(df, (1, 2, 3), 8, complete=False).collect()
+    assert {(r.AREA, r.SPECIES): (r.LBS_y, r.THRU_LBS_z, r.LBS_z) for r in wide} == {
+        (None, "S"): (5.0, 0.0, 0.0), ("N", None): (0.0, 0.0, 7.0),
+    }
+
+
 def test_first_year_needs_the_second(spark):
     rows = lines(1, 80, 20) + lines(3, 75, 0) + [(2, 3, "N", "other", 5.0)]
     df = spark.createDataFrame(

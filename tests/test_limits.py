@@ -4,7 +4,7 @@ import pytest
 
 from harborline.operators import limits as L
 from harborline.operators.limits import LimitSchedule
-from harborline.operators.tables import MAX_PARAMETER_ROWS, parameter_table
+from harborline.operators.tables import parameter_table
 from harborline.plans import parameters as P
 
 
@@ -63,7 +63,7 @@ def test_unmatched_landings_drop_out(spark):
     ]
 
 
-def test_parameter_tables_are_bounded(spark):
+def test_parameter_tables_have_any_length_and_no_hint(spark):
     long = L.limit_table(spark, P.POP_LIMITS)
-    with pytest.raises(ValueError):
-        parameter_table(spark, long.schema, [("LE", "month", 1, "SQ", 1.0)] * (MAX_PARAMETER_ROWS + 1))
+    many = parameter_table(spark, long.schema, [("LE", "month", 1, "SQ", float(i)) for i in range(30_000)])
+    assert many.count() == 30_000 and "ResolvedHint" not in many._jdf.queryExecution().analyzed().toString()

@@ -154,6 +154,17 @@ def test_zones_with_monthly_limits(tickets):
     assert got["OAN",]["A1_MT"] != same_zones["OAN",]["A1_MT"]
 
 
+def test_any_zones_with_limits_count(tickets):
+    limits = lambda *zones: [P.LimitSchedule(z, "two_month", {"SQ": 100, "A1": 50}) for z in zones]
+    rules = {"A1": {z: ("cap", 0.8) for z in models.zone_tests()}}
+    every = by_key(models.zones_model(tickets, limits(*models.zone_tests()), rules), 1)
+    some = by_key(models.zones_model(tickets, limits("LES", "OASS"), rules), 1)
+    assert {z for (z,) in every} == set(models.zone_tests())
+    assert some == {k: v for k, v in every.items() if k[0] in ("LES", "OASS")}
+    with pytest.raises(ValueError, match="OAX"):
+        models.zones_model(tickets, limits("LES", "OAX"), rules)
+
+
 def test_nearshore(tickets, rows):
     def label(name, agency):
         if agency == "W" and name == "CANARY ROCKFISH":

@@ -78,9 +78,8 @@ def test_results_hold(spark, skewed, joins, name):
     )
 
 
+@pytest.mark.parametrize("joins", ["shuffle"], indirect=True)
 def test_hot_partition_of_a_join_is_split(spark, skewed, joins):
-    if joins == "broadcast":
-        pytest.skip("no shuffle to split")
     df = contract.queries()["q_label_area"](spark, skewed)
     df.collect()
     assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
@@ -94,11 +93,10 @@ def shuffled_records(df):
     )
 
 
+@pytest.mark.parametrize("joins", ["broadcast"], indirect=True)
 @pytest.mark.parametrize("name", ["q_species_overlap", "q_respond_raise"])
 def test_hot_groups_shrink_before_the_shuffle(spark, skewed, joins, name):
     """Sums run in two stages, so a group with a third of all rows leaves each task as one."""
-    if joins == "shuffle":
-        pytest.skip("the joins shuffle lines as well")
     df = contract.queries()[name](spark, skewed)
     df.collect()
     assert 0 < shuffled_records(df) < N / 6

@@ -8,6 +8,7 @@ import pytest
 from pyspark.errors import NumberFormatException
 
 from harborline.__main__ import run
+from harborline.sources.schema import conform
 from harborline.sources import schema, tickets
 from harborline.sources.results import as_text, write_result
 
@@ -28,7 +29,7 @@ def write(path, text):
 def test_csv(spark, tmp_path):
     df = tickets.read_tickets(spark, write(tmp_path / "t.csv", "﻿" + CSV))
     assert dict(df.dtypes)["ROUND_WEIGHT_LBS"] == "double"
-    assert dict(df.dtypes)["EXVESSEL_REVENUE"] == "decimal(18,2)"
+    assert dict(df.dtypes)["EXVESSEL_REVENUE"] == "decimal(24,6)"
     got = [r.asDict() for r in df.collect()]
     assert [r["VESSEL_NUM"] for r in got] == ["101", "102", None, ""]
     assert [r["LANDING_YEAR"] for r in got] == [2019] * 4
@@ -60,6 +61,25 @@ def test_text_in_a_number_column_stops(spark, tmp_path):
         tickets.read_tickets(spark, path).collect()
 
 
+@pytest.mark.parametrize("record", ["x,2022,3,4.0,5", "x,2022", "x"])
+def test_records_that_do_not_fit_the_header_stop(spark, tmp_path, record):
+    path = write(tmp_path / "odd.csv", f"VESSEL_NUM,LANDING_YEAR,ROUND_WEIGHT_LBS\n{record}\n")
+    for df in (tickets.read_tickets(spark, path), tickets.read_tickets(spark, path).select("VESSEL_NUM")):
+        with pytest.raises(Exception, match="odd.csv"):
+            df.collect()
+
+
+def test_revenue_keeps_its_digits_or_stops(spark, tmp_path):
+    path = write(tmp_path / "m.csv", "VESSEL_NUM,EXVESSEL_REVENUE\na,1.005\nb,0.004\nc,NA\nd,12\n")
+    got = {r[0]: r[1] for r in tickets.read_tickets(spark, path, columns=["VESSEL_NUM", "EXVESSEL_REVENUE"]).collect()}
+    assert {k: None if v is None else float(v) for k, v in got.items()} == {"a": 1.005, "b": 0.004, "c": None, "d": 12.0}
+    path = write(tmp_path / "n.csv", "VESSEL_NUM,EXVESSEL_REVENUE\na,1.0000005\n")
+    with pytest.raises(Exception, match="decimals"):
+        tickets.read_tickets(spark, path).collect()
+    doubles = spark.createDataFrame([(0.1 + 0.2,), (1e9 + 0.25,)], "EXVESSEL_REVENUE double")
+    assert [float(r[0]) for r in conform(doubles).collect()] == [0.3, 1e9 + 0.25]
+
+
 def test_header_names(spark):
     df = spark.createDataFrame([(1, 2)], "`PACFIN_YEAR` int, `LANDING_YEAR` int")
     assert schema.normalise_headers(df).columns == ["PACFIN_YEAR", "LANDING_YEAR"]
