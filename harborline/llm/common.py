@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,8 +55,6 @@ def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
 
 def offsets(array: pa.Array):
     """Byte offsets of a string or binary array, one more than it has rows."""
-    import numpy as np
-
     wide = pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type)
     kind = np.int64 if wide else np.int32
     return np.frombuffer(array.buffers()[1], kind)[array.offset : array.offset + len(array) + 1].astype(np.int64)
@@ -71,17 +70,15 @@ def subset(df: DataFrame, *names: str) -> DataFrame:
 
 
 class BitSieve:
-    """A bit for each of 2**BITS values of a hash column (long), whatever the number of keys: passes all keys, and few others.
+    """A bit for each of at most 2**BITS values of a hash column (long): passes all keys, and few others.
 
     Only ever used to leave out rows early that a later join would leave out, so a full sieve costs time, not
-    rows. It goes to the tasks as a broadcast of 2**BITS / 8 bytes.
+    rows. It goes to the tasks as a broadcast: about 64 bits for each key, and never more than 2**BITS bits.
     """
 
     BITS = 27
 
     def __init__(self, keys: DataFrame, column: str):
-        import numpy as np
-
         place = F.shiftrightunsigned(F.col(column), 64 - self.BITS)
         words = (
             keys.select(place.alias("place"))
@@ -90,14 +87,17 @@ class BitSieve:
             .agg(F.bit_or("bit").alias("bits"))
         )
         table = words.toArrow()
-        bits = np.zeros(1 << (self.BITS - 6), np.uint64)
-        if table.num_rows:
-            bits[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
-        self.held = keys.sparkSession.sparkContext.broadcast(bits)
-
-    def passes(self, hashes):
+        word = table["word"].to_numpy().astype(np.int64)
+        bits = table["bits"].to_numpy().astype(np.int64).view(np.uint64)
+        count = int(np.bitwise_count(bits).sum())
+        self.bits = min(self.BITS, max(12, (64 * count).bit_length()))
+        sieve = np.zeros(1 << (self.bits - 6), np.uint64)
+        for bit in range(64):  # fewer bits: neighbouring places become one
+            places = (word[(bits >> np.uint64(bit) & np.uint64(1)) > 0] * 64 + bit) >> (self.BITS - self.bits)
+            np.bitwise_or.at(sieve, places >> 6, np.uint64(1) << (places & 63).astype(np.uint64))
+        self.held = keys.sparkSession.sparkContext.broadcast(sieve)
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
         """Which of some hashes (long, as in the key column) may be keys."""
-        import numpy as np
-
-        place = hashes.view(np.uint64) >> np.uint64(64 - self.BITS)
+        place = hashes.view(np.uint64) >> np.uint64(64 - self.bits)
         return (self.held.value[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)

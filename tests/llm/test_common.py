@@ -1,0 +1,32 @@
+"""The sieve passes every key, and byte-bounded pieces hold every row."""
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from harborline.llm.common import PIECE_BYTES, BitSieve, pieces
+
+
+@pytest.mark.parametrize("count", [0, 1, 50, 5000])
+def test_sieve(spark, count):
+    rng = np.random.default_rng(count)
+    keys = rng.integers(-(2**63), 2**63 - 1, count)
+    sieve = BitSieve(spark.createDataFrame([(int(k),) for k in keys], "h long"), "h")
+    assert sieve.passes(keys).all()
+    assert sieve.passes(rng.integers(-(2**63), 2**63 - 1, 20_000)).mean() < 0.04
+
+
+def test_a_sieve_never_outgrows_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(BitSieve, "BITS", 14)
+    keys = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 9000)
+    sieve = BitSieve(spark.createDataFrame([(int(k),) for k in keys], "h long"), "h")
+    assert sieve.bits == 14 and sieve.passes(keys).all()
+
+
+def test_pieces():
+    texts = ["", None, "x" * (3 * PIECE_BYTES), "y", *["z" * 1000] * 3000, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    parts = list(pieces(batch.slice(1)))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == texts[1:]
+    assert all(p.num_rows == 1 or p.column(0).nbytes < 2 * PIECE_BYTES + 1e5 for p in parts)
+    assert list(pieces(batch.slice(0, 0))) == []
