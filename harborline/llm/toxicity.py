@@ -94,7 +94,7 @@ def count_pairs(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, key: str, t
     """Counts over the texts of the given ids, whose order is ascending.
 
     Tasks fold their own pairs before the shuffle; after it each partition adds up its pairs in tables of fixed
-    size and sends what isn't 0. The driver adds one partition at a time.
+    size and passes on what isn't 0, packed.
     """
     held = docs.sparkSession.sparkContext.broadcast((ids, toxic))
     most = 1 << 21
@@ -145,18 +145,42 @@ def count_pairs(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, key: str, t
                 sums.kinds[c] += np.bincount(before, counts[c] > 0, _WORDS).astype(np.int64)
                 sums.pair[c] += np.bincount(cell, counts[c][often], _PAIRS).astype(np.int64)
             sums.before += np.bincount(word, minlength=_WORDS)
-        packed = _pack(sums.tables())
-        columns = [pa.array([x[i] for x in packed], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))]
-        yield pa.RecordBatch.from_arrays(columns, ["table", "places", "amounts"])
+        yield _packed(_pack(sums.tables()))
 
     pairs = _keyed(docs, key, text).mapInArrow(own, "pair long, t int, o int").groupBy("pair").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    kind = "table int, places binary, amounts binary"
+    # One task sums each table, so as many arrays of fixed size as there are tables come to the driver.
+    summed = pairs.mapInArrow(add, kind).repartition(len(Counts.empty().tables()), "table").mapInArrow(_merge, kind)
     total = Counts.empty()
+    for row in summed.collect():
+        _unpack(row.places, row.amounts, total.tables()[row.table])
+    return total
+
+
+def _unpack(places: bytes, amounts: bytes, into: np.ndarray) -> None:
     import zlib
 
-    for row in pairs.mapInArrow(add, "table int, places binary, amounts binary").toLocalIterator():
-        places = np.cumsum(np.frombuffer(zlib.decompress(row.places), np.uint32), dtype=np.int64)
-        total.tables()[row.table][places] += np.frombuffer(zlib.decompress(row.amounts), np.uint32)
-    return total
+    at = np.cumsum(np.frombuffer(zlib.decompress(places), np.uint32), dtype=np.int64)
+    into[at] += np.frombuffer(zlib.decompress(amounts), np.uint32)
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed tables of one number added up."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            number = batch.column(0)[i].as_py()
+            if number not in sums:
+                sums[number] = np.zeros_like(Counts.empty().tables()[number])
+            _unpack(batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), sums[number])
+    for number, table in sums.items():
+        for _, places, amounts in _pack((table,)):
+            yield _packed([(number, places, amounts)])
+
+
+def _packed(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    columns = [pa.array([x[i] for x in rows], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+    return pa.RecordBatch.from_arrays(columns, ["table", "places", "amounts"])
 
 
 class Models:
