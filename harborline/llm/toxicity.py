@@ -73,6 +73,16 @@ def _cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return word, before, pair, words.first
 
 
+def _once(pair: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which pairs come up in their text for the first time."""
+    order = np.lexsort((pair, row))
+    fresh = np.ones(len(pair), bool)
+    fresh[1:] = (pair[order[1:]] != pair[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
+    out = np.empty(len(pair), bool)
+    out[order] = fresh
+    return out
+
+
 def _pair_cell(pair: np.ndarray) -> np.ndarray:
     return (mix(pair) >> _U(64 - PAIR_BITS)).astype(np.int64)
 
@@ -117,10 +127,7 @@ def count_pairs(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, key: str, t
             for piece in pieces(rows):
                 _, _, pair, first = _cells(piece.column(1))
                 row = np.repeat(np.arange(piece.num_rows), np.diff(first))
-                order = np.lexsort((pair, row))
-                pair, row = pair[order], row[order]
-                once = np.ones(len(pair), bool)
-                once[1:] = (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])
+                once = _once(pair, row)
                 pair, row = pair[once], row[once]
                 waiting.append((pair, label[done + row]))
                 done += piece.num_rows
@@ -259,7 +266,9 @@ class Scorer:
 
     def measured(self, column: pa.Array) -> np.ndarray:
         word, before, pair, first = _cells(column)
-        return features(self.models.ratios(word, before, pair), first)
+        ratios = self.models.ratios(word, before, pair)
+        ratios[~_once(pair, np.repeat(np.arange(len(first) - 1), np.diff(first)))] = 0.0  # as in the counts
+        return features(ratios, first)
 
     def scores(self, column: pa.Array) -> np.ndarray:
         logit = self.weights @ self.measured(column) + self.offset
