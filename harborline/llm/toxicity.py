@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -214,6 +215,20 @@ class Models:
             self.each.append((1.0 / np.maximum(np.maximum(n, counts.kinds[c]), 1)).astype(np.float32))
             self.pair.append(np.maximum(counts.pair[c] - DISCOUNTS[c], 0).astype(np.float32))
 
+    def __getstate__(self) -> dict:
+        """Packed, as the tables are mostly empty where the corpus is small."""
+        import zlib
+
+        packed = lambda table: (table.dtype.str, zlib.compress(table.tobytes(), 1))
+        return {"weight": packed(self.weight)} | {n: [packed(t) for t in getattr(self, n)] for n in ("word", "pair", "each")}
+
+    def __setstate__(self, state: dict) -> None:
+        import zlib
+
+        plain = lambda kind, raw: np.frombuffer(zlib.decompress(raw), kind)
+        self.weight = plain(*state["weight"])
+        self.word, self.pair, self.each = ([plain(*t) for t in state[n]] for n in ("word", "pair", "each"))
+
     def ratios(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
         """Log of toxic over ordinary likelihood of each word after the one before it."""
         cell = _pair_cell(pair)
@@ -258,15 +273,15 @@ N_FEATURES = len(PASSAGES) + 4
 
 @dataclass
 class Scorer:
-    """The models and the scale that turns their ratios into a score."""
+    """The models, sent out once, and the scale that turns their ratios into a score."""
 
-    models: Models
+    models: Broadcast
     weights: np.ndarray
     offset: float
 
     def measured(self, column: pa.Array) -> np.ndarray:
         word, before, pair, first = _cells(column)
-        ratios = self.models.ratios(word, before, pair)
+        ratios = self.models.value.ratios(word, before, pair)
         ratios[~_once(pair, np.repeat(np.arange(len(first) - 1), np.diff(first)))] = 0.0  # as in the counts
         return features(ratios, first)
 
@@ -287,13 +302,13 @@ def _taken(batch: pa.RecordBatch, ids: np.ndarray) -> tuple[pa.RecordBatch, np.n
     return batch.filter(pa.array(taken)), at[taken]
 
 
-def _sample_features(docs: DataFrame, models: Models, ids: np.ndarray, y: np.ndarray, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+def _sample_features(docs: DataFrame, scorer: Scorer, ids: np.ndarray, y: np.ndarray, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the texts with the given ids; FIT_ROWS bounds them."""
-    held = docs.sparkSession.sparkContext.broadcast((Scorer(models, np.zeros(N_FEATURES), 0.0), ids, y))
+    held = docs.sparkSession.sparkContext.broadcast((ids, y))
     names = [f"f{i}" for i in range(N_FEATURES)]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, ids, y = held.value
+        ids, y = held.value
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
@@ -350,8 +365,9 @@ def fit(
     ids, y, scale = (known[c].to_numpy() for c in ("id", "y", "scale"))
     scale = scale.astype(bool)
     models = Models(count_pairs(docs, ids[~scale], y[~scale] > 0, key, text))
-    x, told = _sample_features(docs, models, ids[scale], y[scale], key, text)
-    return Scorer(models, *fit_scale(x, told))
+    held = docs.sparkSession.sparkContext.broadcast(models)
+    x, told = _sample_features(docs, Scorer(held, np.zeros(N_FEATURES), 0.0), ids[scale], y[scale], key, text)
+    return Scorer(held, *fit_scale(x, told))
 
 
 def toxicity_scores(
@@ -372,12 +388,12 @@ def toxicity_scores(
     more than one label counts as toxic if any says so; repeated rows score alike. Without any label the
     score is near 0. An empty table gives no rows. Other columns play no part.
     """
-    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text, label, fit_rows))
+    scorer = fit(docs, labels, key, text, label, fit_rows)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
-                scores = pa.array(held.value.scores(piece.column(1)))
+                scores = pa.array(scorer.scores(piece.column(1)))
                 yield pa.RecordBatch.from_arrays([piece.column(0), scores], ["key", "score"])
 
     scored = _keyed(docs, key, text).mapInArrow(score, "key long, score double")
@@ -393,12 +409,12 @@ def drop_toxic(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = THRESHOLD
 ) -> DataFrame:
     """The rows that score below the threshold, with all their columns; rows stay in their tasks."""
-    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text, label))
+    scorer = fit(docs, labels, key, text, label)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text)
             for piece in pieces(batch, text):
-                yield piece.filter(pa.array(held.value.scores(piece.column(at)) < threshold))
+                yield piece.filter(pa.array(scorer.scores(piece.column(at)) < threshold))
 
     return docs.mapInArrow(keep, docs.schema)
