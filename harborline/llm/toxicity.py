@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,8 +57,10 @@ class Counts:
     def empty(cls) -> Counts:
         return cls(*(np.zeros(s, np.int64) for s in ((2, _WORDS), (2, _PAIRS), (2, _WORDS), _WORDS)))
 
-    def tables(self) -> tuple[np.ndarray, ...]:
-        return (*self.word, *self.pair, *self.kinds, self.before)
+    def stretches(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Views of all tables, CELLS cells at a time, numbered."""
+        tables = (*self.word, *self.pair, *self.kinds, self.before)
+        yield from enumerate(t[at : at + CELLS] for t in tables for at in range(0, len(t), CELLS))
 
 
 def _cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,17 +91,34 @@ def _pair_cell(pair: np.ndarray) -> np.ndarray:
     return (mix(pair) >> _U(64 - PAIR_BITS)).astype(np.int64)
 
 
-def _pack(tables: tuple[np.ndarray, ...]) -> list[tuple[int, bytes, bytes]]:
-    """(table, places as steps, values) of what isn't 0, small enough to send."""
-    import zlib
+#: Tables travel in stretches of so many cells.
+CELLS = 1 << 18
 
-    out = []
-    for number, table in enumerate(tables):
-        at = np.flatnonzero(table)
+
+def _pack(numbered: Iterable[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    """Of numbered stretches of cells, those with any that isn't 0: places as steps and amounts, compressed."""
+    rows = []
+    for number, cells in numbered:
+        at = np.flatnonzero(cells)
         if len(at):
             steps = np.diff(at, prepend=0).astype(np.uint32)
-            out.append((number, zlib.compress(steps.tobytes(), 1), zlib.compress(table[at].astype(np.uint32).tobytes(), 1)))
-    return out
+            rows.append((number, zlib.compress(steps.tobytes(), 1), zlib.compress(cells[at].astype(np.uint32).tobytes(), 1)))
+    columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+    return pa.RecordBatch.from_arrays(columns, ["stretch", "places", "amounts"])
+
+
+def _unpack(places: bytes, amounts: bytes, into: np.ndarray) -> None:
+    at = np.cumsum(np.frombuffer(zlib.decompress(places), np.uint32), dtype=np.int64)
+    into[at] += np.frombuffer(zlib.decompress(amounts), np.uint32)
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed stretches of one number added up."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for number, places, amounts in zip(*(c.to_pylist() for c in batch.columns)):
+            _unpack(places, amounts, sums.setdefault(number, np.zeros(CELLS, np.int64)))
+    yield _pack(sums.items())
 
 
 def count_pairs(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, key: str, text: str) -> Counts:
@@ -153,44 +173,19 @@ def count_pairs(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, key: str, t
                 sums.kinds[c] += np.bincount(before, counts[c] > 0, _WORDS).astype(np.int64)
                 sums.pair[c] += np.bincount(cell, counts[c][often], _PAIRS).astype(np.int64)
             sums.before += np.bincount(word, minlength=_WORDS)
-        yield _packed(_pack(sums.tables()))
+        yield _pack(sums.stretches())
 
     pairs = _keyed(docs, key, text).mapInArrow(own, "pair long, t int, o int").groupBy("pair").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    kind = "table int, places binary, amounts binary"
-    # One task sums each table, so as many arrays of fixed size as there are tables come to the driver.
-    summed = pairs.mapInArrow(add, kind).repartition(len(Counts.empty().tables()), "table").mapInArrow(_merge, kind)
+    kind = "stretch int, places binary, amounts binary"
+    # A task sums each stretch, so the tables come to the driver once, whatever the number of partitions.
+    summed = pairs.mapInArrow(add, kind).repartition("stretch").mapInArrow(_merge, kind)
     total = Counts.empty()
+    stretches = dict(total.stretches())
     for row in summed.collect():
-        _unpack(row.places, row.amounts, total.tables()[row.table])
+        _unpack(row.places, row.amounts, stretches[row.stretch])
     return total
 
 
-def _unpack(places: bytes, amounts: bytes, into: np.ndarray) -> None:
-    import zlib
-
-    at = np.cumsum(np.frombuffer(zlib.decompress(places), np.uint32), dtype=np.int64)
-    into[at] += np.frombuffer(zlib.decompress(amounts), np.uint32)
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed tables of one number added up."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for i in range(batch.num_rows):
-            number = batch.column(0)[i].as_py()
-            if number not in sums:
-                sums[number] = np.zeros_like(Counts.empty().tables()[number])
-            _unpack(batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), sums[number])
-    for number, table in sums.items():
-        for _, places, amounts in _pack((table,)):
-            yield _packed([(number, places, amounts)])
-
-
-def _packed(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-    columns = [pa.array([x[i] for x in rows], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))]
-    return pa.RecordBatch.from_arrays(columns, ["table", "places", "amounts"])
-
-
 class Models:
     """Two interpolated Kneser-Ney models over words and pairs, on shared backoff counts.
 
@@ -217,14 +212,10 @@ class Models:
 
     def __getstate__(self) -> dict:
         """Packed, as the tables are mostly empty where the corpus is small."""
-        import zlib
-
         packed = lambda table: (table.dtype.str, zlib.compress(table.tobytes(), 1))
         return {"weight": packed(self.weight)} | {n: [packed(t) for t in getattr(self, n)] for n in ("word", "pair", "each")}
 
     def __setstate__(self, state: dict) -> None:
-        import zlib
-
         plain = lambda kind, raw: np.frombuffer(zlib.decompress(raw), kind)
         self.weight = plain(*state["weight"])
         self.word, self.pair, self.each = ([plain(*t) for t in state[n]] for n in ("word", "pair", "each"))
