@@ -88,7 +88,7 @@ def pack_block(
 
 
 def _measure(docs: DataFrame, key: str, text: str, source: str, cluster: str | None) -> DataFrame:
-    """Key, words, source and cluster of each row; without a cluster column, texts with equal words, A-Z lowered, make one."""
+    """Key, words, source and cluster of each row. Without a cluster column, texts with equal words make one, A-Z lowered."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +105,10 @@ def _measure(docs: DataFrame, key: str, text: str, source: str, cluster: str | N
                 yield pa.RecordBatch.from_arrays(columns, ["key", "size", "source", "cluster"])
 
     shared = F.lit(None).cast("long") if cluster is None else docs[cluster].cast("long")
-    rows = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text"), docs[source].cast("string").alias("source"), shared.alias("cluster"))
+    rows = docs.select(
+        docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text"),
+        docs[source].cast("string").alias("source"), shared.alias("cluster"),
+    )
     return rows.mapInArrow(count, "key long, size long, source string, cluster long")
 
 

@@ -181,7 +181,8 @@ def _windows(raw: bytes) -> Iterator[bytes]:
                 part, left = unpack.decompress(left[: 64 << 10]), left[64 << 10 :]
                 more = bool(left)
         except Exception as problem:  # each library has its own error for damaged data
-            if not isinstance(problem, (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError)) and "zstd" not in type(problem).__name__.lower():
+            damaged = isinstance(problem, (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError))
+            if not damaged and "zstd" not in type(problem).__name__.lower():
                 raise
             return
         if part:

@@ -191,7 +191,8 @@ def _by_window(bodies: DataFrame, window: int) -> DataFrame:
                 one = hash_runs(hashes, window)[inside]
                 two = hash_runs(mix(hashes + _U(1)), window)[inside]
                 took = pa.array(row)
-                columns = [_long(one), _long(two), *(piece.column(i).take(took) for i in range(3)), pa.array(inside - words.first[row])]
+                begin = pa.array(inside - words.first[row])
+                columns = [_long(one), _long(two), *(piece.column(i).take(took) for i in range(3)), begin]
                 yield pa.RecordBatch.from_arrays(columns, ["one", "two", "anchor", "content", "doc", "begin"])
 
     rows = bodies.select("anchor", "content", "doc", "body").mapInArrow(
@@ -269,7 +270,14 @@ def _strip(value: str | None, ranges: list[tuple[int, int]]) -> tuple[int, int,
 _OUT = "doc long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, key: str = "doc_id", text: str = "text", keep_text: bool = True, **limits) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame,
+    window: int = WINDOW_WORDS,
+    key: str = "doc_id",
+    text: str = "text",
+    keep_text: bool = True,
+    **limits,
+) -> DataFrame:
     """Each row without the words of any window that also starts in a document with a smaller key.
 
     Returns key, n_words, n_removed, kept_sha256 and kept (the words left, joined by one blank; null if keep_text is off).

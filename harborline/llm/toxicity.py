@@ -44,7 +44,8 @@ def held_out(key: Column) -> Column:
 class Counts:
     """What the labelled texts hold, for the toxic (1) and the ordinary (0) class.
 
-    A text counts an expression once, however often it repeats it. word: texts; pair: those of pairs seen twice or more; kinds: different pairs that a word begins, in each class;
+    A text counts a pair once, however often it repeats it. word: texts, once for each word that stands before it
+    there; pair: texts, of pairs seen twice or more; kinds: different pairs that a word begins, in each class;
     before: different words before a word, in both classes together, which is what both back off to.
     """
 
@@ -293,7 +294,9 @@ def _taken(batch: pa.RecordBatch, ids: np.ndarray) -> tuple[pa.RecordBatch, np.n
     return batch.filter(pa.array(taken)), at[taken]
 
 
-def _sample_features(docs: DataFrame, scorer: Scorer, ids: np.ndarray, y: np.ndarray, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+def _sample_features(
+    docs: DataFrame, scorer: Scorer, ids: np.ndarray, y: np.ndarray, key: str, text: str
+) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the texts with the given ids; FIT_ROWS bounds them."""
     held = docs.sparkSession.sparkContext.broadcast((ids, y))
     names = [f"f{i}" for i in range(N_FEATURES)]
