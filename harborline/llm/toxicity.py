@@ -56,7 +56,7 @@ class Counts:
 
     @classmethod
     def empty(cls) -> Counts:
-        return cls(*(np.zeros(s, np.int64) for s in ((2, _WORDS), (2, _PAIRS), (2, _WORDS), _WORDS)))
+        return cls(*(np.zeros(s, np.int32) for s in ((2, _WORDS), (2, _PAIRS), (2, _WORDS), _WORDS)))
 
     def stretches(self) -> Iterator[tuple[int, np.ndarray]]:
         """Views of all tables, CELLS cells at a time, numbered."""
@@ -118,7 +118,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for number, places, amounts in zip(*(c.to_pylist() for c in batch.columns)):
-            _unpack(places, amounts, sums.setdefault(number, np.zeros(CELLS, np.int64)))
+            _unpack(places, amounts, sums.setdefault(number, np.zeros(CELLS, np.int32)))
     yield _pack(sums.items())
 
 
