@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +70,23 @@ def subset(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[name] for name in names])
 
 
+class Sent:
+    """A broadcast that carries its classes along, so that tasks need not import this package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._value = None
+
+    def __getstate__(self) -> dict:
+        return {"held": self.held, "_value": None}
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = cloudpickle.loads(self.held.value)
+        return self._value
+
+
 class BitSieve:
     """A bit for each of at most 2**BITS values of a hash column (long): passes all keys, and few others.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.common import pieces, subset
+from harborline.llm.common import Sent, pieces, subset
 from harborline.llm.words import hash_runs, hash_words, mix, split_words, whole_runs
 
 SHINGLE_WORDS = 5
@@ -133,7 +133,7 @@ def find_contained(
     rows = subset(docs, key, text).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     found: DataFrame | None = None
     for block in item_blocks(items, block_bytes, item_key, text):
-        held = docs.sparkSession.sparkContext.broadcast(Sketches(block, size, containment))
+        held = Sent(docs.sparkSession, Sketches(block, size, containment))
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = held.value
@@ -166,7 +166,7 @@ def drop_contaminated(
 ) -> DataFrame:
     """The documents that contain no item, with all their columns; rows stay in their tasks."""
     for block in item_blocks(items, block_bytes, item_key, text):
-        held = docs.sparkSession.sparkContext.broadcast(Sketches(block, size, containment))
+        held = Sent(docs.sparkSession, Sketches(block, size, containment))
 
         def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:

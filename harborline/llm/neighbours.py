@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harborline.llm.common import cut_lineage, subset
+from harborline.llm.common import Sent, cut_lineage, subset
 
 TREES = 8
 #: Rows that a leaf should hold, and leaves that a query opens, over all trees together.
@@ -173,7 +173,7 @@ def nearest(
     bound = min(int(-(2**63) + 2**64 * share), 2**63 - 1)
     sample = kept.where(F.xxhash64("id") <= F.lit(bound)).select("v").limit(2 * fit_rows).toArrow()["v"].combine_chunks()
     forest = Forest(_directions(_matrix(sample, width)), trees, max(1, count // leaf_rows))
-    held = session.sparkContext.broadcast(forest)
+    held = Sent(session, forest)
     base = np.concatenate([[0], np.cumsum(forest.leaves)])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

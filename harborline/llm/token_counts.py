@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.common import pieces, subset
+from harborline.llm.common import Sent, pieces, subset
 from harborline.llm.words import hash_words, split_words
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -102,7 +102,7 @@ def count_tokens(docs: DataFrame, vocabulary: Iterable[bytes], key: str = "doc_i
     the vocabulary and goes to the tasks as a broadcast; rows don't move. Null and empty texts count 0 and 0;
     null and repeated keys come out as they are; an empty table gives no rows; other columns play no part.
     """
-    held = docs.sparkSession.sparkContext.broadcast(Automaton(vocabulary))
+    held = Sent(docs.sparkSession, Automaton(vocabulary))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = held.value

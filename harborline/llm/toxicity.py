@@ -8,11 +8,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.common import pieces, subset
+from harborline.llm.common import Sent, pieces, subset
 from harborline.llm.words import hash_words, mix, split_words
 
 #: Labelled rows that the models are fitted on, at most: their ids go to every task, 9 bytes each. With more
@@ -267,7 +266,7 @@ N_FEATURES = len(PASSAGES) + 4
 class Scorer:
     """The models, sent out once, and the scale that turns their ratios into a score."""
 
-    models: Broadcast
+    models: Sent
     weights: np.ndarray
     offset: float
 
@@ -359,7 +358,7 @@ def fit(
     ids, y, scale = (known[c].to_numpy() for c in ("id", "y", "scale"))
     scale = scale.astype(bool)
     models = Models(count_pairs(docs, ids[~scale], y[~scale] > 0, key, text))
-    held = docs.sparkSession.sparkContext.broadcast(models)
+    held = Sent(docs.sparkSession, models)
     x, told = _sample_features(docs, Scorer(held, np.zeros(N_FEATURES), 0.0), ids[scale], y[scale], key, text)
     return Scorer(held, *fit_scale(x, told))
 
