@@ -211,12 +211,16 @@ def near_classes(
 def keep_one(
     docs: DataFrame, shingle_words: int = SHINGLE_WORDS, distance: int = DISTANCE, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """One row of each near-duplicate class, that of the smallest key, with all its columns.
+    """One row of each near-duplicate class, that of the smallest key, with all its columns; see keep_least."""
+    return keep_least(docs, near_classes(docs, shingle_words, distance, key, text), key)
+
+
+def keep_least(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Of each class (key and component of each row) the row of the smallest key, with all its columns.
 
     Of rows that repeat this key one stays. Rows with a null key cannot be named and are passed on. Only rows
     that may have to go (and few others, see BitSieve) move to where this is decided.
     """
-    classes = near_classes(docs, shingle_words, distance, key, text)
     counted = cut_lineage(
         classes.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key"))
         .agg(F.count("*").alias("__rows"), F.min("component").alias("__least"))
