@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from harborline.llm.common import Sent, cut_lineage, subset
 
 TREES = 8
-#: Rows that a leaf should hold, and leaves that a query opens, over all trees together.
-LEAF_ROWS, LEAVES = 512, 160
+#: Rows that a leaf should hold, and leaves that a query opens, over all trees together: so many, or this share of
+#: all leaves if that is more, so that the searched share of the rows doesn't fall as the table grows.
+LEAF_ROWS, LEAVES, LEAF_SHARE = 512, 160, 0.1
 #: The trees are fitted on so many vectors at most, those whose ids hash lowest; every row is put into the leaves.
 FIT_ROWS = 50_000
 #: A leaf of many more rows than planned (copies of a vector, say) is dealt out in parts of so many.
@@ -142,6 +143,7 @@ def nearest(
     leaf_rows: int = LEAF_ROWS,
     leaves: int = LEAVES,
     fit_rows: int = FIT_ROWS,
+    leaf_share: float = LEAF_SHARE,
 ) -> DataFrame:
     """For each row that `queries` holds for, the k nearest found of all other rows by cosine.
 
@@ -173,6 +175,7 @@ def nearest(
     bound = min(int(-(2**63) + 2**64 * share), 2**63 - 1)
     sample = kept.where(F.xxhash64("id") <= F.lit(bound)).select("v").limit(2 * fit_rows).toArrow()["v"].combine_chunks()
     forest = Forest(_directions(_matrix(sample, width)), trees, max(1, count // leaf_rows))
+    most = max(leaves, int(np.ceil(leaf_share * sum(forest.leaves))))
     held = Sent(session, forest)
     base = np.concatenate([[0], np.cumsum(forest.leaves)])
 
@@ -198,7 +201,7 @@ def nearest(
                 part = batch.slice(at, 256)
                 row, leaf, portion = [], [], []
                 for i, direction in enumerate(_directions(_matrix(part.column(1), width))):
-                    for tree, own in forest.open_leaves(direction, leaves):
+                    for tree, own in forest.open_leaves(direction, most):
                         place = int(base[tree]) + own
                         for p in range(parts.value.get(place, 1)):
                             row.append(i)

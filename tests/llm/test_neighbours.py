@@ -42,6 +42,14 @@ def test_recall_and_scores(spark):
     assert hits / (5 * len(want)) > 0.9
 
 
+def test_opened_leaves_follow_the_size(spark):
+    rng = np.random.default_rng(3)
+    ids, x = np.arange(6000), rng.normal(size=(6000, 16))
+    rows = n.nearest(frame(spark, ids, x), F.col("vec_id") % 50 == 0, trees=6, leaf_rows=25, leaves=8).collect()
+    want = {(q, v) for q, near in brute(ids, x, 5, 50).items() for v, _ in near}
+    assert len({(r.query_id, r.vec_id) for r in rows} & want) / len(want) > 0.7
+
+
 def brute_scores(x, q):
     x = x.astype(np.float32).astype(float)
     unit = x / np.sqrt((x * x).sum(1, keepdims=True))
