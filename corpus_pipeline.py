@@ -11,7 +11,7 @@ from harborline.llm.common import stage_folder, table
 from harborline.llm.decontamination import drop_contaminated
 from harborline.llm.packing import pack
 from harborline.llm.secret_scan import redact_secrets
-from harborline.llm.similar import keep_one_similar
+from harborline.llm.simhash import keep_one
 from harborline.llm.toxicity import drop_toxic
 
 
@@ -21,8 +21,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of texts with five-word similarity 0.8 stays, the one with the smallest doc_id."""
-    return keep_one_similar(docs)
+    """One document of each class stays, that with the smallest doc_id; fingerprints of three-word shingles, three bits."""
+    return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
