@@ -39,8 +39,8 @@ def stage_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into slices of about PIECE_BYTES of the column, so memory does not follow the batch."""
+def pieces(batch: pa.RecordBatch, column: str = "text", size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch into slices of about `size` bytes of the column, so memory does not follow the batch."""
     rows = batch.num_rows
     if rows == 0:
         return
@@ -48,7 +48,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
     ends = offsets(array)
     start = 0
     while start < rows:
-        stop = int(ends.searchsorted(ends[start] + PIECE_BYTES, side="right")) - 1
+        stop = int(ends.searchsorted(ends[start] + size, side="right")) - 1
         stop = min(rows, max(stop, start + 1))
         yield batch.slice(start, stop - start)
         start = stop

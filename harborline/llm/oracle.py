@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from harborline.llm import decontamination as d
+from harborline.llm import divergence as v
+from harborline.llm import fill_middle as f
 from harborline.llm import substring_dedup as r
 from harborline.llm import url_filter as u
 
@@ -84,5 +86,67 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_
 FROM docs LEFT JOIN places USING (rid)"""
 
 
+def op12_sql() -> str:
+    draws = ", ".join(f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4))
+    marked = " OR ".join(f"contains(text, '{m}')" for m in (f.PREFIX, f.SUFFIX, f.MIDDLE))
+    part = "array_to_string(list_slice(u, {} + 1, {}), '')"
+    return rf"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('{f.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents),
+numbered AS (SELECT doc_id, text, u, len(u)::BIGINT AS n, {draws} FROM drawn),
+cut AS (
+  SELECT doc_id, text, u, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR {marked} OR h3 % 100 >= {f.CUT_PERCENT} THEN 'plain'
+              WHEN h4 % 100 < {f.SUFFIX_FIRST_PERCENT} THEN 'spm' ELSE 'psm' END AS form
+  FROM numbered),
+parts AS (
+  SELECT doc_id, text, n, form, {part.format(0, "a")} AS p, {part.format("a", "b")} AS m, {part.format("b", "n")} AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{f.PREFIX}' || p || '{f.SUFFIX}' || s || '{f.MIDDLE}' || m
+              ELSE '{f.SUFFIX}' || s || '{f.PREFIX}' || p || '{f.MIDDLE}' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts"""
+
+
+def op13_sql() -> str:
+    def share(count: str, total: str) -> str:
+        return f"(1 + ({v.SCALE}::HUGEINT * ({count} + {v.SMOOTHING})) // ({total} + {v.SMOOTHING} * terms))::BIGINT"
+
+    return rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({_LOWERED.replace("text", "coalesce(text, '')", 1)}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+words AS (SELECT rid, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT rid) >= {v.MIN_DOCS}),
+langs AS (SELECT lang, count(*) AS terms, sum(n) AS lang_total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source),
+groups AS (
+  SELECT lang, source, coalesce(terms, 0) AS terms, coalesce(lang_total, 0) AS lang_total, coalesce(total, 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN langs USING (lang) LEFT JOIN totals USING (lang, source)),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {share("coalesce(c.n, 0)", "g.total")} AS p,
+         {share("k.n", "g.lang_total")} AS q
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+items AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM items)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {v.TOP_TERMS}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": op6_sql(), "op8_substring_dedup": op8_sql(), "op10_decontamination": op10_sql()}
+    return {
+        "op6_url_filter": op6_sql(), "op8_substring_dedup": op8_sql(), "op10_decontamination": op10_sql(),
+        "op12_fill_middle": op12_sql(), "op13_source_divergence": op13_sql(),
+    }

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from harborline.llm.common import table
 from harborline.llm.decontamination import find_contained
+from harborline.llm.divergence import audit_sources
+from harborline.llm.fill_middle import fill_in_middle, restored
 from harborline.llm.neighbours import nearest
 from harborline.llm.packing import pack
 from harborline.llm.secret_scan import scan_secrets
+from harborline.llm.sentence_pieces import encode_texts, read_pieces
 from harborline.llm.sharding import shard_by_bytes
 from harborline.llm.simhash import near_classes
 from harborline.llm.substring_dedup import remove_repeats
@@ -89,5 +92,29 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = encode_texts(table(spark, sf_dir, "documents"), read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "agrees",
+    )
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(text):
+        return F.sha2(text.cast("binary"), 256)
+
+    return fill_in_middle(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+        digest(restored("output", "form")).alias("restored_sha256"),
+    )
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op")}

@@ -43,14 +43,16 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def split_words(array: pa.Array) -> Words:
+def split_words(array: pa.Array, solid_bytes: np.ndarray | None = None) -> Words:
+    """The words of each text; solid_bytes (256 booleans) may name other bytes that words are made of."""
     data, at = text_bytes(array)
     if len(data) == 0:
         none = np.zeros(0, np.int64)
         return Words(data, none, none, np.zeros(len(at), np.int64))
-    space = np.zeros(256, bool)
-    space[[0x20, *range(0x09, 0x0E)]] = True
-    solid = ~space[data]
+    if solid_bytes is None:
+        solid_bytes = np.ones(256, bool)
+        solid_bytes[[0x20, *range(0x09, 0x0E)]] = False
+    solid = solid_bytes[data]
     begins, finishes = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
     finishes[:-1] &= ~solid[1:]

@@ -74,5 +74,5 @@ def test_registered():
     import __spark_entry__ as contract
 
     names = list(contract.queries())
-    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 13
     assert c.ORACLE_SQL is None and len(c.STAGES) == 5
