@@ -9,6 +9,7 @@ import re
 import struct
 from collections.abc import Iterator, Sequence
 from heapq import heapify, heappop, heappush
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ MERGE_MODEL = 2
 #: A task keeps the ids of at most so many segments of at most so many characters, twice: those met since the
 #: store was last full, and those of the time before.
 HELD_SEGMENTS, HELD_LENGTH = 200_000, 64
+#: Characters up to which a segment's agenda is a list, and the place of a pair that is no piece.
+SHORT_SEGMENT, NO_PIECE = 40, 1 << 62
 #: Bits that number the symbols of a segment within an entry of the agenda.
 SYMBOL_BITS = 40
 SYMBOL_MASK = (1 << SYMBOL_BITS) - 1
@@ -84,10 +87,26 @@ class Coder:
     def merged(self, segment: str) -> list[str]:
         """The symbols left when no adjacent pair is a piece any more.
 
-        The agenda holds adjacent pairs that are pieces, the best score first, then the leftmost. A pair taken from it
-        whose symbols have changed since is passed over; else it becomes one symbol and its new pairs
-        with both neighbours enter.
+        The agenda holds adjacent pairs that are pieces, the best score first, then the leftmost; a pair taken from it becomes one
+        symbol, and its new pairs with both neighbours enter. A short segment's agenda is a list with the score
+        of each pair, which its best is looked up in; a longer one's is a heap, where pairs whose symbols
+        have changed since are passed over.
         """
+        if len(segment) > SHORT_SEGMENT:
+            return self._merged_by_heap(segment)
+        symbols, look = list(segment), self.pieces.place.get
+        agenda = [look(x, NO_PIECE) for x in map(add, segment, segment[1:])]
+        while agenda and (best := min(agenda)) < NO_PIECE:
+            at = agenda.index(best)
+            symbol = symbols[at] = symbols[at] + symbols.pop(at + 1)
+            del agenda[at]
+            if at < len(agenda):
+                agenda[at] = look(symbol + symbols[at + 1], NO_PIECE)
+            if at:
+                agenda[at - 1] = look(symbols[at - 1] + symbol, NO_PIECE)
+        return symbols
+
+    def _merged_by_heap(self, segment: str) -> list[str]:
         symbols, look = list(segment), self.pieces.place.get
         count = len(symbols)
         # The place of the pair that begins at each symbol, as it stands now; an entry of the agenda is
