@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from heapq import heapify, heappop, heappush
 from operator import add
 
@@ -25,6 +25,8 @@ MERGE_MODEL = 2
 #: A task keeps the ids of at most so many segments of at most so many characters, twice: those met since the
 #: store was last full, and those of the time before.
 HELD_SEGMENTS, HELD_LENGTH = 200_000, 64
+#: Characters from which on a text's segments are not listed at once.
+LONG_TEXT = 1 << 20
 #: Characters up to which a segment's agenda is a list, and the place of a pair that is no piece.
 SHORT_SEGMENT, NO_PIECE = 40, 1 << 62
 #: Bits that number the symbols of a segment within an entry of the agenda.
@@ -73,17 +75,27 @@ class Pieces:
         lead = "" if inside else f"{BLANK}*"
         branches = ([f"{lead}[{solid}]+"] if solid else []) + ([] if inside else [f"{BLANK}+"]) + [f"[^{every}]+" if every else "(?s:.)+"]
         self.segment = "|".join(branches)
+        # A character that stands alone wherever it stands: what follows it is cut as if the text began there.
+        self.alone = next(c for c in map(chr, range(0xE000, 0xF900)) if c not in joining)
 
 
 class Coder:
-    """Encodes and decodes single texts; holds the ids of segments met before."""
+    """Encodes and decodes single texts; holds the ids of segments met before, and lists those newly encoded."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.cut = re.compile(pieces.segment).findall
+        self.pattern = re.compile(pieces.segment)
+        self.fresh: list[tuple[str, bytes]] = []
         self.held: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def cut(self, text: str) -> Iterable[str]:
+        """The segments of a text, of a long one as they are asked for."""
+        if not text:
+            return ()
+        marked = BLANK + text.replace(" ", BLANK)
+        return self.pattern.findall(marked) if len(text) <= LONG_TEXT else (m[0] for m in self.pattern.finditer(marked))
+
     def merged(self, segment: str) -> list[str]:
         """The symbols left when no adjacent pair is a piece any more.
 
@@ -156,10 +168,13 @@ class Coder:
         """The ids, packed as little-endian unsigned 32-bit integers."""
         parts = [struct.pack("<I", self.pieces.begin)] if begin else []
         held = self.held
-        for segment in self.cut(BLANK + text.replace(" ", BLANK)) if text else ():
+        for segment in self.cut(text):
             ids = held.get(segment)
             if ids is None:
-                ids = self.older.get(segment) or self._ids(segment)
+                ids = self.older.get(segment)
+                if ids is None:
+                    ids = self._ids(segment)
+                    self.fresh.append((segment, ids))
                 if len(segment) <= HELD_LENGTH:
                     if len(held) >= HELD_SEGMENTS:
                         self.older, self.held = held, {}
@@ -232,7 +247,8 @@ def encode_texts(
     ids (binary) are packed as little-endian unsigned 32-bit integers, with the begin and end ids where asked;
     n_tokens (long) counts all of them; decoded (string) is their text, which differs from the input only in that
     a mark for a blank becomes a blank. With `check`, each slice of an Arrow batch also goes through the
-    sentencepiece library, and agrees (boolean) says whether its ids and its decoded text are the same; without, it is null.
+    sentencepiece library: every segment that the agenda encoded anew for its ids, and all ids for their text. agrees
+    (boolean) says whether the library gave the same for all of a text; without `check` it is null.
 
     Rows don't move; the vocabulary goes to the tasks as a broadcast of its own size. A text is cut where no
     piece can reach across, so memory follows the text and not its pairs; a stretch without any such place
@@ -243,13 +259,14 @@ def encode_texts(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(held.value)
-        library = _library(held.value) if check else None
+        library = Library(coder) if check else None
         for batch in batches:
             for piece in pieces(batch):
                 texts = [x or "" for x in piece.column(1).to_pylist()]
                 ids = [coder.encode(x, begin, end) for x in texts]
                 decoded = [coder.decode(x) for x in ids]
-                agrees = _agree(library, texts, ids, decoded, begin, end) if check else [None] * len(texts)
+                agrees = library.agrees(texts, ids, decoded) if check else [None] * len(texts)
+                coder.fresh = []
                 columns = [
                     piece.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()),
                     pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_()),
@@ -276,14 +293,27 @@ def decode_ids(frame: DataFrame, vocabulary: Pieces, ids: str = "ids", key: str
     return rows.mapInArrow(decode, "key long, decoded string").withColumnRenamed("key", key)
 
 
-def _library(vocabulary: Pieces):
-    import sentencepiece
-
-    return sentencepiece.SentencePieceProcessor(model_proto=vocabulary.model)
-
-
-def _agree(library, texts: Sequence[str], ids: Sequence[bytes], decoded: Sequence[str], begin: bool, end: bool) -> list[bool]:
-    """Whether the library gives the same ids for each text and the same text for its ids."""
-    own = library.encode(list(texts), add_bos=begin, add_eos=end, num_threads=1)
-    back = library.decode(own, num_threads=1)
-    return [np.array(x, "<u4").tobytes() == y and t == z for x, y, t, z in zip(own, ids, back, decoded)]
+class Library:
+    """The sentencepiece library beside a coder."""
+
+    def __init__(self, coder: Coder):
+        import sentencepiece
+
+        self.processor = sentencepiece.SentencePieceProcessor(model_proto=coder.pieces.model)
+        self.coder = coder
+        self.alone = coder.pieces.alone
+        self.lead = len(self.processor.encode(self.alone))
+        self.differing: set[str] = set()
+
+    def agrees(self, texts: Sequence[str], ids: Sequence[bytes], decoded: Sequence[str]) -> list[bool]:
+        """Whether all segments of each text have the library's ids, and its ids the library's text."""
+        fresh = self.coder.fresh
+        own = self.processor.encode([self.alone + segment for segment, _ in fresh], num_threads=1)
+        self.differing |= {
+            segment for (segment, packed), x in zip(fresh, own) if struct.pack(f"<{len(x) - self.lead}I", *x[self.lead :]) != packed
+        }
+        back = self.processor.decode([np.frombuffer(x, "<u4").tolist() for x in ids], num_threads=1)
+        return [
+            text == other and not (self.differing and not self.differing.isdisjoint(self.coder.cut(whole)))
+            for text, other, whole in zip(decoded, back, texts)
+        ]

@@ -66,10 +66,11 @@ def test_the_best_pair_merges_first_and_ties_from_the_left(coder):
 def test_texts_are_only_cut_where_no_piece_reaches(coder):
     rng = random.Random(4)
     for _ in range(300):
-        text = s.BLANK + "".join(rng.choices("ab1\n▁é梦😀", k=rng.randint(1, 40)))
-        cut = coder.cut(text)
-        assert "".join(cut) == text
-        assert [x for part in cut for x in coder.merged(part)] == coder.merged(text)
+        text = "".join(rng.choices("ab1\n▁é梦😀 ", k=rng.randint(1, 40)))
+        whole = s.BLANK + text.replace(" ", s.BLANK)
+        cut = list(coder.cut(text))
+        assert "".join(cut) == whole
+        assert [x for part in cut for x in coder.merged(part)] == coder.merged(whole) == coder._merged_by_heap(whole)
 
 
 def test_a_full_store_and_a_long_stretch(monkeypatch, library):
@@ -81,6 +82,25 @@ def test_a_full_store_and_a_long_stretch(monkeypatch, library):
     assert len(coder.held) <= 5 and len(coder.older) <= 5
 
 
+def test_a_difference_to_the_library_is_found(monkeypatch):
+    coder = s.Coder(s.read_pieces(PATH))
+    library = s.Library(coder)
+    texts = ["one two", "three", "two"]
+    true = coder.pieces.place["▁two"]
+    coder.pieces.place["▁two"] = s.NO_PIECE
+    ids = [coder.encode(x) for x in texts]
+    assert library.agrees(texts, ids, [coder.decode(x) for x in ids]) == [False, True, False]
+    assert library.agrees(["three"], ids[1:2], ["tree"]) == [False]
+    coder.pieces.place["▁two"] = true
+
+
+def test_long_texts_are_cut_as_short_ones(monkeypatch, coder):
+    text = "a b  c\nd" * 30
+    listed = list(coder.cut(text))
+    monkeypatch.setattr(s, "LONG_TEXT", 10)
+    assert list(coder.cut(text)) == listed
+
+
 def test_unsupported_vocabularies_are_an_error():
     from sentencepiece import sentencepiece_model_pb2
 
