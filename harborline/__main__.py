@@ -26,10 +26,13 @@ def run(
     format: str = "csv",
     options: Mapping | None = None,
     mode: str = "errorifexists",
+    order: Sequence[str] | None = None,
+    row_names: bool = False,
     **read_options,
 ) -> None:
     frame = read_tickets(spark, tickets, format, **read_options)
-    write_result(MODELS[model](frame, **(options or {})), out, mode)
+    result = MODELS[model](frame, **(options or {}))
+    write_result(result, out, mode, order=order, row_names=row_names)
 
 
 def _setting(text: str) -> tuple[str, object]:
@@ -49,6 +52,8 @@ def main() -> None:
     parser.add_argument("--date-format", default=None, help="pattern of dates in CSV")
     parser.add_argument("--set", type=_setting, action="append", default=[], metavar="NAME=VALUE")
     parser.add_argument("--overwrite", action="store_true")
+    parser.add_argument("--order", nargs="+", help="columns that the result is sorted by")
+    parser.add_argument("--row-names", action="store_true", help="number the rows in a first column")
     args = parser.parse_args()
     run(
         SparkSession.builder.appName("harborline").getOrCreate(),
@@ -58,6 +63,8 @@ def main() -> None:
         args.format,
         dict(args.set),
         "overwrite" if args.overwrite else "errorifexists",
+        order=args.order,
+        row_names=args.row_names,
         date_format=args.date_format,
     )
 

@@ -783,6 +783,20 @@ FROM rest, so_far""",
 ORACLE["q_result_text"] = f"""SELECT LANDING_MONTH, TYPE, {fixed_text("P_SQMT")}, {fixed_text("P_A1_MT")}
 FROM ({ORACLE["q_model_yellowtail"]})"""
 
+ORACLE["q_result_numbered"] = f"""WITH {GAPPED},
+landed AS (
+  SELECT LANDING_YEAR, VESSEL_NUM, {PERIOD} AS PERIOD, {FLEET} AS TYPE,
+         round(coalesce(sum(ROUND_WEIGHT_LBS), 0), 4) AS LBS FROM gapped GROUP BY ALL)
+SELECT *, row_number() OVER (ORDER BY LANDING_YEAR, VESSEL_NUM NULLS LAST, PERIOD, TYPE NULLS LAST) AS ROW FROM landed"""
+
+ORACLE["q_result_file"] = f"""WITH {GAPPED},
+landed AS (
+  SELECT LANDING_YEAR, {AREA} AS AREA, {COMMON} AS SPECIES, coalesce(sum(ROUND_WEIGHT_LBS), 0) AS ROUND_WEIGHT_LBS
+  FROM gapped GROUP BY ALL),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY LANDING_YEAR, AREA NULLS LAST, SPECIES NULLS LAST) AS place FROM landed)
+SELECT * EXCLUDE place, place AS ROW, place AS PLACE FROM placed"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

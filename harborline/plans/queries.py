@@ -20,7 +20,9 @@ from harborline.operators import bycatch, estimate, groups, joins, limits, scope
 from harborline.operators.limits import LimitSchedule
 from harborline.plans import models
 from harborline.plans import parameters as P
-from harborline.sources.results import as_text
+from harborline.operators.order import row_numbered
+from harborline.session import new_folder
+from harborline.sources.results import as_text, read_result, write_result
 from harborline.sources.sample_tables import (
     FROM_LINES,
     FROM_PART,
@@ -695,6 +697,27 @@ def q_result_text(spark, sf_dir):
     return as_text(models.yellowtail_model(tickets, species=ONE_SPECIES, year=YEAR), digits=4)
 
 
+NUMBERED_KEYS = ["LANDING_YEAR", "VESSEL_NUM", "PERIOD", "TYPE"]
+
+
+def q_result_numbered(spark, sf_dir):
+    """Totals by vessel and period in order, with their row names; a tenth of the vessels has no number."""
+    tickets = tickets_with_gaps(spark, sf_dir, ["LANDING_YEAR", "LANDING_MONTH", "VESSEL_NUM", CODE, LBS])
+    labelled = tickets.withColumns({"PERIOD": labels.period(), "TYPE": labels.fleet()})
+    landed = labelled.groupBy(*NUMBERED_KEYS).agg(sum_known(LBS).alias("LBS"))
+    return rounded(row_numbered(landed, NUMBERED_KEYS))
+
+
+def q_result_file(spark, sf_dir):
+    """Sorted landings written with row names and read back: each row's name, and its place in the files."""
+    tickets = _area_species(tickets_with_gaps(spark, sf_dir, YEAR_COLUMNS))
+    keys = ["LANDING_YEAR", "AREA", "SPECIES"]
+    landed = tickets.groupBy(*keys).agg(sum_known(LBS).alias(LBS))
+    path = new_folder(spark, "result")
+    write_result(landed, path, order=keys, row_names=True)
+    return rounded(read_result(spark, path, landed.schema, row_names=True))
+
+
 def q_widow_shelf(spark, sf_dir):
     tickets = sample_tickets(spark, sf_dir, POP_COLUMNS, (YEAR, YEAR))
     dates = sample_tickets(spark, sf_dir, TICKET_DATES, (YEAR, YEAR))

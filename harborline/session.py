@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Selected ticket headers filter the ticket lines before their shuffle. By default the filter is built from
@@ -35,3 +39,31 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which driver and executors share.
+
+    Where the session names none, a temporary one serves as long as all tasks run in this process; on a
+    cluster that would put every executor's files on its own disk, so there it is an error.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder under the shared one that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder once and reads on from there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
