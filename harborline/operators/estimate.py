@@ -9,7 +9,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborline.functions.semantics import complete_cases, divide, if_known, nan_to_null, sum_known
+from harborline.functions.semantics import (
+    complete_cases,
+    divide,
+    exact_sum,
+    exact_sum_known,
+    if_known,
+    nan_to_null,
+    sum_known,
+)
 from harborline.functions.units import pounds_to_tons, sum_tons
 
 POUNDS = "ROUND_WEIGHT_LBS"
@@ -33,10 +41,10 @@ class PartialMonth:
         return if_known(self.in_month, self.scale(value.cast("double")), value, dated)
 
     def scale_sum(self, value: Column) -> Column:
-        """Sum of values with those of the month scaled. Each part is summed before it is
-        scaled, so that sums of whole pounds stay exact in any order."""
-        partial = sum_known(F.when(self.in_month, value)).cast("double")
-        others = sum_known(F.when(~self.in_month, value)).cast("double")
+        """Sum of values with those of the month scaled. Each part is summed exactly before it is
+        scaled, so that neither the order nor the partitioning of the rows shows in the result."""
+        partial = exact_sum(F.when(self.in_month, value))
+        others = exact_sum_known(F.when(~self.in_month, value))
         return others + F.coalesce(self.scale(partial), F.lit(0.0))
 
 

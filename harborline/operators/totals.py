@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborline.functions.semantics import complete_cases, divide, known, lookup, sum_known
-from harborline.functions.units import pounds_to_tons, sum_tons
+from harborline.functions.semantics import (
+    complete_cases,
+    divide,
+    exact_mean,
+    exact_sum_known,
+    is_floating,
+    known,
+    lookup,
+    sum_known,
+)
+from harborline.functions.units import exact_sum_tons, pounds_to_tons
 from harborline.operators.estimate import POUNDS, PartialMonth
 
 MONTHS_PER_PERIOD = {"month": 1, "two_month": 2}
 REVENUE = "EXVESSEL_REVENUE"
 
 
+def summed(df: DataFrame, name: str) -> Callable[[Column], Column]:
+    """The sum for a column's type: doubles exactly, whatever the order; decimals and whole numbers are exact anyway."""
+    return exact_sum_known if is_floating(df, name) else sum_known
+
+
 def vessel_totals(
     tickets: DataFrame,
     keys: Sequence[str],
@@ -32,8 +46,8 @@ def vessel_totals(
         complete_cases(tickets, keys)
         .groupBy(*keys)
         .agg(
-            sum_known(known(tickets, revenue)).alias("exvessel"),
-            (sum_known(pounds) if partial is None else partial.scale_sum(pounds)).alias("tlbs"),
+            summed(tickets, revenue)(known(tickets, revenue)).alias("exvessel"),
+            (summed(tickets, weight)(pounds) if partial is None else partial.scale_sum(pounds)).alias("tlbs"),
         )
     )
 
@@ -52,7 +66,7 @@ def with_price(totals: DataFrame) -> DataFrame:
 
 
 def mean_price(priced: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return priced.groupBy(*keys).agg(F.avg("price").alias("PRICE"))
+    return priced.groupBy(*keys).agg(exact_mean("price").alias("PRICE"))
 
 
 def project_tons(
@@ -60,7 +74,7 @@ def project_tons(
 ) -> DataFrame:
     """Metric tons per key combination; ``columns`` maps output names to pounds columns."""
     return responded.groupBy(*keys).agg(
-        *(sum_tons(pounds).alias(name) for name, pounds in columns.items())
+        *(exact_sum_tons(pounds).alias(name) for name, pounds in columns.items())
     )
 
 
@@ -75,7 +89,7 @@ def landings_tons(
 
     def total(name: str) -> Column:
         value = known(tickets, name)
-        return sum_known(value) if partial is None else partial.scale_sum(value)
+        return summed(tickets, name)(value) if partial is None else partial.scale_sum(value)
 
     return tickets.groupBy(*keys).agg(
         pounds_to_tons(total(weight)).alias("P_SQMT"), total(revenue).alias("P_EXVESSEL")
