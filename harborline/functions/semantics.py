@@ -56,32 +56,32 @@ def sum_known(value: ColumnOrName) -> Column:
     return F.coalesce(F.sum(as_column(value)), F.lit(0))
 
 
-#: Exact sums hold three parts of a double: its whole number and twice so many bits of its fraction.
-FRACTION_BITS = 52
+#: Exact sums hold the whole number of a double and so many parts of so many bits of its fraction. A sum
+#: of 2^41 parts fits a long.
+FRACTION_PARTS, PART_BITS = 3, 21
 
 
 def exact_sum(value: ColumnOrName) -> Column:
     """Sum of the known doubles that no order and no partitioning of the rows changes, not even in the last bit.
 
-    Each value is cut into its whole number and two whole numbers of 52 bits of its fraction; these are summed as
-    decimals, which is exact, and put together last. Exact for values below 2^63; what a value has
-    beyond 104 bits after the point is cut off before the sum. Infinities and NaN count as in any sum. Null for a group
-    without any known value.
+    Each value is cut into whole numbers: its own, and 21 bits of its fraction at a time. These are summed as
+    longs, which is exact, and put together last. What a value has beyond 63 bits after the point is cut off before
+    the sum; a sum of 2^63 or more stops the job under ANSI mode. Infinities and NaN count as in any sum. Null for a
+    group without any known value.
     """
     value = as_column(value).cast("double")
     ordinary = F.abs(value) < float("inf")
-    number = F.when(ordinary, value)
-    scale = float(1 << FRACTION_BITS)
-    whole = F.floor(number)
-    fraction = (number - whole) * scale
-    high = F.floor(fraction)
-    low = F.floor((fraction - high) * scale)
-
-    def total(part: Column) -> Column:
-        return F.sum(part.cast("decimal(19,0)")).cast("double")
-
-    parts = total(whole) + (total(high) / scale + total(low) / scale / scale)
-    return F.coalesce(F.sum(F.when(~ordinary, value)), parts)
+    rest = F.when(ordinary, value)
+    scale = float(1 << PART_BITS)
+    sums = []
+    for _ in range(FRACTION_PARTS + 1):
+        part = F.floor(rest)
+        sums.append(F.sum(part).cast("double"))
+        rest = (rest - part) * scale
+    total = sums.pop()
+    for upper in reversed(sums):
+        total = upper + total / scale
+    return F.coalesce(F.sum(F.when(~ordinary, value)), total)
 
 
 def exact_sum_known(value: ColumnOrName) -> Column:
