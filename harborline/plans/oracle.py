@@ -797,6 +797,17 @@ placed AS (
   SELECT *, row_number() OVER (ORDER BY LANDING_YEAR, AREA NULLS LAST, SPECIES NULLS LAST) AS place FROM landed)
 SELECT * EXCLUDE place, place AS ROW, place AS PLACE FROM placed"""
 
+ORACLE["q_append_unlike"] = f"""WITH {GAPPED},
+labelled AS (SELECT *, {FLEET} AS TYPE, {AREA} AS AREA FROM gapped),
+appended AS (
+  SELECT 'LE' AS PART, TYPE, LANDING_YEAR, {PERIOD} AS PERIOD, CAST(NULL AS INTEGER) AS MONTH,
+         CAST(NULL AS VARCHAR) AS VESSEL_NUM, CAST(NULL AS VARCHAR) AS AREA, ROUND_WEIGHT_LBS FROM labelled WHERE TYPE = 'LE'
+  UNION ALL BY NAME SELECT 'OA' AS PART, TYPE, LANDING_YEAR, LANDING_MONTH AS MONTH, VESSEL_NUM, ROUND_WEIGHT_LBS
+  FROM labelled WHERE TYPE = 'OA'
+  UNION ALL BY NAME SELECT 'SMALL' AS PART, TYPE, LANDING_YEAR, AREA, ROUND_WEIGHT_LBS
+  FROM labelled WHERE ROUND_WEIGHT_LBS < {SMALL_BELOW})
+SELECT PART, TYPE, LANDING_YEAR, PERIOD, MONTH, VESSEL_NUM, AREA, {N_LBS} FROM appended GROUP BY ALL"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -21,6 +21,7 @@ from harborline.operators.limits import LimitSchedule
 from harborline.plans import models
 from harborline.plans import parameters as P
 from harborline.operators.order import row_numbered
+from harborline.operators.tables import Subset, append_subsets
 from harborline.session import new_folder
 from harborline.sources.results import as_text, read_result, write_result
 from harborline.sources.sample_tables import (
@@ -468,16 +469,41 @@ def q_aggregate_cc(spark, sf_dir):
 
 
 def q_union_fleets(spark, sf_dir):
-    """Fleets summed by their own period and appended."""
+    """Fleets by their own period, appended and summed."""
     tickets = sample_tickets(spark, sf_dir, ["LANDING_YEAR", "LANDING_MONTH", CODE, LBS])
-    labelled = tickets.withColumn("TYPE", labels.fleet()).filter(F.col("TYPE").isNotNull())
-    # The fleets share no row, so one sum by each fleet's own period appends them.
-    own = labelled.withColumn("PERIOD", totals.fleet_period({"LE": "two_month", "OA": "month"}))
+    labelled = tickets.withColumn("TYPE", labels.fleet())
+    own = {"TYPE": "TYPE", "LANDING_YEAR": "LANDING_YEAR", LBS: LBS}
+    fleets = append_subsets(
+        labelled,
+        [
+            Subset(F.col("TYPE") == "LE", own | {"PERIOD": labels.period()}),
+            Subset(F.col("TYPE") == "OA", own | {"PERIOD": F.col("LANDING_MONTH")}),
+        ],
+    )
     return rounded(
-        own.groupBy("TYPE", "LANDING_YEAR", "PERIOD").agg(sum_known(LBS).alias("LBS"))
+        fleets.groupBy("TYPE", "LANDING_YEAR", "PERIOD").agg(sum_known(LBS).alias("LBS"))
     )
 
 
+def q_append_unlike(spark, sf_dir):
+    """Three subsets of unlike columns under each other: two fleets, one by period and one by month, and the small lots
+    of both once more, with their area."""
+    tickets = tickets_with_gaps(
+        spark, sf_dir, ["LANDING_YEAR", "LANDING_MONTH", "VESSEL_NUM", CODE, AGENCY, CATCH_AREA, LBS]
+    )
+    labelled = tickets.withColumn("TYPE", labels.fleet())
+    shared = {"TYPE": "TYPE", "LANDING_YEAR": "LANDING_YEAR", LBS: LBS}
+    rows = append_subsets(
+        labelled,
+        [
+            Subset(F.col("TYPE") == "LE", {"PART": F.lit("LE")} | shared | {"PERIOD": labels.period()}),
+            Subset(F.col("TYPE") == "OA", {"PART": F.lit("OA"), "VESSEL_NUM": "VESSEL_NUM"} | shared | {"MONTH": "LANDING_MONTH"}),
+            Subset(F.col(LBS) < SMALL_BELOW, {"AREA": labels.area(), "PART": F.lit("SMALL")} | shared),
+        ],
+    )
+    return counted(rows, "PART", "TYPE", "LANDING_YEAR", "PERIOD", "MONTH", "VESSEL_NUM", "AREA")
+
+
 def q_distinct_species(spark, sf_dir):
     tickets = tickets_with_gaps(spark, sf_dir, [NOMINAL, COMMON])
     return tickets.select(COMMON).distinct()
