@@ -808,6 +808,19 @@ appended AS (
   FROM labelled WHERE ROUND_WEIGHT_LBS < {SMALL_BELOW})
 SELECT PART, TYPE, LANDING_YEAR, PERIOD, MONTH, VESSEL_NUM, AREA, {N_LBS} FROM appended GROUP BY ALL"""
 
+ORACLE["q_tickets_csv"] = f"""SELECT * EXCLUDE (l_linenumber) REPLACE (
+  CASE l_linenumber WHEN 1 THEN PACFIN_SPECIES_COMMON_NAME || ', "fresh"'
+    WHEN 2 THEN '"' || PACFIN_SPECIES_COMMON_NAME || '" \\, frozen' WHEN 3 THEN ''
+    ELSE PACFIN_SPECIES_COMMON_NAME END AS PACFIN_SPECIES_COMMON_NAME)
+FROM ({ORACLE["q_tickets_conform"].replace("(l_linenumber, ", "(", 1)})"""
+
+ORACLE["q_csv_malformed"] = f"""WITH {TICKETS},
+records AS (
+  SELECT CASE WHEN l_linenumber IN (6, 7) THEN 1 ELSE 0 END AS MALFORMED, LANDING_YEAR, l_linenumber, ROUND_WEIGHT_LBS FROM tickets)
+SELECT MALFORMED, CASE WHEN MALFORMED = 0 THEN LANDING_YEAR END AS LANDING_YEAR, count(*) AS N,
+       round(coalesce(sum(CASE WHEN l_linenumber < 5 THEN ROUND_WEIGHT_LBS END), 0), 4) AS LBS
+FROM records GROUP BY ALL"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

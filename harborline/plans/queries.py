@@ -33,7 +33,7 @@ from harborline.sources.sample_tables import (
     sample_trip_lines,
     table,
 )
-from harborline.sources.tickets import conform_text
+from harborline.sources.tickets import QUOTE, conform_text, parse_lines
 
 NOMINAL = "NOMINAL_TO_ACTUAL_PACFIN_SPECIES_NAME"
 COMMON = "PACFIN_SPECIES_COMMON_NAME"
@@ -162,17 +162,56 @@ RAW_FIELDS = {
 }
 
 
-def q_tickets_conform(spark, sf_dir):
-    """The lines as text under raw headers, through the cleaning that the CSV reader does."""
+def _raw_tickets(spark, sf_dir, fields: Mapping[str, str] = RAW_FIELDS) -> DataFrame:
+    """The lines as text under raw headers, with the line number beside them."""
     tickets = sample_tickets(spark, sf_dir, extra_lines=["l_linenumber"])
     names = [c for c in tickets.columns if c != "l_linenumber"]
-    raw = tickets.select(
+    return tickets.select(
+        "l_linenumber",
         *(
-            F.expr(RAW_FIELDS.get(c, f"cast({c} as string)")).alias(RAW_HEADERS.get(c, c))
+            F.expr(fields.get(c, f"cast({c} as string)")).alias(RAW_HEADERS.get(c, c))
             for c in names
-        )
+        ),
     )
-    return portable(conform_text(raw))
+
+
+def q_tickets_conform(spark, sf_dir):
+    """The lines as text under raw headers, through the cleaning that the CSV reader does."""
+    return portable(conform_text(_raw_tickets(spark, sf_dir).drop("l_linenumber")))
+
+
+# Fields with separators and quotes in them.
+QUOTED_FIELDS = RAW_FIELDS | {
+    "PACFIN_SPECIES_COMMON_NAME": """case l_linenumber when 1 then concat(PACFIN_SPECIES_COMMON_NAME, ', "fresh"')
+        when 2 then concat('"', PACFIN_SPECIES_COMMON_NAME, '" \\\\, frozen') when 3 then '' else PACFIN_SPECIES_COMMON_NAME end""",
+}
+
+
+def _csv_lines(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    """The lines as CSV records, and their header."""
+    raw = _raw_tickets(spark, sf_dir, QUOTED_FIELDS)
+    header = [c for c in raw.columns if c != "l_linenumber"]
+    record = F.to_csv(F.struct(*(F.col(f"`{c}`") for c in header)), {"escape": QUOTE})
+    return raw.select("l_linenumber", record.alias("value")), header
+
+
+def q_tickets_csv(spark, sf_dir):
+    """The lines as CSV records, through the reader's parse and cleaning; a record that does not fit would stop it."""
+    lines, header = _csv_lines(spark, sf_dir)
+    return portable(conform_text(parse_lines(lines, header)))
+
+
+def q_csv_malformed(spark, sf_dir):
+    """Records by year, among them some with a field too many and some with one too few, which have none."""
+    lines, header = _csv_lines(spark, sf_dir)
+    value = F.when(F.col("l_linenumber") == 6, F.concat("value", F.lit(',"one, more"')))
+    value = value.when(F.col("l_linenumber") == 7, F.regexp_replace("value", ",[^,]*$", "")).otherwise(F.col("value"))
+    parsed = parse_lines(lines.select(value.alias("value")), header, malformed="RECORD")
+    flagged = parsed.withColumn("MALFORMED", F.col("RECORD").isNotNull().cast("int").cast("string")).drop("RECORD")
+    names = {RAW_HEADERS["LANDING_YEAR"]: "LANDING_YEAR", RAW_HEADERS[LBS]: LBS}
+    kept = flagged.select("MALFORMED", *(F.col(f"`{raw}`").alias(name) for raw, name in names.items()))
+    clean = conform_text(kept).withColumn("MALFORMED", F.col("MALFORMED").cast("int"))
+    return counted(clean, "MALFORMED", "LANDING_YEAR")
 
 
 def _vessel_periods(spark, sf_dir, species=ONE_SPECIES):

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from harborline.sources.schema import TICKET_SCHEMA, conform, normalise_headers
 
 MISSING_TEXT = "NA"
+# A quote inside a quoted field is doubled.
+QUOTE = '"'
 
 
 def read_tickets(
@@ -40,6 +42,7 @@ def read_tickets(
         .option("enforceSchema", False)
         .option("ignoreLeadingWhiteSpace", strip)
         .option("ignoreTrailingWhiteSpace", strip)
+        .option("escape", QUOTE)
         .option("mode", "FAILFAST")
         .option("columnPruning", False)
         .csv(path)
@@ -47,6 +50,38 @@ def read_tickets(
     return conform_text(raw, columns, missing, date_format)
 
 
+def parse_lines(
+    lines: DataFrame,
+    header: Sequence[str],
+    column: str = "value",
+    strip: bool = True,
+    separator: str = ",",
+    malformed: str | None = None,
+) -> DataFrame:
+    """Text fields of CSV records that stand in a column, such as lines of a log or a queue, by the reader's rules.
+
+    ``header`` names the fields. A record with more or fewer of them stops the job; where ``malformed`` names a column, such
+    a record comes out there as it is, with all its fields missing, and the column is missing for all others.
+    """
+    names = [*header, *([malformed] if malformed else [])]
+    options = {
+        "sep": separator,
+        "escape": QUOTE,
+        "ignoreLeadingWhiteSpace": str(strip).lower(),
+        "ignoreTrailingWhiteSpace": str(strip).lower(),
+        "mode": "PERMISSIVE" if malformed else "FAILFAST",
+    }
+    if malformed:
+        options["columnNameOfCorruptRecord"] = malformed
+    record = F.from_csv(F.col(column), ", ".join(f"`{n}` string" for n in names), options).alias("record")
+    records = lines.select(record)
+    field = F.col("record").getField
+    if malformed is None:
+        return records.select(*(field(n).alias(n) for n in header))
+    whole = field(malformed)
+    return records.select(*(F.when(whole.isNull(), field(n)).alias(n) for n in header), whole.alias(malformed))
+
+
 def conform_text(
     raw: DataFrame,
     columns: Iterable[str] | None = None,

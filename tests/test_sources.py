@@ -6,8 +6,10 @@ import glob
 
 import pytest
 from pyspark.errors import NumberFormatException
+from pyspark.sql import functions as F
 
 from harborline.__main__ import run
+from harborline.operators import tables
 from harborline.sources.schema import conform
 from harborline.sources import schema, tickets
 from harborline.sources.results import as_text, write_result
@@ -167,3 +169,57 @@ def test_command_line(spark, tmp_path, monkeypatch):
     ]
     assert read_csv(out) == expected
     assert command._setting("area=N4010") == ("area", "N4010")
+
+
+HEADER = ["VESSEL_NUM", "LANDING_YEAR", "AGENCY_CODE"]
+
+
+def records(spark, *lines):
+    return spark.createDataFrame([(line,) for line in lines], "value string")
+
+
+def test_records_in_a_column(spark):
+    lines = records(spark, '"a, ""b""",2019,NA', r'"c\",2020,""', " d , 2021 , W ", ",,")
+    typed = tickets.conform_text(tickets.parse_lines(lines, HEADER)).select(*HEADER)
+    assert [tuple(r) for r in typed.collect()] == [('a, "b"', 2019, None), ("c\\", 2020, ""), ("d", 2021, "W"), ("", None, "")]
+
+
+@pytest.mark.parametrize("record", ["x,2022", "x,2022,O,more", "x"])
+def test_records_that_do_not_fit_stop_or_come_out(spark, record):
+    lines = records(spark, "a,2019,O", record)
+    for df in (tickets.parse_lines(lines, HEADER), tickets.parse_lines(lines, HEADER).select("VESSEL_NUM")):
+        with pytest.raises(Exception, match="MALFORMED"):
+            df.collect()
+    got = tickets.parse_lines(lines, HEADER, malformed="RECORD")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", "2019", "O", None), (None, None, None, record)], key=str)
+    assert got.select("VESSEL_NUM", "RECORD").where("RECORD is not null").collect()[0] == (None, record)
+    assert sorted(r[0] or "" for r in got.select("VESSEL_NUM").collect()) == ["", "a"]
+
+
+def test_quotes_in_files(spark, tmp_path):
+    path = write(tmp_path / "q.csv", 'VESSEL_NUM,PORT_NAME\na,"say ""hi"", now"\n"b\\",c\n')
+    got = [tuple(r) for r in tickets.read_tickets(spark, path).select("VESSEL_NUM", "PORT_NAME").collect()]
+    assert got == [("a", 'say "hi", now'), ("b\\", "c")]
+
+
+def test_appended_subsets(spark):
+    df = spark.createDataFrame([(1, "x"), (2, None), (3, "y"), (3, "y")], "n int, s string")
+    subsets = [
+        tables.Subset(F.col("n") > 1, {"n": "n", "twice": F.col("n") * 2}),
+        tables.Subset(F.col("s") == "y", {"s": "s", "n": "n"}),
+    ]
+    one = tables.append_subsets(df, subsets)
+    two = tables.append(*(df.where(x.test).select(*(tables._column(c).alias(n) for n, c in x.columns.items())) for x in subsets))
+    assert one.columns == two.columns == ["n", "twice", "s"]
+    rows = sorted(map(tuple, one.collect()), key=str)
+    assert rows == sorted(map(tuple, two.collect()), key=str) and len(rows) == 5
+    with pytest.raises(ValueError):
+        tables.append_subsets(df, [tables.Subset(F.lit(True), {"a": "n"}), tables.Subset(F.lit(True), {"a": "s"})])
+
+
+@pytest.mark.parametrize("name", ["q_union_fleets", "q_append_unlike"])
+def test_appends_scan_the_lines_once(spark, sf_small, name):
+    import __spark_entry__ as contract
+
+    plan = contract.queries()[name](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem") == 1 and "Union" not in plan
