@@ -18,12 +18,16 @@ BLOCK_PARTITIONS = 1024
 def _ranged(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each row as a struct in range partitions by the keys, missing ones last, equal keys in the order they came.
 
-    The place a row came from takes part in the ranges, so a key that a third of the rows share is
-    spread over many of them.
+    The partition a row came from takes part in the ranges, so a key that a third of the rows share is spread over many
+    of them. Its place in there does not, so that a task run again sends every row where it went before.
     """
-    rows = df.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("came"))
-    order = [F.col("row").getField(k).asc_nulls_last() for k in keys] + [F.col("came").asc()]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = df.select(
+        F.struct("*").alias("row"),
+        F.spark_partition_id().alias("from"),
+        F.monotonically_increasing_id().alias("came"),
+    )
+    order = [F.col("row").getField(k).asc_nulls_last() for k in keys] + [F.col("from").asc()]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order, F.col("came").asc())
 
 
 def in_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:

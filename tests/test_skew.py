@@ -2,6 +2,7 @@
 
 import datetime as dt
 import shutil
+from collections import Counter
 
 import __spark_entry__ as contract
 import compare
@@ -11,6 +12,9 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from plan_tree import plan_nodes
+from pyspark.sql.functions import spark_partition_id
+
+from harborline.operators.joins import right_join
 
 N = 60_000
 
@@ -100,3 +104,23 @@ def test_hot_groups_shrink_before_the_shuffle(spark, skewed, joins, name):
     df = contract.queries()[name](spark, skewed)
     df.collect()
     assert 0 < shuffled_records(df) < N / 6
+
+
+@pytest.mark.parametrize("joins", ["broadcast", "shuffle"], indirect=True)
+def test_missing_keys_are_dealt_over_buckets(spark, joins):
+    """A third of the rows lack one key, some of them both."""
+    rows = [(None if i % 3 == 0 else i % 50, None if i % 30 == 0 else f"s{i % 4}", i) for i in range(N)]
+    right = spark.createDataFrame(rows, "k int, s string, i int").repartition(9)
+    left = spark.createDataFrame(
+        [(k, s, f"{k}{s}") for k in [*range(40), None] for s in ("s0", "s1", None)], "k int, s string, x string"
+    )
+    names = {(r.k, r.s): r.x for r in left.collect()}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = right_join(left, right, ["k", "s"])
+        got = joined.withColumn("part", spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted((r.i, r.x) for r in got) == [(i, names.get((k, s))) for k, s, i in rows]
+    largest = max(Counter(r.part for r in got).values())
+    assert joins == "broadcast" or largest < N / 6
