@@ -21,6 +21,7 @@ OPEN_ACCESS_CODES = ("06", "08", "10")
 NEARSHORE_CODES = ("05", "06")
 NON_NEARSHORE_CODES = ("07", "08", "09", "10")
 GROUNDFISH_CODES = ("05", "06", "07", "08", "09", "10")
+FLEET_CODES = {"LE": LIMITED_ENTRY_CODES, "OA": OPEN_ACCESS_CODES}
 # Agencies and catch areas.
 NORTHERN_AGENCIES = ("O", "W")
 AREA_4010_TO_42 = "1C"
@@ -42,8 +43,14 @@ def label_of_code(code: ColumnOrName, labels: Mapping[str, Sequence[str]]) -> Co
     return lookup(_spellings(labels), F.trim(as_column(code).cast("string")))
 
 
-def has_code(code: ColumnOrName, *codes: str) -> Column:
-    """Whether a code is one of those listed, with or without its leading zero."""
+def has_code(code: ColumnOrName, *codes: str, normalised: bool = False) -> Column:
+    """Whether a code is one of those listed, with or without its leading zero.
+
+    A ``normalised`` column holds two digits and no blanks. It is compared as it is, so that the test reaches
+    its scan or database, where otherwise the trimming hides the column.
+    """
+    if normalised:
+        return as_column(code).isin(*codes)
     return F.trim(as_column(code).cast("string")).isin(*_spellings({"": codes}))
 
 
@@ -53,7 +60,7 @@ def period(month: ColumnOrName = "LANDING_MONTH") -> Column:
 
 
 def fleet(code: ColumnOrName = "DAHL_GROUNDFISH_CODE") -> Column:
-    return label_of_code(code, {"LE": LIMITED_ENTRY_CODES, "OA": OPEN_ACCESS_CODES})
+    return label_of_code(code, FLEET_CODES)
 
 
 def fleet_or_default(code: ColumnOrName = "DAHL_GROUNDFISH_CODE") -> Column:

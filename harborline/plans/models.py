@@ -19,13 +19,20 @@ from harborline.functions.units import sum_tons
 from harborline.operators import bycatch, estimate, groups, limits, scope, totals, trips
 from harborline.operators.limits import LimitSchedule
 from harborline.plans import parameters as P
+from harborline.sources.schema import SECTOR_CODE, codes_are_normalised
 
 SPECIES = "NOMINAL_TO_ACTUAL_PACFIN_SPECIES_NAME"
 Rules = Mapping[str, Mapping[str, tuple[str, float]]]
 
 
-def in_groundfish_sectors() -> Column:
-    return labels.has_code("DAHL_GROUNDFISH_CODE", *labels.GROUNDFISH_CODES)
+def in_sectors(tickets: DataFrame, codes: Sequence[str] = labels.GROUNDFISH_CODES) -> Column:
+    """Whether a ticket's sector is listed; on codes declared as normalised the test reaches the scan."""
+    return labels.has_code(SECTOR_CODE, *codes, normalised=codes_are_normalised(tickets))
+
+
+def in_fleets(tickets: DataFrame, fleets: Sequence[str]) -> Column:
+    """Whether a ticket's sector is of a listed fleet."""
+    return in_sectors(tickets, [c for name in fleets for c in labels.FLEET_CODES.get(name, ())])
 
 
 def grains_of(schedules: Sequence[LimitSchedule]) -> dict[str, str]:
@@ -62,7 +69,7 @@ def lingcod_vessel_totals(
         (F.col("MANAGEMENT_GROUP_CODE") == "GRND")
         & F.col(species_column).isin(*species)
         & F.col("LANDING_YEAR").isin(prior_year, prior_year + 1)
-        & in_groundfish_sectors()
+        & in_sectors(tickets)
     )
     grains = grains_of(schedules)
     labelled = (
@@ -161,8 +168,10 @@ def pop_model(
     """One area and year, the last month completed; a fleet without limits drops out."""
     current = tickets.filter(F.col("LANDING_YEAR") == year)
     partial = under_way(current, year, partial_month, day_source)
+    # Landings of a fleet without limits find none below; they go here, before any sum.
+    limited = in_fleets(tickets, [s.label for s in schedules])
     labelled = (
-        strict_labels(current.filter(F.col(species_column).isin(*species)))
+        strict_labels(current.filter(F.col(species_column).isin(*species) & limited))
         .withColumn("SPPGROUP", labels.species_group(species_column, species, group))
         .filter(F.col("AREA") == area)
     )
@@ -233,7 +242,7 @@ def shelf_model(
         & F.col(species_column).isin(*species)
         & (F.col("PARTICIPATION_GROUP_CODE") == "C")
         & (F.col("COUNCIL_CODE") == "P")
-        & in_groundfish_sectors()
+        & in_sectors(tickets)
     )
     if last_month is not None:
         scoped = scoped.filter(scope.rolling_year(last - 1, last_month))

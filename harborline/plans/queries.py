@@ -97,9 +97,9 @@ GAPS = {
 
 
 def tickets_with_gaps(
-    spark: SparkSession, sf_dir: str, columns: Sequence[str], years=None
+    spark: SparkSession, sf_dir: str, columns: Sequence[str], years=None, codes=None
 ) -> DataFrame:
-    return sample_tickets(spark, sf_dir, columns, years, overrides=GAPS)
+    return sample_tickets(spark, sf_dir, columns, years, overrides=GAPS, codes=codes)
 
 
 def portable(df: DataFrame) -> DataFrame:
@@ -314,11 +314,12 @@ def q_species_overlap(spark, sf_dir):
 
 
 def q_filter_in(spark, sf_dir):
-    tickets = tickets_with_gaps(spark, sf_dir, [COMMON, CODE, "MANAGEMENT_GROUP_CODE", LBS])
+    columns = [COMMON, CODE, "MANAGEMENT_GROUP_CODE", LBS]
+    tickets = tickets_with_gaps(spark, sf_dir, columns, codes=labels.GROUNDFISH_CODES)
     kept = tickets.filter(
         (F.col("MANAGEMENT_GROUP_CODE") == "GRND")
         & F.col(COMMON).isin(*SHELF_NAMES)
-        & models.in_groundfish_sectors()
+        & models.in_sectors(tickets)
     )
     return counted(kept, COMMON)
 
@@ -718,7 +719,9 @@ POP_COLUMNS = [*TICKET_DATES, "VESSEL_NUM", AGENCY, CATCH_AREA, CODE, NOMINAL, L
 
 
 def q_model_pop(spark, sf_dir):
-    tickets = sample_tickets(spark, sf_dir, POP_COLUMNS, (YEAR, YEAR))
+    tickets = sample_tickets(
+        spark, sf_dir, POP_COLUMNS, (YEAR, YEAR), codes=labels.LIMITED_ENTRY_CODES
+    )
     dates = sample_tickets(spark, sf_dir, TICKET_DATES, (YEAR, YEAR))
     return rounded(
         models.pop_model(

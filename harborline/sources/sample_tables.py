@@ -32,6 +32,9 @@ SAMPLE_SCHEMAS = {
 
 DAY = "cast(l_shipdate as date)"
 
+# The sector code that stands for each pair of flags.
+CODE_OF_FLAGS = {"AF": "05", "AO": "06", "NF": "07", "NO": "08", "RF": "09", "RO": "10"}
+
 FROM_LINES = {
     "FISH_TICKET_ID": "cast(l_orderkey as string)",
     "LANDING_YEAR": f"year({DAY})",
@@ -40,9 +43,9 @@ FROM_LINES = {
     "LANDING_DATE": DAY,
     "VESSEL_NUM": "cast(l_suppkey as string)",
     "VESSEL_REGISTRATION_ID": "concat('R', l_suppkey)",
-    "DAHL_GROUNDFISH_CODE": """element_at(
-        map('AF', '05', 'AO', '06', 'NF', '07', 'NO', '08', 'RF', '09', 'RO', '10'),
-        concat(l_returnflag, l_linestatus))""",
+    "DAHL_GROUNDFISH_CODE": "element_at(map({}), concat(l_returnflag, l_linestatus))".format(
+        ", ".join(f"'{x}'" for pair in CODE_OF_FLAGS.items() for x in pair)
+    ),
     "CATCH_AREA_CODE": "case l_linenumber when 6 then '61' when 7 then '60A2' else '59A1' end",
     "PARTICIPATION_GROUP_CODE": "case when l_linenumber = 7 then 'A' else 'C' end",
     "COUNCIL_CODE": "case when l_linenumber = 6 then 'N' else 'P' end",
@@ -89,9 +92,11 @@ def sample_tickets(
     years: tuple[int, int] | None = None,
     extra_lines: Iterable[str] = (),
     overrides: Mapping[str, str] | None = None,
+    codes: Iterable[str] | None = None,
 ) -> DataFrame:
     """Tickets with the requested columns; ``extra_lines`` passes line-item columns on and
-    ``overrides`` replaces the expression of a column."""
+    ``overrides`` replaces the expression of a column. ``codes`` are the sector codes that can count, put as a test on
+    the flags that they come from, which reaches the scan; a model's own filter follows."""
     wanted = list(columns) if columns is not None else VIEW_COLUMNS
     ordered = [f.name for f in TICKET_SCHEMA if f.name in wanted]
     changed = overrides or {}
@@ -105,6 +110,9 @@ def sample_tickets(
     extra = list(extra_lines)
     keys = ["l_partkey"] * bool(of_part) + ["l_suppkey"] * bool(of_vessel)
     lines = _dated(table(spark, sf_dir, "lineitem"), "l_shipdate", years)
+    if codes is not None:
+        flags = [pair for pair, code in CODE_OF_FLAGS.items() if code in set(codes)]
+        lines = lines.filter(" or ".join(f"(l_returnflag = '{a}' and l_linestatus = '{b}')" for a, b in flags))
     tickets = lines.selectExpr(*named(FROM_LINES), *dict.fromkeys(keys + extra))
     # Parts first: a species filter thins the lines before they meet the vessels.
     if of_part:

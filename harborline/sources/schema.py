@@ -84,9 +84,24 @@ def exact_money(value: Column, present: T.DataType) -> Column:
     return F.when(exact == money, money).when(exact.isNotNull(), F.raise_error(lost).cast(MONEY))
 
 
-def _typed(field: T.StructField, present: T.DataType) -> Column:
+SECTOR_CODE = "DAHL_GROUNDFISH_CODE"
+NORMALISED = {"normalised": True}
+
+
+def declare_normalised(df: DataFrame) -> DataFrame:
+    """Marks the sector codes of a frame as two digits without blanks, as ``conform`` makes them."""
+    return df.withMetadata(SECTOR_CODE, NORMALISED)
+
+
+def codes_are_normalised(df: DataFrame) -> bool:
+    return bool(df.schema[SECTOR_CODE].metadata.get("normalised"))
+
+
+def _typed(field: T.StructField, present: T.DataType, normalised: bool) -> Column:
     value = F.col(field.name)
-    if field.name == "DAHL_GROUNDFISH_CODE":
+    if field.name == SECTOR_CODE:
+        if normalised and present == field.dataType:
+            return value.alias(field.name, metadata=NORMALISED)
         return sector_code(value).alias(field.name)
     if present == field.dataType:
         return value
@@ -95,9 +110,15 @@ def _typed(field: T.StructField, present: T.DataType) -> Column:
     return value.cast(field.dataType).alias(field.name)
 
 
-def conform(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+def conform(
+    df: DataFrame, columns: Iterable[str] | None = None, normalised: bool = False
+) -> DataFrame:
     """Ticket columns of any source, by name, with declared types.
 
+    ``normalised`` declares that sector codes stored as text are two digits without blanks, such as those of tickets
+    that went through here before they were stored. They are then left alone and marked, so that
+    the models' filters on them reach the scan.
+
     Columns the schema does not know are kept as they are unless ``columns`` names the
     ones wanted. Under ANSI mode text that is no number stops the job instead of turning
     into null.
@@ -110,4 +131,6 @@ def conform(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
         require_columns(df, wanted)
         known = [f for f in known if f.name in wanted]
         other = [c for c in other if c in wanted]
-    return df.select(*(_typed(f, df.schema[f.name].dataType) for f in known), *other)
+    return df.select(
+        *(_typed(f, df.schema[f.name].dataType, normalised) for f in known), *other
+    )

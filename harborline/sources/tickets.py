@@ -24,6 +24,7 @@ def read_tickets(
     strip: bool = True,
     separator: str = ",",
     date_format: str | None = None,
+    normalised: bool = False,
 ) -> DataFrame:
     """Typed tickets from CSV with a header, or from a columnar format.
 
@@ -32,10 +33,11 @@ def read_tickets(
     value; a blank is missing in a number or date column and an empty string elsewhere.
     ``date_format`` is the pattern of the dates unless they are ISO dates. A record with
     more or fewer fields than the header stops the job with the name of its file; for
-    that every field is parsed. Files stay splittable.
+    that every field is parsed. Files stay splittable. ``normalised`` says so of the sector codes
+    of a columnar format; see ``conform``.
     """
     if format != "csv":
-        return conform(spark.read.format(format).load(path), columns)
+        return conform(spark.read.format(format).load(path), columns, normalised)
     raw = (
         spark.read.option("header", True)
         .option("sep", separator)
@@ -123,6 +125,7 @@ def read_tickets_jdbc(
     predicates: Sequence[str],
     properties: Mapping[str, str] | None = None,
     columns: Iterable[str] | None = None,
+    normalised: bool = False,
 ) -> DataFrame:
     """Lazy database table read in parallel, one partition per predicate.
 
@@ -134,4 +137,4 @@ def read_tickets_jdbc(
     table_df = spark.read.jdbc(
         url, table, predicates=list(predicates), properties=dict(properties or {})
     )
-    return conform(table_df, columns)
+    return conform(table_df, columns, normalised)
