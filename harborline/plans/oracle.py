@@ -821,6 +821,14 @@ SELECT MALFORMED, CASE WHEN MALFORMED = 0 THEN LANDING_YEAR END AS LANDING_YEAR,
        round(coalesce(sum(CASE WHEN l_linenumber < 5 THEN ROUND_WEIGHT_LBS END), 0), 4) AS LBS
 FROM records GROUP BY ALL"""
 
+for _name in ("month_profile", "month_gross", "month_average", "year_breakdown", "year_to_date", "model_ratio"):
+    ORACLE[f"q_stored_{_name}"] = ORACLE[f"q_{_name}"]
+
+ORACLE["q_completed_rows"] = f"""WITH {GAPPED},
+whole AS (SELECT *, ROUND_WEIGHT_LBS * {FACTOR.format(source="gapped")} AS lbs FROM gapped)
+SELECT VESSEL_NUM, {NOMINAL}, LANDING_YEAR, count(*) AS N, round(sum(lbs), 4) AS LBS
+FROM whole WHERE lbs < {SMALL_BELOW} GROUP BY ALL"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -6,6 +6,7 @@ compare across engines.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from harborline.functions import labels, respond
 from harborline.functions.labels import GroupRule
-from harborline.functions.semantics import complete_cases, fill_missing, sum_known
+from harborline.functions.semantics import complete_cases, exact_sum_known, fill_missing, sum_known
 from harborline.functions.units import sum_tons
 from harborline.operators import bycatch, estimate, groups, joins, limits, scope, totals, trips
 from harborline.operators.limits import LimitSchedule
@@ -33,6 +34,7 @@ from harborline.sources.sample_tables import (
     sample_trip_lines,
     table,
 )
+from harborline.sources.stored import buckets_for, store_by_ticket, stored
 from harborline.sources.tickets import QUOTE, conform_text, parse_lines
 
 NOMINAL = "NOMINAL_TO_ACTUAL_PACFIN_SPECIES_NAME"
@@ -569,6 +571,20 @@ def q_partial_month(spark, sf_dir):
     return rounded(months)
 
 
+def q_completed_rows(spark, sf_dir):
+    """Every ticket line by vessel and species, those of the month under way brought to the whole month."""
+    columns = [*TICKET_DATES, "VESSEL_NUM", NOMINAL, LBS]
+    tickets = tickets_with_gaps(spark, sf_dir, columns)
+    partial = estimate.partial_month(tickets, YEAR, MONTH)
+    whole = estimate.complete_partial_month(tickets, partial)
+    small = whole.filter(F.col(LBS) < SMALL_BELOW)
+    return rounded(
+        small.groupBy("VESSEL_NUM", NOMINAL, "LANDING_YEAR").agg(
+            F.count("*").alias("N"), exact_sum_known(LBS).alias("LBS")
+        )
+    )
+
+
 def _responded(spark, sf_dir, rule: str, scenario: str):
     wide = limits.limits_side_by_side(spark, SAMPLE_LIMITS)
     attached = limits.attach_limits(_vessel_periods(spark, sf_dir), wide)
@@ -597,28 +613,55 @@ def q_respond_cap(spark, sf_dir):
 # --- trips -------------------------------------------------------------------------------
 
 
-def sample_trips(spark: SparkSession, sf_dir: str, years=None, fishery: bool = True) -> DataFrame:
-    """Trips with the two species side by side.
+def trips_of(lines: DataFrame, headers: DataFrame, fishery: bool = True) -> DataFrame:
+    """Trips with the two species side by side, from lines (by l_orderkey) and headers (by o_orderkey).
 
-    Lines are summed per ticket first. That shuffle is by ticket, as is the join with the
-    headers, which reuses it; and however many lines one ticket has, at most one row per
-    map task goes into the shuffle.
+    Lines are summed per ticket first. That sum is by ticket, as is the join with the headers: at most one
+    shuffle by ticket serves both, in which a ticket of however many lines is one row per map task, and
+    none at all for tables that are stored by ticket.
     """
-    lines = sample_trip_lines(spark, sf_dir).filter(
+    kept = lines.filter(
         scope.outside_areas_for(
             NOMINAL, "CATCH_AREA_CODE", TRIP_SPECIES["PACIFIC_HALIBUT"], P.HALIBUT_EXCLUDED_AREAS
         )
     )
     per_ticket = trips.species_side_by_side(
-        lines, TRIP_SPECIES, keys=["l_orderkey"], species_column=NOMINAL
+        kept, TRIP_SPECIES, keys=["l_orderkey"], species_column=NOMINAL
     )
-    headers = sample_trip_headers(spark, sf_dir, years)
     if fishery:
         headers = headers.filter(models.in_trip_fishery())
     joined = per_ticket.join(headers, F.col("l_orderkey") == F.col("o_orderkey"))
     return trips.roll_up(joined, list(TRIP_SPECIES))
 
 
+def sample_trips(spark: SparkSession, sf_dir: str, years=None, fishery: bool = True) -> DataFrame:
+    """Trips from lines and headers as they come."""
+    return trips_of(sample_trip_lines(spark, sf_dir), sample_trip_headers(spark, sf_dir, years), fishery)
+
+
+def stored_trip_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines and headers stored by ticket: written when a session first asks for them, read from then on."""
+    names = [f"trip_{part}_{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}" for part in ("lines", "headers")]
+    lines, headers = (stored(spark, name) for name in names)
+    if lines is None or headers is None:
+        rows = table(spark, sf_dir, "lineitem").count()
+        buckets = buckets_for(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        lines = store_by_ticket(
+            sample_trip_lines(spark, sf_dir), names[0], "l_orderkey", buckets,
+            {LANDED: F.sum(LANDED)}, ["CATCH_AREA_CODE", NOMINAL],
+        )
+        headers = store_by_ticket(sample_trip_headers(spark, sf_dir), names[1], "o_orderkey", buckets)
+    return lines, headers
+
+
+def stored_trips(spark: SparkSession, sf_dir: str, years=None, fishery: bool = True) -> DataFrame:
+    """Trips from tables stored by ticket: no line moves."""
+    lines, headers = stored_trip_tables(spark, sf_dir)
+    if years is not None:
+        headers = headers.filter(F.col("LANDING_YEAR").between(*years))
+    return trips_of(lines, headers, fishery)
+
+
 def q_trip_pivot(spark, sf_dir):
     wide = sample_trips(spark, sf_dir, fishery=False)
     net = trips.net_weight("PACIFIC_HALIBUT").alias("PACIFIC_HALIBUT_NET")
@@ -644,34 +687,34 @@ def q_ratio_limit(spark, sf_dir):
     )
 
 
-def _net_halibut(spark, sf_dir, keys, years=None, divisor=1.0):
-    season = sample_trips(spark, sf_dir, years).filter(trips.in_months(4, 10))
+def _net_halibut(spark, sf_dir, keys, years=None, divisor=1.0, source=sample_trips):
+    season = source(spark, sf_dir, years).filter(trips.in_months(4, 10))
     return rounded(trips.net_pounds(season, "PACIFIC_HALIBUT", keys, divisor))
 
 
-def q_month_profile(spark, sf_dir):
-    return _net_halibut(spark, sf_dir, ["LANDING_YEAR", "LANDING_MONTH"])
+def q_month_profile(spark, sf_dir, source=sample_trips):
+    return _net_halibut(spark, sf_dir, ["LANDING_YEAR", "LANDING_MONTH"], source=source)
 
 
-def q_month_gross(spark, sf_dir):
+def q_month_gross(spark, sf_dir, source=sample_trips):
     """Gross pounds of both species by month of the current year."""
-    season = sample_trips(spark, sf_dir, (YEAR, YEAR)).filter(trips.in_months(4, 10))
+    season = source(spark, sf_dir, (YEAR, YEAR)).filter(trips.in_months(4, 10))
     return rounded(trips.gross_pounds(season, list(TRIP_SPECIES), ["LANDING_MONTH"]))
 
 
-def q_month_average(spark, sf_dir):
+def q_month_average(spark, sf_dir, source=sample_trips):
     """Average month of four complete years."""
-    return _net_halibut(spark, sf_dir, ["LANDING_MONTH"], (1996, 1999), 4)
+    return _net_halibut(spark, sf_dir, ["LANDING_MONTH"], (1996, 1999), 4, source)
 
 
-def q_year_breakdown(spark, sf_dir):
-    return _net_halibut(spark, sf_dir, ["LANDING_YEAR"], (1996, 1999))
+def q_year_breakdown(spark, sf_dir, source=sample_trips):
+    return _net_halibut(spark, sf_dir, ["LANDING_YEAR"], (1996, 1999), source=source)
 
 
-def q_year_to_date(spark, sf_dir):
+def q_year_to_date(spark, sf_dir, source=sample_trips):
     """Landings through August, and those of the months that remained a year before, added
     by year."""
-    season = sample_trips(spark, sf_dir).filter(trips.in_months(4, 10))
+    season = source(spark, sf_dir).filter(trips.in_months(4, 10))
     early = F.col("LANDING_MONTH") <= 8
     year = F.when(early, F.col("LANDING_YEAR")).otherwise(F.col("LANDING_YEAR") + 1)
     halibut = F.col("PACIFIC_HALIBUT")
@@ -860,12 +903,25 @@ def q_model_zones_monthly_limits(spark, sf_dir):
     )
 
 
-def q_model_ratio(spark, sf_dir):
-    season = sample_trips(spark, sf_dir, (PRIOR, YEAR)).filter(trips.in_months(4, 10))
+def q_model_ratio(spark, sf_dir, source=sample_trips):
+    season = source(spark, sf_dir, (PRIOR, YEAR)).filter(trips.in_months(4, 10))
     # The sample orders end in July, so the months through June count as landed.
     return rounded(models.ratio_model(season, PRIOR, YEAR, last_actual_month=6))
 
 
+def _from_stored(query):
+    """The same query over lines and headers that are stored by ticket."""
+    return lambda spark, sf_dir: query(spark, sf_dir, source=stored_trips)
+
+
+q_stored_month_profile = _from_stored(q_month_profile)
+q_stored_month_gross = _from_stored(q_month_gross)
+q_stored_month_average = _from_stored(q_month_average)
+q_stored_year_breakdown = _from_stored(q_year_breakdown)
+q_stored_year_to_date = _from_stored(q_year_to_date)
+q_stored_model_ratio = _from_stored(q_model_ratio)
+
+
 def q_model_incidental(spark, sf_dir):
     """The trip model over flat tickets: header and line columns filter at the scan."""
     columns = [
