@@ -1,13 +1,16 @@
 """Secret scan: patterns, layers, positions and edge cases."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import urllib.parse
 import zlib
 
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -120,3 +123,81 @@ def test_query_on_the_table(spark, sf_small):
         digest = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
         assert r.base_sha256 == hashlib.sha256(digest.encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(w[0] == k for w in want) for k in s.KINDS)
+
+
+KEY = "AKIA" + "ABCDEFGH01234567"
+
+
+def kinds(text):
+    return {k for k, _, _ in s.all_spans(text)}
+
+
+@pytest.mark.parametrize("plain", [f"x {KEY} and more", "x^2 token=abcdefgh and", "x} token=abcdefgh", "BZh token=abcdefgh 1", "BZh91AY token=abcdefgh"])
+def test_layers_that_only_look_packed(plain):
+    text = "see " + enc64(plain)
+    (span,) = s.all_spans(text)
+    inner = s.base_spans(plain)[0]
+    assert span[0] == inner[0] and span[1] == 4 + inner[1] * 8 // 6
+    assert s.all_spans(enc64(gzip.compress(plain.encode())))
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, lambda x: zstandard.ZstdCompressor().compress(x)])
+def test_every_member_and_what_follows(pack):
+    three = pack(b"nothing") + pack(f"{KEY} second".encode()) + b" token=abcdefgh tail"
+    assert kinds(enc64(three)) == {"access", "assign"}
+    assert kinds(enc64(pack(pack(b"one ") + pack(KEY.encode() + b" ")))) == {"access"}
+
+
+def test_packed_data_that_break_off():
+    whole = gzip.compress(("w " * 400 + KEY + " " + " ".join(map(str, range(3000)))).encode())
+    assert kinds(enc64(whole[: len(whole) // 2])) == {"access"}
+
+
+def test_bytes_that_are_no_utf8():
+    raw = "é token=abcdefgh12 ü".encode("latin-1")
+    text = "w " + enc64(raw)
+    (span,) = s.all_spans(text)
+    assert span == ("assign", 2 + 2 * 8 // 6, 2 + (2 + len("token=abcdefgh12") - 1) * 8 // 6 + 2)
+    assert kinds("%E9" + "".join(f"%{b:02x}" for b in b" token=abcdefgh12")) == {"assign"}
+    assert kinds(enc64(gzip.compress(raw))) == {"assign"}
+
+
+def test_packed_data_as_escapes():
+    for packed in (gzip.compress(KEY.encode()), zlib.compress(KEY.encode()), bz2.compress(KEY.encode()), lzma.compress(KEY.encode()),
+                   zstandard.ZstdCompressor().compress(KEY.encode())):
+        for run in ("".join(f"%{b:02x}" for b in packed), urllib.parse.quote(packed), "".join(f"\\x{b:02x}" for b in packed), repr(packed)[2:-1]):
+            text = f"data={run};"
+            spans = [x for x in s.all_spans(text) if x[0] == "access"]
+            assert spans and all(x[1] >= 5 and x[2] <= 5 + len(run) for x in spans), run[:20]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("width", [64, 76, 61])
+def test_base64_over_lines(end, width):
+    plain = "w " * 40 + f"token=abcdefghijkl {KEY}" + " v" * 90
+    coded = enc64(plain)
+    text = "begin\n" + end.join(coded[i : i + width] for i in range(0, len(coded), width)) + "\nend ."
+    found = s.all_spans(text)
+    for kind, start, stop in s.base_spans(plain):
+        def at(i):
+            return 6 + i + i // width * len(end)
+        assert (kind, at(start * 8 // 6), at(((stop - 1) * 8 + 7) // 6) + 1) in found
+
+
+def test_runs_across_windows(monkeypatch):
+    monkeypatch.setattr(s, "WINDOW", 4000)
+    monkeypatch.setattr(s, "CHUNK", 700)
+    inner = enc64("p " * 9000 + KEY)
+    for plain in (
+        "a " * 5000 + inner + " b" * 5000, "x" * 30_000 + " " + inner, ("line\n" * 900 + "password  =  abcdefgh1 \n") * 3,
+        "\n".join(inner[i : i + 64] for i in range(0, len(inner), 64)),
+    ):
+        packed = enc64(gzip.compress(plain.encode()))
+        assert kinds(packed) == kinds(plain) != set()
+        twice = enc64(bz2.compress(gzip.compress(plain.encode())))
+        assert kinds(twice) == kinds(plain)
+
+
+def test_data_that_unpack_without_end_stay_small():
+    bomb = zlib.compress(b"a b\n" * (8 << 20) + KEY.encode())
+    assert len(bomb) < 200_000 and kinds(enc64(bomb)) == {"access"}
