@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harborline.session import cut_lineage, new_folder
+
+__all__ = ["BitSieve", "Sent", "cut_lineage", "offsets", "pieces", "stage_folder", "subset", "table", "text_or_empty", "unused"]
+
 #: Text bytes that numpy works on at a time; a longer text is a piece of its own.
 PIECE_BYTES = 1 << 19
 
@@ -20,23 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir, set up for checkpoints; a temporary one only where it names none, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads on from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stage_folder(spark: SparkSession) -> str:
     """A new folder, under the shared one, for tables that stages hand on."""
-    return f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
+    return new_folder(spark, "stages")
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text", size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -70,6 +58,14 @@ def subset(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[name] for name in names])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or the shortest longer one, that no column of df has in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Sent:
     """A broadcast that carries its classes along, so that tasks need not import this package."""
 
@@ -80,6 +76,10 @@ class Sent:
     def __getstate__(self) -> dict:
         return {"held": self.held, "_value": None}
 
+    def drop(self) -> None:
+        """Frees it everywhere; nothing may read it any more."""
+        self.held.destroy()
+
     @property
     def value(self):
         if self._value is None:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.common import Sent, pieces, subset
+from harborline.llm.common import Sent, cut_lineage, pieces, subset
 from harborline.llm.words import hash_runs, hash_words, mix, split_words, whole_runs
 
 SHINGLE_WORDS = 5
@@ -23,7 +25,7 @@ _BITS = 20
 
 
 def shingles(text: str, size: int) -> set[bytes]:
-    """The different runs of `size` words, A-Z lowered, joined by one blank."""
+    """The different runs of `size` words, A-Z lowered, joined by one blank; none if there are fewer words."""
     words = text.encode().lower().split()
     return {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}
 
@@ -91,6 +93,23 @@ class Sketches:
         return found
 
 
+class Index:
+    """Sketches of a block of items: those of `size` words or more, and shorter ones by their number of words,
+    whose whole word sequence is their one shingle."""
+
+    def __init__(self, items: list[tuple[int | None, str | None]], size: int, containment: float):
+        by_size: dict[int, list] = {}
+        for item, text in items:
+            words = len((text or "").encode().split())
+            if words:
+                by_size.setdefault(min(words, size), []).append((item, text))
+        self.parts = [Sketches(by_size[n], n, containment) for n in sorted(by_size)]
+
+    def matches(self, column: pa.Array) -> list[tuple[int, int | None, int, int]]:
+        """(row, item's key, shared shingles, item's shingles) for each text and item it contains."""
+        return [(row, part.ids[item], n, part.counts[item]) for part in self.parts for row, item, n in part.matches(column)]
+
+
 def runs_of(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of `size` words in each text, and the texts' indices."""
     words = split_words(column)
@@ -99,7 +118,7 @@ def runs_of(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def item_blocks(items: DataFrame, block_bytes: int, key: str, text: str) -> Iterator[list[tuple]]:
-    """The items, in as many blocks as keep each near block_bytes; only one is on the driver at a time."""
+    """The items, in as many blocks as keep each near block_bytes, one after the other."""
     rows = subset(items, key, text).select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = 1 + int(total) // block_bytes
@@ -125,36 +144,51 @@ def find_contained(
     any shuffle, so neither a hot source nor an item in a third of the documents gathers anywhere; texts
     are handled a piece at a time, the longest in one.
 
-    Items with fewer words than `size` have no shingle and are never found; neither is anything in a null or
-    empty text. Null and repeated keys come out as they are; repeated items (equal key and text) count
-    once. Empty tables give no rows. Other columns play no part.
+    An item with fewer words than `size` has its whole word sequence as its one shingle, which is looked for among the
+    document's runs of that length; one without words is never found, and neither is anything in a null or empty
+    text. Null and repeated keys come out as they are; repeated items (equal key and text) count once. Empty
+    tables give no rows. Other columns play no part.
+
+    With one block the result is lazy. With more, each block's is written to the checkpoint folder and its broadcast freed before
+    the next is made, so that one block at a time is on the driver and the executors.
     """
     schema = "doc long, item long, shared int, of int"
     rows = subset(docs, key, text).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    found: DataFrame | None = None
-    for block in item_blocks(items, block_bytes, item_key, text):
-        held = Sent(docs.sparkSession, Sketches(block, size, containment))
 
-        def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = held.value
+    def part(held: Sent) -> DataFrame:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for piece in pieces(batch):
-                    hits = index.matches(piece.column(1))
+                    hits = held.value.matches(piece.column(1))
                     if hits:
                         keys = piece.column(0).take(pa.array([h[0] for h in hits]))
                         columns = [
-                            keys, pa.array([index.ids[h[1]] for h in hits], pa.int64()),
-                            pa.array([h[2] for h in hits], pa.int32()), pa.array([index.counts[h[1]] for h in hits], pa.int32()),
+                            keys, pa.array([h[1] for h in hits], pa.int64()),
+                            pa.array([h[2] for h in hits], pa.int32()), pa.array([h[3] for h in hits], pa.int32()),
                         ]
                         yield pa.RecordBatch.from_arrays(columns, ["doc", "item", "shared", "of"])
 
-        part = rows.mapInArrow(search, schema)
-        found = part if found is None else found.unionByName(part)
+        return rows.mapInArrow(search, schema)
+
+    found = reduce(DataFrame.unionByName, _by_block(docs, items, size, containment, block_bytes, item_key, text, part))
     return found.select(
         F.col("doc").alias(key), F.col("item").alias(item_key), "shared", "of", (F.col("shared") / F.col("of")).alias("containment")
     )
 
 
+def _by_block(docs, items, size, containment, block_bytes, item_key, text, work: Callable[[Sent], DataFrame]) -> Iterator[DataFrame]:
+    """What `work` makes of each block's index; of more than one block, each written before the next is made."""
+    blocks = item_blocks(items, block_bytes, item_key, text)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        yield work(Sent(docs.sparkSession, Index(block, size, containment)))
+        return
+    for block in itertools.chain([block, following], blocks):
+        held = Sent(docs.sparkSession, Index(block, size, containment))
+        yield cut_lineage(work(held))
+        held.drop()
+
+
 def drop_contaminated(
     docs: DataFrame,
     items: DataFrame,
@@ -164,17 +198,26 @@ def drop_contaminated(
     item_key: str = "item_id",
     text: str = "text",
 ) -> DataFrame:
-    """The documents that contain no item, with all their columns; rows stay in their tasks."""
-    for block in item_blocks(items, block_bytes, item_key, text):
-        held = Sent(docs.sparkSession, Sketches(block, size, containment))
+    """The documents that contain no item, with all their columns; rows stay in their tasks.
 
-        def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+    Null and empty texts contain nothing and stay; repeated rows share their fate; null keys don't matter. Other columns come
+    through whatever their names; an empty table stays empty. Of more than one block of items, each writes what it leaves
+    to the checkpoint folder before the next is searched for.
+    """
+    schema = docs.schema
+
+    def part(held: Sent) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = batch.schema.get_field_index(text)
                 for piece in pieces(batch, text):
                     clean = np.ones(piece.num_rows, bool)
-                    clean[[row for row, _, _ in held.value.matches(piece.column(at))]] = False
+                    clean[[hit[0] for hit in held.value.matches(piece.column(at))]] = False
                     yield piece.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+        return left.mapInArrow(keep, schema)
+
+    left = docs
+    for left in _by_block(docs, items, size, containment, block_bytes, item_key, text, part):
+        pass
+    return left

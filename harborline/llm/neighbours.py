@@ -160,8 +160,8 @@ def nearest(
     """
     schema = "query_id long, rank int, vec_id long, score double"
     session = rows.sparkSession
-    kept = rows.withColumn("__asks", queries).select(
-        F.col(key).cast("long").alias("id"), F.coalesce("__asks", F.lit(False)).alias("asks"), F.col(vector).alias("v")
+    kept = rows.select(
+        F.col(key).cast("long").alias("id"), F.coalesce(queries, F.lit(False)).alias("asks"), F.col(vector).alias("v")
     )
     # float components go as float; the cosines are taken in double.
     kind = "array<float>" if rows.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"

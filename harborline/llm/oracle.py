@@ -51,18 +51,18 @@ _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstu
 
 
 def op10_sql() -> str:
-    def grams(table: str, key: str) -> str:
-        return f"""
-  SELECT DISTINCT {key}, text, unnest(list_transform(range(1, len(w) - {d.SHINGLE_WORDS} + 2),
-         lambda i: array_to_string(w[i:i + {d.SHINGLE_WORDS - 1}], ' '))) AS gram
-  FROM (SELECT {key}, text, {_WORDS.format(_LOWERED)} AS w FROM {table} WHERE text IS NOT NULL)"""
-
+    words = f"SELECT {{}}, text, {_WORDS.format(_LOWERED)} AS w FROM {{}} WHERE text IS NOT NULL"
+    gram = "unnest(list_transform(range(1, len(w) - g + 2), lambda i: array_to_string(w[i:i + g - 1], ' '))) AS gram"
     return f"""
-WITH docs AS ({grams("documents", "doc_id")}),
-items AS ({grams("(SELECT DISTINCT * FROM benchmark)", "item_id")}),
+WITH item_words AS (
+  SELECT *, least(len(w), {d.SHINGLE_WORDS}) AS g FROM ({words.format("item_id", "(SELECT DISTINCT * FROM benchmark)")}) WHERE len(w) > 0),
+items AS (SELECT DISTINCT item_id, text, g, {gram} FROM item_words),
+docs AS (
+  SELECT DISTINCT doc_id, text, g, {gram}
+  FROM ({words.format("doc_id", "documents")}) JOIN (SELECT DISTINCT g FROM items) ON len(w) >= g),
 sizes AS (SELECT item_id, text, count(*) AS n FROM items GROUP BY ALL),
 shared AS (
-  SELECT d.doc_id, i.item_id, i.text, count(*) AS n FROM docs d JOIN items i USING (gram) GROUP BY d.doc_id, d.text, i.item_id, i.text)
+  SELECT d.doc_id, i.item_id, i.text, count(*) AS n FROM docs d JOIN items i USING (g, gram) GROUP BY d.doc_id, d.text, i.item_id, i.text)
 SELECT doc_id, item_id, shared.n::INTEGER AS shared, sizes.n::INTEGER AS of, shared.n / sizes.n AS containment
 FROM shared JOIN sizes USING (item_id, text)
 WHERE shared.n >= greatest(1, ceil({d.CONTAINMENT}::DOUBLE * sizes.n - 1e-9))"""

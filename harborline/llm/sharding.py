@@ -84,5 +84,15 @@ def shard_by_bytes(
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Writes the documents as Parquet, one folder for each shard; keys must be unique and not null."""
+    """Writes the documents as Parquet, one folder for each shard, with the columns shard and slot.
+
+    Keys must be unique and not null, as a row is found by its key, and docs must have no such columns: a key that is
+    null or comes twice stops the job before anything is written. Null and empty texts are rows like any other;
+    an empty table gives an empty folder.
+    """
+    clash = {"shard", "slot"} & {c.lower() for c in docs.columns}
+    if clash:
+        raise ValueError(f"the documents have columns named {sorted(clash)} themselves")
+    if docs.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).limit(1).count():
+        raise ValueError(f"{key} is null or repeated")
     docs.join(placed.select(key, "shard", "slot"), key).write.partitionBy("shard").parquet(path)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.common import BitSieve, cut_lineage, pieces, subset
+from harborline.llm.common import BitSieve, cut_lineage, pieces, subset, unused
 from harborline.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -219,15 +219,17 @@ def keep_least(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> Data
     """Of each class (key and component of each row) the row of the smallest key, with all its columns.
 
     Of rows that repeat this key one stays. Rows with a null key cannot be named and are passed on. Only rows
-    that may have to go (and few others, see BitSieve) move to where this is decided.
+    that may have to go (and few others, see BitSieve) move to where this is decided. Other columns come through as
+    they are, whatever their names; an empty table stays empty.
     """
+    mark, own, rows_of, least = (unused(docs, name) for name in ("mark", "own", "rows_of", "least"))
     counted = cut_lineage(
-        classes.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key"))
-        .agg(F.count("*").alias("__rows"), F.min("component").alias("__least"))
-        .where((F.col("__rows") > 1) | (F.col("__key") != F.col("__least")))
+        classes.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(own))
+        .agg(F.count("*").alias(rows_of), F.min("component").alias(least))
+        .where((F.col(rows_of) > 1) | (F.col(own) != F.col(least)))
     )
-    sieve = BitSieve(counted.select(F.xxhash64("__key").alias("h")), "h")
-    rows = docs.withColumn("__hash", F.xxhash64(F.col(key).cast("long")))
+    sieve = BitSieve(counted.select(F.xxhash64(own).alias("h")), "h")
+    rows = docs.select("*", F.xxhash64(F.col(key).cast("long")).alias(mark))
 
     def sift(taken: bool):
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +241,7 @@ def keep_least(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> Data
 
     names = docs.columns
     clean = rows.mapInArrow(sift(False), rows.schema).select(*names)
-    maybe = rows.mapInArrow(sift(True), rows.schema).join(counted, F.col(key) == F.col("__key"), "left")
-    stay = maybe.where(F.col("__key").isNull()).select(*names)
-    repeated = maybe.where((F.col("__key") == F.col("__least")) & (F.col("__rows") > 1)).dropDuplicates(["__key"]).select(*names)
+    maybe = rows.mapInArrow(sift(True), rows.schema).join(counted, F.col(key) == F.col(own), "left")
+    stay = maybe.where(F.col(own).isNull()).select(*names)
+    repeated = maybe.where((F.col(own) == F.col(least)) & (F.col(rows_of) > 1)).dropDuplicates([own]).select(*names)
     return clean.unionByName(stay).unionByName(repeated)

@@ -401,7 +401,11 @@ def toxicity_scores(
 def drop_toxic(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = THRESHOLD
 ) -> DataFrame:
-    """The rows that score below the threshold, with all their columns; rows stay in their tasks."""
+    """The rows that score below the threshold, with all their columns; rows stay in their tasks.
+
+    Null and empty texts score as in toxicity_scores and stay or go by that; repeated rows share their fate; null keys
+    only mean that no label is theirs. Other columns come through whatever their names; an empty table stays empty.
+    """
     scorer = fit(docs, labels, key, text, label)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

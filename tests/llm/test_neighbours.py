@@ -92,3 +92,11 @@ def test_query_on_the_table(spark, sf_small):
     got = {(r.query_id, r.vec_id) for r in rows}
     exact = {(k, v) for k, near in want.items() for v, _ in near}
     assert len(got & exact) / len(exact) > 0.9
+
+
+def test_a_column_named_as_the_operators_own(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, [float(i), 1.0], i, "v") for i in range(20)], "vec_id long, embedding array<double>, __asks int, asks string")
+    rows = n.nearest(df, F.col("vec_id") % 10 == 0, 3).collect()
+    assert {r.query_id for r in rows} == {0, 10} and len(rows) == 6

@@ -54,3 +54,13 @@ def test_query_and_files(spark, sf_small, tmp_path):
     check(rows.collect(), [(r.doc_id, r.text) for r in docs.collect()], 24)
     s.write_shards(docs, rows, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
+
+
+@pytest.mark.parametrize("docs", [[(1, "a"), (1, "b")], [(None, "a"), (2, "b")]])
+def test_keys_that_name_no_row_stop_the_files(spark, tmp_path, docs):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    with pytest.raises(ValueError):
+        s.write_shards(df, s.shard_by_bytes(df, 2), str(tmp_path / "out"))
+    with pytest.raises(ValueError):
+        s.write_shards(df.withColumnRenamed("text", "Shard"), df, str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()

@@ -105,3 +105,12 @@ def test_query_on_the_table(spark, sf_small):
     assert [rows[k].fingerprint for k, _ in docs] == [f"{m:016x}" for m in marks]
     assert same_split([rows[k].component_id for k, _ in docs], classes(marks))
     assert all(r.component_id <= k for k, r in rows.items())
+
+
+def test_columns_named_as_the_operator_names_its_own(spark):
+    df = spark.createDataFrame([(1, "a b c d", 7, 8, 9, 10, "x"), (2, "a b c d", 1, 2, 3, 4, "y")],
+                               "doc_id long, text string, __hash int, __key int, own int, least int, mark string")
+    (row,) = s.keep_one(df).collect()
+    assert tuple(row) == (1, "a b c d", 7, 8, 9, 10, "x")
+    clash = df.withColumnRenamed("__key", "OWN_").withColumnRenamed("__hash", "Rows_Of")
+    assert tuple(s.keep_one(clash).first()) == tuple(row) and s.keep_one(clash).columns == clash.columns
