@@ -107,7 +107,7 @@ class BitSieve:
         table = words.toArrow()
         word = table["word"].to_numpy().astype(np.int64)
         bits = table["bits"].to_numpy().astype(np.int64).view(np.uint64)
-        count = int(np.bitwise_count(bits).sum())
+        self.count = count = int(np.bitwise_count(bits).sum())  # places that keys take
         self.bits = min(self.BITS, max(12, (64 * count).bit_length()))
         sieve = np.zeros(1 << (self.bits - 6), np.uint64)
         for bit in range(64):  # fewer bits: neighbouring places become one

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from harborline.llm.common import BitSieve, cut_lineage, pieces, subset, unused
 from harborline.llm.components import components
+from harborline.llm.words import mix
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -20,8 +21,8 @@ DISTANCE = 3
 #: segments must agree, its first 10 may differ in one bit, its first 15 in two and all 16 in three.
 SEGMENT_BITS, SEGMENTS = 4, 16
 CHAIN = ((5, 0), (10, 1), (15, 2), (16, 3))
-#: From so many fingerprints on, keys also take in the 6th to 10th segment less one.
-WIDE_FROM = 1 << 25
+#: A bucket with more fingerprints than this is split by further segments of the ring.
+SPLIT = 2048
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -67,20 +68,55 @@ def _rotate(marks: np.ndarray, bits: int) -> np.ndarray:
     return marks if bits == 0 else (marks << np.uint64(bits)) | (marks >> np.uint64(64 - bits))
 
 
-def candidate_keys(marks: np.ndarray, wide: bool) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(start, variant, key) for each start on the ring: fingerprints of a viable chain share a key.
+def _masks() -> list[list[int]]:
+    """Which bits of a turned fingerprint make its key, for each of three levels of splitting.
 
-    Narrow: the 5 segments that must agree. Wide: of the next 5 at most one differs, so with each of them
-    left out in turn, the other 9 agree for one of the variants.
+    A viable chain agrees in its first 5 segments. Of the next 5 at most one differs, so with each of them left out in
+    turn, the others agree for one of 5 variants. Of the 5 after them and those at most two differ, at most one
+    of them among the former: 35 variants, whose 13 segments leave 12 bits to differ.
+    """
+
+    def bits(segments) -> int:
+        return sum(0xF << (64 - SEGMENT_BITS * (i + 1)) for i in segments)
+
+    second = [bits(set(range(10)) - {i}) for i in range(5, 10)]
+    left_out = [(i, j) for j in range(10, 15) for i in range(5, j)]
+    third = [bits(set(range(15)) - set(pair)) for pair in left_out]
+    return [[bits(range(5))], second, third]
+
+
+MASKS = _masks()
+
+
+def bucket_of(turned: np.ndarray, start: int, mask: int) -> np.ndarray:
+    """A number for the start and the masked bits, the start in its last 4 bits; a rare collision joins two buckets
+    of one start, which costs comparisons and finds no false link."""
+    mixed = mix((turned & np.uint64(mask)) ^ mix(np.full(1, mask ^ start, np.uint64)))
+    return (mixed & ~np.uint64(0xF)) | np.uint64(start)
+
+
+def candidate_buckets(marks: np.ndarray, crowded: Sequence[Callable[[np.ndarray], np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, marks) for each start on the ring: fingerprints of a viable chain share a bucket.
+
+    `crowded` tells for one level after the other which buckets are too full; their fingerprints go to
+    the buckets of the next level instead, all of them.
     """
     for start in range(SEGMENTS):
-        turned = _rotate(marks, start * SEGMENT_BITS)
-        if not wide:
-            yield start, 0, turned >> np.uint64(44)
-            continue
-        for out in range(5):
-            mask = ((1 << 40) - 1) ^ (0xF << (4 * out))
-            yield start, out, (turned >> np.uint64(24)) & np.uint64(mask)
+        rows = [(np.arange(len(marks)), _rotate(marks, start * SEGMENT_BITS))]
+        for level, masks in enumerate(MASKS):
+            following = []
+            for at, turned in rows:
+                for mask in masks:
+                    bucket = bucket_of(turned, start, mask)
+                    full = crowded[level](bucket) if level < len(crowded) else np.zeros(len(bucket), bool)
+                    yield bucket[~full], marks[at[~full]]
+                    if full.any():
+                        following.append((at[full], turned[full]))
+            if not following:
+                break
+            # One fingerprint may come from several full buckets of a level; one is enough.
+            at = np.unique(np.concatenate([x for x, _ in following]))
+            rows = [(at, _rotate(marks[at], start * SEGMENT_BITS))]
 
 
 def _chain_holds(a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -132,32 +168,42 @@ def _links_of(bucket: np.ndarray, start: np.ndarray, marks: np.ndarray, distance
     return marks[child], marks[root[child]]
 
 
-def near_links(marks: DataFrame, distance: int = DISTANCE, wide: bool | None = None) -> DataFrame:
+def near_links(marks: DataFrame, distance: int = DISTANCE, split: int = SPLIT) -> DataFrame:
     """Links between different fingerprints (column fp, distinct) at most `distance` bits apart.
 
     Not all pairs: within each bucket a forest of links that joins the same fingerprints as all its
-    links would, so rows stay below the number of keys. Buckets hold different fingerprints only;
-    copies have been folded before. Returns a, b (long, a > b in bucket order).
+    links would, so rows stay below the number of keys. Buckets hold different fingerprints only; copies have been
+    folded before. Buckets are counted first, and those with more than `split` fingerprints are dealt out by
+    further segments before any row moves, and once more where that is not enough; then 52 of 64 bits are
+    the same, so no bucket that a task holds has more than 4,096. Returns a, b (long, a > b in bucket order).
     """
     if distance > DISTANCE:
         raise ValueError(f"the ring's budget is {DISTANCE} bits")
-    if wide is None:
-        wide = marks.count() >= WIDE_FROM
+    crowded: list[BitSieve] = []
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for start, variant, key in candidate_keys(own.view(np.uint64), wide):
-                bucket = (key << np.uint64(7)) | np.uint64(start * 5 + variant)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(own)], ["bucket", "fp"])
+    def spread(*columns: str):
+        passes = [sieve.passes for sieve in crowded]
+
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                for bucket, mark in candidate_buckets(own.view(np.uint64), [lambda b, p=p: p(b.view(np.int64)) for p in passes]):
+                    found = {"bucket": bucket, "fp": mark}
+                    yield pa.RecordBatch.from_arrays([pa.array(found[c].view(np.int64)) for c in columns], list(columns))
+
+        return marks.select("fp").mapInArrow(emit, ", ".join(f"{c} long" for c in columns))
+
+    for _ in MASKS[:-1]:
+        sieve = BitSieve(spread("bucket").groupBy("bucket").count().where(F.col("count") > split), "bucket")
+        if not sieve.count:
+            break
+        crowded.append(sieve)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def close(rows: np.ndarray) -> pa.RecordBatch:
-            start = (rows[0] & 127) // 5
+            start = rows[0] & 0xF
             a, b = _links_of(rows[0], start, rows[1].view(np.uint64), distance)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
@@ -174,8 +220,7 @@ def near_links(marks: DataFrame, distance: int = DISTANCE, wide: bool | None = N
         if held:
             yield close(np.concatenate(held, axis=1))
 
-    keyed = marks.select("fp").mapInArrow(emit, "bucket long, fp long")
-    dealt = keyed.repartition("bucket").sortWithinPartitions("bucket")
+    dealt = spread("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(link, "a long, b long").distinct()
 
 
@@ -185,7 +230,6 @@ def near_classes(
     distance: int = DISTANCE,
     key: str = "doc_id",
     text: str = "text",
-    wide: bool | None = None,
 ) -> DataFrame:
     """Key, fp and component of each row: the smallest key that links of at most `distance` bits reach.
 
@@ -197,7 +241,7 @@ def near_classes(
     """
     marked = cut_lineage(fingerprints(docs, shingle_words, key, text))
     folded = cut_lineage(marked.groupBy("fp").agg(F.min("key").alias("least")))
-    links = near_links(folded, distance, wide)
+    links = near_links(folded, distance)
     roots = components(links)
     # Only linked fingerprints are in `roots`; the others are classes of their own.
     named = folded.join(roots, folded.fp == roots.node, "left").select(

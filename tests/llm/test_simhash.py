@@ -38,8 +38,8 @@ def same_split(a, b):
     return len(set(zip(a, b))) == len(set(a)) == len(set(b))
 
 
-@pytest.mark.parametrize("wide", [False, True])
-def test_links_join_what_all_pairs_join(spark, wide):
+@pytest.mark.parametrize("split", [s.SPLIT, 30, 2, 0])
+def test_links_join_what_all_pairs_join(spark, split):
     rng = random.Random(7)
     marks = {0, 2**64 - 1}
     for _ in range(120):
@@ -50,7 +50,7 @@ def test_links_join_what_all_pairs_join(spark, wide):
                 centre ^= 1 << b
     marks = sorted(marks)
     frame = spark.createDataFrame([(int(np.uint64(m).view(np.int64)),) for m in marks], "fp long").repartition(5)
-    links = s.near_links(frame, wide=wide)
+    links = s.near_links(frame, split=split)
     rows = links.collect()
     assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 12 for a, b in rows)
     at = {int(np.uint64(m).view(np.int64)): i for i, m in enumerate(marks)}
@@ -114,3 +114,44 @@ def test_columns_named_as_the_operator_names_its_own(spark):
     assert tuple(row) == (1, "a b c d", 7, 8, 9, 10, "x")
     clash = df.withColumnRenamed("__key", "OWN_").withColumnRenamed("__hash", "Rows_Of")
     assert tuple(s.keep_one(clash).first()) == tuple(row) and s.keep_one(clash).columns == clash.columns
+
+
+def test_masks_share_a_key_for_every_viable_pair():
+    """Any two fingerprints at most three bits apart meet in a bucket of each level for some start."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a = np.uint64(rng.integers(0, 2**63))
+        b = a
+        for bit in rng.choice(64, rng.integers(0, 4), replace=False):
+            b ^= np.uint64(1) << np.uint64(bit)
+        marks = np.array([a, b])
+        for level in range(3):
+            crowded = [lambda x: np.ones(len(x), bool)] * level
+            met = False
+            for bucket, own in s.candidate_buckets(marks, crowded):
+                both = [set(bucket[own == m].tolist()) for m in (a, b)]
+                met = met or bool(both[0] & both[1])
+            assert met
+
+
+def test_a_hot_key_is_split_before_rows_move(spark, monkeypatch):
+    """100,000 different fingerprints with the same first 20 bits."""
+    rng = np.random.default_rng(5)
+    marks = np.unique((np.uint64(0xABCDE) << np.uint64(44)) | rng.integers(0, 2**44, 100_000, dtype=np.uint64))
+    close = marks[:500] ^ np.uint64(5)
+    marks = np.unique(np.concatenate([marks, close]))
+    frame = spark.createDataFrame([(int(m),) for m in marks.view(np.int64)], "fp long").repartition(4)
+    real, most = s._links_of, s.SPLIT
+
+    def watched(bucket, start, own, distance):
+        if np.unique(bucket, return_counts=True)[1].max() > most:
+            raise ValueError("a task holds a crowded bucket")
+        return real(bucket, start, own, distance)
+
+    monkeypatch.setattr(s, "_links_of", watched)
+    with pytest.raises(Exception, match="crowded"):
+        s.near_links(frame, split=10**9).count()
+    links = {frozenset(map(int, r)) for r in s.near_links(frame).collect()}
+    roots = {r.node: r.root for r in s.components(spark.createDataFrame([tuple(x) for x in links], "a long, b long")).collect()}
+    one, two = (x.view(np.int64).tolist() for x in (close, close ^ np.uint64(5)))
+    assert all(roots.get(a, a) == roots.get(b, b) for a, b in zip(one, two))
