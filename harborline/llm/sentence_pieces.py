@@ -247,8 +247,9 @@ def encode_texts(
     ids (binary) are packed as little-endian unsigned 32-bit integers, with the begin and end ids where asked;
     n_tokens (long) counts all of them; decoded (string) is their text, which differs from the input only in that
     a mark for a blank becomes a blank. With `check`, each slice of an Arrow batch also goes through the
-    sentencepiece library: every segment that the agenda encoded anew for its ids, and all ids for their text. agrees
-    (boolean) says whether the library gave the same for all of a text; without `check` it is null.
+    sentencepiece library: every segment that the agenda encoded anew, for its ids and for what they decode to. agrees
+    (boolean) says whether all segments of a text came out the same there, and its ids decoded to the text they stand
+    for; without `check` it is null.
 
     Rows don't move; the vocabulary goes to the tasks as a broadcast of its own size. A text is cut where no
     piece can reach across, so memory follows the text and not its pairs; a stretch without any such place
@@ -265,7 +266,7 @@ def encode_texts(
                 texts = [x or "" for x in piece.column(1).to_pylist()]
                 ids = [coder.encode(x, begin, end) for x in texts]
                 decoded = [coder.decode(x) for x in ids]
-                agrees = library.agrees(texts, ids, decoded) if check else [None] * len(texts)
+                agrees = library.agrees(texts, decoded) if check else [None] * len(texts)
                 coder.fresh = []
                 columns = [
                     piece.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()),
@@ -305,15 +306,17 @@ class Library:
         self.lead = len(self.processor.encode(self.alone))
         self.differing: set[str] = set()
 
-    def agrees(self, texts: Sequence[str], ids: Sequence[bytes], decoded: Sequence[str]) -> list[bool]:
-        """Whether all segments of each text have the library's ids, and its ids the library's text."""
-        fresh = self.coder.fresh
-        own = self.processor.encode([self.alone + segment for segment, _ in fresh], num_threads=1)
+    def agrees(self, texts: Sequence[str], decoded: Sequence[str]) -> list[bool]:
+        """Whether all segments of each text have the library's ids, and its ids and the coder's the same text back."""
+        fresh, alone = self.coder.fresh, self.alone
+        own = self.processor.encode([alone + segment for segment, _ in fresh], num_threads=1)
+        back = self.processor.decode(own, num_threads=1)
         self.differing |= {
-            segment for (segment, packed), x in zip(fresh, own) if struct.pack(f"<{len(x) - self.lead}I", *x[self.lead :]) != packed
+            segment
+            for (segment, packed), x, text in zip(fresh, own, back)
+            if struct.pack(f"<{len(x) - self.lead}I", *x[self.lead :]) != packed or text != alone + segment.replace(BLANK, " ")
         }
-        back = self.processor.decode([np.frombuffer(x, "<u4").tolist() for x in ids], num_threads=1)
         return [
-            text == other and not (self.differing and not self.differing.isdisjoint(self.coder.cut(whole)))
-            for text, other, whole in zip(decoded, back, texts)
+            text == whole.replace(BLANK, " ") and not (self.differing and not self.differing.isdisjoint(self.coder.cut(whole)))
+            for text, whole in zip(decoded, texts)
         ]

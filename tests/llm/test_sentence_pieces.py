@@ -89,8 +89,8 @@ def test_a_difference_to_the_library_is_found(monkeypatch):
     true = coder.pieces.place["▁two"]
     coder.pieces.place["▁two"] = s.NO_PIECE
     ids = [coder.encode(x) for x in texts]
-    assert library.agrees(texts, ids, [coder.decode(x) for x in ids]) == [False, True, False]
-    assert library.agrees(["three"], ids[1:2], ["tree"]) == [False]
+    assert library.agrees(texts, [coder.decode(x) for x in ids]) == [False, True, False]
+    assert library.agrees(["three"], ["tree"]) == [False]
     coder.pieces.place["▁two"] = true
 
 
