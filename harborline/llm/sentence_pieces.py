@@ -5,10 +5,12 @@ Tasks need sentencepiece only where the result is checked against it.
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 from collections.abc import Iterable, Iterator, Sequence
 from heapq import heapify, heappop, heappush
+from itertools import repeat
 from operator import add
 
 import numpy as np
@@ -107,7 +109,7 @@ class Coder:
         if len(segment) > SHORT_SEGMENT:
             return self._merged_by_heap(segment)
         symbols, look = list(segment), self.pieces.place.get
-        agenda = [look(x, NO_PIECE) for x in map(add, segment, segment[1:])]
+        agenda = list(map(look, map(add, segment, segment[1:]), repeat(NO_PIECE)))
         while agenda and (best := min(agenda)) < NO_PIECE:
             at = agenda.index(best)
             symbol = symbols[at] = symbols[at] + symbols.pop(at + 1)
@@ -261,6 +263,7 @@ def encode_texts(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(held.value)
         library = Library(coder) if check else None
+        gc.disable()  # nothing here refers back to itself, and the stores of segments are large to walk
         for batch in batches:
             for piece in pieces(batch):
                 texts = [x or "" for x in piece.column(1).to_pylist()]
