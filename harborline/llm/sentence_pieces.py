@@ -10,7 +10,7 @@ import re
 import struct
 from collections.abc import Iterable, Iterator, Sequence
 from heapq import heapify, heappop, heappush
-from itertools import repeat
+from itertools import chain, repeat
 from operator import add
 
 import numpy as np
@@ -31,6 +31,8 @@ HELD_SEGMENTS, HELD_LENGTH = 200_000, 64
 LONG_TEXT = 1 << 20
 #: Characters up to which a segment's agenda is a list, and the place of a pair that is no piece.
 SHORT_SEGMENT, NO_PIECE = 40, 1 << 62
+#: The same in an agenda over many segments, whose entries hold the place above so many bits for the symbol.
+NO_PLACE, PLACE_SHIFT = 1 << 30, 32
 #: Bits that number the symbols of a segment within an entry of the agenda.
 SYMBOL_BITS = 40
 SYMBOL_MASK = (1 << SYMBOL_BITS) - 1
@@ -79,6 +81,79 @@ class Pieces:
         self.segment = "|".join(branches)
         # A character that stands alone wherever it stands: what follows it is cut as if the text began there.
         self.alone = next(c for c in map(chr, range(0xE000, 0xF900)) if c not in joining)
+        self.pairs = PairTable(sorted(joining), self.place, self.id_of)
+
+
+class PairTable:
+    """All pairs of symbols that are pieces, by number: what an agenda over many segments at once looks up.
+
+    A symbol is a character of some piece or a piece, so the pairs are the ways to cut a piece into two such: as
+    many as the vocabulary has letters, at most.
+    """
+
+    def __init__(self, letters: Sequence[str], place: dict[str, int], id_of: dict[str, int]):
+        names = [*letters, *place]
+        number = {name: i for i, name in enumerate(names)}
+        self.names = len(names)
+        self.letter = np.full(0x110000, -1, np.int32)
+        self.letter[[ord(x) for x in letters]] = np.arange(len(letters))
+        self.id = np.array([id_of.get(name, -1) for name in names], np.int64)
+        cuts = ((name[:i], name[i:], name) for name in place for i in range(1, len(name)))
+        found = sorted((number[a] * self.names + number[b], place[whole], number[whole]) for a, b, whole in cuts if a in number and b in number)
+        self.key, self.place, self.whole = (np.array([x[i] for x in found], np.int64) for i in range(3))
+
+    def look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each pair, NO_PLACE for those that are no piece, and the symbol it becomes."""
+        if not len(self.key):
+            return np.full(len(left), NO_PLACE), np.zeros(len(left), np.int64)
+        wanted = left * np.int64(self.names) + right
+        at = np.minimum(self.key.searchsorted(wanted), len(self.key) - 1)
+        return np.where(self.key[at] == wanted, self.place[at], NO_PLACE), self.whole[at]
+
+    def merged(self, segments: Sequence[str]) -> list[bytes | None]:
+        """The packed ids of each segment, None where a character is no piece and has to be spelt in bytes.
+
+        Each segment has its own agenda, the places of its adjacent pairs in a row; all are worked off side by side. A
+        round merges the best pair of each, of equal ones the leftmost, and looks its new neighbours up; segments
+        without any pair left drop out.
+        """
+        size = np.fromiter(map(len, segments), np.int64, len(segments))
+        symbol = self.letter[np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)].astype(np.int64)
+        begin = np.cumsum(size) - size  # where a segment's symbols lie at first, and its last ones in the end
+        last, left = np.full(len(symbol), -1, np.int64), np.zeros(len(segments), np.int64)
+        known = np.ones(len(segments), bool)
+        known[np.repeat(np.arange(len(segments)), size)[symbol < 0]] = False
+        which = np.flatnonzero(known)
+        symbol = symbol[np.repeat(known, size)]
+        start = np.cumsum(size[which]) - size[which]
+        place, whole = self.look(symbol, np.append(symbol[1:], 0))
+        place[start[1:] - 1] = NO_PLACE
+        place[-1:] = NO_PLACE
+        while len(which):
+            best = np.minimum.reduceat(place << PLACE_SHIFT | np.arange(len(place)), start)
+            length = np.diff(start, append=len(symbol))
+            live = best < NO_PLACE << PLACE_SHIFT
+            keep = np.repeat(live, length)
+            if not live.all():
+                done = which[~live]
+                left[done] = length[~live]
+                to = np.repeat(begin[done] - (np.cumsum(left[done]) - left[done]), left[done]) + np.arange(left[done].sum())
+                last[to] = symbol[~keep]
+            at = best[live] & (1 << PLACE_SHIFT) - 1
+            symbol[at] = whole[at]
+            place[at] = np.where(at + 1 == (start + length)[live] - 1, NO_PLACE, place[at])
+            keep[at + 1] = False
+            at = np.cumsum(keep)[at] - 1
+            symbol, place, whole, which = symbol[keep], place[keep], whole[keep], which[live]
+            length = length[live] - 1
+            start = np.cumsum(length) - length
+            for near in (at[at + 1 < start + length], at[at > start] - 1):
+                place[near], whole[near] = self.look(symbol[near], symbol[near + 1])
+        ids = np.where(last >= 0, self.id[last], 0)
+        known[np.repeat(np.arange(len(segments)), size)[ids < 0]] = False
+        packed = ids.astype("<u4").tobytes()
+        ends = begin + left
+        return [packed[4 * a : 4 * b] if k else None for a, b, k in zip(begin.tolist(), ends.tolist(), known.tolist())]
 
 
 class Coder:
@@ -187,6 +262,28 @@ class Coder:
             parts.append(struct.pack("<I", self.pieces.end))
         return b"".join(parts)
 
+    def encode_all(self, texts: Sequence[str], begin: bool = True, end: bool = True) -> list[bytes]:
+        """The packed ids of each text; what none of them met before is encoded side by side."""
+        if len(self.held) >= HELD_SEGMENTS:
+            self.older, self.held = self.held, {}
+        held, older = self.held, self.older
+        cuts = [self.cut(x) if len(x) <= LONG_TEXT else None for x in texts]
+        missing = set(chain.from_iterable(x for x in cuts if x)).difference(held)
+        held |= {x: older[x] for x in missing if x in older}
+        new = [x for x in missing if x not in held]
+        short = [x for x in new if len(x) <= SHORT_SEGMENT]
+        ids = dict(zip(short, self.pieces.pairs.merged(short))) if short else {}
+        ids |= {x: self._ids(x) for x in new if ids.get(x) is None}
+        held |= ids
+        self.fresh += ids.items()
+        lead = struct.pack("<I", self.pieces.begin) if begin else b""
+        tail = struct.pack("<I", self.pieces.end) if end else b""
+        out = [None if x is None else lead + b"".join(map(held.__getitem__, x)) + tail for x in cuts]
+        for x in ids:
+            if len(x) > HELD_LENGTH:
+                del held[x]
+        return [self.encode(x, begin, end) if y is None else y for x, y in zip(texts, out)]
+
     def decode(self, ids: bytes) -> str:
         """The text of packed ids; bytes that form no character become replacement characters, one each."""
         numbers = np.frombuffer(ids, "<u4")
@@ -267,7 +364,7 @@ def encode_texts(
         for batch in batches:
             for piece in pieces(batch):
                 texts = [x or "" for x in piece.column(1).to_pylist()]
-                ids = [coder.encode(x, begin, end) for x in texts]
+                ids = coder.encode_all(texts, begin, end)
                 decoded = [coder.decode(x) for x in ids]
                 agrees = library.agrees(texts, decoded) if check else [None] * len(texts)
                 coder.fresh = []

@@ -146,3 +146,16 @@ def test_query_on_the_table(spark, sf_small, library):
         assert r.agrees and r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_agendas_side_by_side_equal_single_ones():
+    vocabulary = s.read_pieces(PATH)
+    rng = random.Random(11)
+    letters = "aeinorstlu  \n\t é世ß▁🙂\x00ABq.,-'"
+    texts = ["", " ", "a", "aaaaaaaaaaaaaaaa", "x" * 41, "🙂", *("".join(rng.choices(letters, k=rng.randint(0, 90))) for _ in range(600))]
+    coder = s.Coder(vocabulary)
+    got = [y for i in range(0, len(texts), 37) for y in coder.encode_all(texts[i : i + 37])]
+    single = s.Coder(vocabulary)
+    assert got == [single.encode(x) for x in texts]
+    assert coder.encode_all([]) == [] and coder.encode_all(texts, False, False) == [x[4:-4] for x in got]
+    assert all(len(x) <= s.HELD_LENGTH for x in coder.held)
