@@ -41,11 +41,11 @@ def held_out(key: Column) -> Column:
 
 @dataclass
 class Counts:
-    """What the labelled texts hold, for the toxic (1) and the ordinary (0) class.
+    """What the texts hold, those labelled by class: toxic (1) or ordinary (0).
 
-    A text counts a pair once, however often it repeats it. word: texts, once for each word that stands before it
-    there; pair: texts, of pairs seen twice or more; kinds: different pairs that a word begins, in each class;
-    before: different words before a word, in both classes together, which is what both back off to.
+    A text counts a pair once, however often it repeats it. word: labelled texts, once for each word that stands before
+    it there; pair: labelled texts, of pairs seen twice or more; kinds: different pairs that a word begins, in each
+    class; before: different words before a word, in all texts, labelled or not, which is what both classes back off to.
     """
 
     word: np.ndarray
@@ -122,10 +122,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_pairs(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, key: str, text: str) -> Counts:
-    """Counts over the texts of the given ids, whose order is ascending.
+    """Counts over all texts; those of the given ids, whose order is ascending, count for their class.
 
-    Tasks fold their own pairs before the shuffle; after it each partition adds up its pairs in tables of fixed
-    size and passes on what isn't 0, packed.
+    Tasks fold their own pairs before the shuffle, which therefore grows with the corpus; after it each partition
+    adds up its pairs in tables of fixed size and passes on what isn't 0, packed.
     """
     held = docs.sparkSession.sparkContext.broadcast((ids, toxic))
     most = 1 << 21
@@ -141,11 +141,8 @@ def count_pairs(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, key: str, t
             return pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), *map(pa.array, counts)], ["pair", "t", "o"])
 
         for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            rows, at = _taken(batch, ids)
-            label, done = toxic[at], 0
-            for piece in pieces(rows):
+            label, done = _told(batch, ids, toxic), 0
+            for piece in pieces(batch):
                 _, _, pair, first = _cells(piece.column(1))
                 row = np.repeat(np.arange(piece.num_rows), np.diff(first))
                 once = _once(pair, row)
@@ -190,9 +187,9 @@ class Models:
     """Two interpolated Kneser-Ney models over words and pairs, on shared backoff counts.
 
     P(w | u) = max(c(u w) - D, 0) / c(u) + g(u) P(w) and P(w) = max(c(w) - D, 0) / N + g S(w) with the counts and discount of
-    one class. S, the share of different pairs that end in w, and the weights g that the discounts free come
-    from both classes together: where neither class has more than its discount of an expression, both fall back
-    on the same, and it says nothing for or against either.
+    one class. S, the share of different pairs that end in w, comes from all texts, labelled or not, and the weights g
+    that the discounts free from both classes together: where neither class has more than its discount of an
+    expression, both fall back on the same, and it says nothing for or against either.
     """
 
     def __init__(self, counts: Counts):
@@ -285,12 +282,15 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return subset(docs, key, text).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
 
 
-def _taken(batch: pa.RecordBatch, ids: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
-    """The rows whose key is one of ids (ascending), and where each stands there."""
-    keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-    at = np.minimum(np.searchsorted(ids, keys), len(ids) - 1)
-    taken = (ids[at] == keys) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-    return batch.filter(pa.array(taken)), at[taken]
+def _told(batch: pa.RecordBatch, ids: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The class of each row, -1 for those whose key is none of ids (ascending)."""
+    out = np.full(batch.num_rows, -1, np.int8)
+    if len(ids) and batch.num_rows:
+        keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(ids, keys), len(ids) - 1)
+        known = (ids[at] == keys) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+        out[known] = toxic[at[known]]
+    return out
 
 
 def _sample_features(
@@ -303,12 +303,10 @@ def _sample_features(
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, y = held.value
         for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            rows, at = _taken(batch, ids)
-            done = 0
+            label, done = _told(batch, ids, y), 0
+            label, rows = label[label >= 0], batch.filter(pa.array(label >= 0))
             for piece in pieces(rows):
-                own = y[at[done : done + piece.num_rows]].astype(float)
+                own = label[done : done + piece.num_rows].astype(float)
                 done += piece.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array(own), *map(pa.array, scorer.measured(piece.column(1)))], ["y", *names])
 
@@ -343,7 +341,8 @@ def fit(
 ) -> Scorer:
     """Models and scale from the labels of rows whose crc32 of the key as text, modulo 4, is not 2.
 
-    The class counts and those they share come from four fifths of the labelled texts, the scale from the rest.
+    The class counts come from four fifths of the labelled texts, the scale from the rest, and the shared backoff
+    counts from all documents, whose labels play no part in them.
     """
     usable = (
         subset(labels, key, label)

@@ -1,9 +1,13 @@
 """Toxicity: held-out accuracy, features against plain loops, edge cases."""
 
+import math
+import pickle
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from harborline.llm import toxicity as t
@@ -90,6 +94,60 @@ def test_counts_are_once_a_text_and_of_all_texts(spark):
     assert counts.before.sum() == 4 and counts.pair.sum() == 120
 
 
+def brute_ratios(texts, told, asked):
+    """Log of toxic over ordinary likelihood of each pair asked for, by dictionaries of words."""
+    pairs = [{*zip(["", *x.lower().split()], x.lower().split())} for x in texts]
+    each = [Counter(p for i, own in enumerate(pairs) if told.get(i) == c for p in own) for c in (0, 1)]
+    word = [Counter() for _ in each]
+    kinds = [Counter(u for u, _ in own) for own in each]
+    for c in (0, 1):
+        for (_, w), n in each[c].items():
+            word[c][w] += n
+    before = Counter(w for _, w in set().union(*pairs))
+    every = Counter(word[0]) + Counter(word[1])
+    toxic, ordinary = t.DISCOUNTS[1], t.DISCOUNTS[0]
+    freed = sum(min(n, toxic) for n in every.values()) / max(sum(every.values()), 1) if every else 1.0
+    out = []
+    for u, w in asked:
+        shared = (before[w] + 0.5) / (sum(before.values()) + 0.5 * 2**t.WORD_BITS)
+        began = kinds[0][u] + kinds[1][u]
+        context = max(every[u], began)
+        weight = max(min(1.0, toxic * began / context) if context else 1.0, 0.05)
+        logs = []
+        for c, discount in ((0, ordinary), (1, toxic)):
+            alone = max(word[c][w] - discount, 0) / max(sum(word[c].values()), 1) + freed * shared
+            seen = each[0][u, w] + each[1][u, w] >= 2
+            own = max(each[c][u, w] - discount, 0) * seen / max(word[c][u], kinds[c][u], 1)
+            logs.append(math.log(min(own, 1.0) + weight * alone))
+        out.append(logs[1] - logs[0])
+    return out
+
+
+def test_probabilities_against_dictionaries(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeXYé", k=rng.randint(1, 6))) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(60)], k=rng.randint(0, 40))) for _ in range(300)]
+    told = {i: int(i % 3 == 0) for i in range(300) if i % 4 != 2}  # the others' texts are read without a label
+    ids = np.array(sorted(told))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    models = t.Models(t.count_pairs(df, ids, np.array([told[i] for i in ids]) > 0, "doc_id", "text"))
+    models = pickle.loads(pickle.dumps(models))
+    lower = str.maketrans("XY", "xy")
+    for text in texts[:80]:
+        word, before, pair, _ = t._cells(pa.array([text]))
+        own = text.translate(lower).split()
+        assert np.allclose(models.ratios(word, before, pair), brute_ratios(texts, told, list(zip(["", *own], own))), atol=1e-4)
+
+
+def test_texts_without_a_label_only_fill_the_shared_counts(spark):
+    df = spark.createDataFrame([(0, "a b"), (1, "c b"), (None, "d b"), (2, None)], "doc_id long, text string")
+    counts = t.count_pairs(df, np.array([0]), np.array([True]), "doc_id", "text")
+    assert counts.word[1].sum() == 2 and counts.word[0].sum() == 0 and counts.kinds.sum() == 2
+    assert counts.before.max() == 3 and counts.before.sum() == 6
+    none = t.count_pairs(df, np.zeros(0, np.int64), np.zeros(0, bool), "doc_id", "text")
+    assert none.word.sum() == 0 and none.before.sum() == 6
+
+
 def test_query_on_the_table(spark, sf_small):
     from harborline.llm import queries as q
 
