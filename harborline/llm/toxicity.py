@@ -121,24 +121,59 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pack(sums.items())
 
 
+def _summed(key: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, ascending, with their counts (a row for each class) added up."""
+    order = np.argsort(key, kind="stable")
+    key, counts = key[order], counts[:, order]
+    heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[heads], np.add.reduceat(counts, heads, axis=1) if len(key) else counts
+
+
+def _bundles(key: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Ascending keys by their highest bits: steps from one to the next in as few bytes as they take, and counts."""
+    shift = _U(64 - bits)
+    bucket = key >> shift
+    cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(key)]
+    rows = []
+    for begin, end in zip(cuts[:-1], cuts[1:]):
+        steps = np.diff(key[begin:end], prepend=bucket[begin] << shift)
+        size = max(1, -(-int(steps.max()).bit_length() // 8))
+        own = counts[:, begin:end]
+        packed = zlib.compress(own.astype("<i4").tobytes(), 1) if own.any() else b""
+        rows.append((int(bucket[begin]), size, steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes(), packed))
+    columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "size", "steps", "counts"])
+
+
+def _unbundled(bucket: int, size: int, steps: bytes, counts: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    wide = np.zeros((len(steps) // size, 8), np.uint8)
+    wide[:, :size] = np.frombuffer(steps, np.uint8).reshape(-1, size)
+    key = np.cumsum(wide.view("<u8").ravel(), dtype=_U) + (_U(bucket) << _U(64 - bits))
+    return key, np.frombuffer(zlib.decompress(counts), "<i4").reshape(2, -1) if counts else np.zeros((2, len(key)), np.int32)
+
+
 def count_pairs(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, key: str, text: str) -> Counts:
     """Counts over all texts; those of the given ids, whose order is ascending, count for their class.
 
-    Tasks fold their own pairs before the shuffle, which therefore grows with the corpus; after it each partition
-    adds up its pairs in tables of fixed size and passes on what isn't 0, packed.
+    Tasks fold their own pairs and send them on in bundles, dealt by the mixed bits of a pair's hash over as many
+    buckets as there are shuffle partitions, so no word is hot. What is shuffled grows with the different pairs of
+    the corpus. A bucket's pairs are folded once more, each then counted once in tables of fixed size, of which what isn't 0 is
+    passed on, packed.
     """
-    held = docs.sparkSession.sparkContext.broadcast((ids, toxic))
-    most = 1 << 21
+    session = docs.sparkSession
+    held = session.sparkContext.broadcast((ids, toxic))
+    bits = max(1, (int(session.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    most, mixed = 1 << 21, 23
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, toxic = held.value
         waiting, size = [], 0
 
         def folded() -> pa.RecordBatch:
-            pair, at = np.unique(np.concatenate([w[0] for w in waiting]), return_inverse=True)
-            label = np.concatenate([w[1] for w in waiting])
-            counts = [np.bincount(at, weights=label == c, minlength=len(pair)).astype(np.int32) for c in (1, 0)]
-            return pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), *map(pa.array, counts)], ["pair", "t", "o"])
+            pair, label = (np.concatenate([w[i] for w in waiting]) for i in (0, 1))
+            # The pair's mixed bits first, so that its buckets are even.
+            turned = pair << _U(64 - mixed) | pair >> _U(mixed)
+            return _bundles(*_summed(turned, np.stack([label == 0, label == 1]).astype(np.int32)), bits)
 
         for batch in batches:
             label, done = _told(batch, ids, toxic), 0
@@ -157,11 +192,27 @@ def count_pairs(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, key: str, t
             yield folded()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Bundles come by bucket."""
         sums = Counts.empty()
-        for batch in batches:
-            pair = batch.column(0).to_numpy().view(np.uint64)
-            counts = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 1)]).astype(np.int64)  # o, t
-            word = ((pair >> _U(23)) & _U(_WORDS - 1)).astype(np.int64)
+        waiting, done, size = [], [], 0
+
+        def close() -> None:
+            nonlocal waiting, size
+            if waiting:
+                done.append(_summed(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting], axis=1)))
+                size += len(done[-1][0])
+                waiting = []
+
+        def tabulate() -> None:
+            nonlocal done, size
+            if not done:
+                return
+            turned, counts = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done], axis=1)
+            pair = turned << _U(mixed) | turned >> _U(64 - mixed)
+            word = ((pair >> _U(mixed)) & _U(_WORDS - 1)).astype(np.int64)
+            sums.before += np.bincount(word, minlength=_WORDS)
+            known = counts.any(axis=0)
+            pair, word, counts = pair[known], word[known], counts[:, known]
             before = (pair >> _U(43)).astype(np.int64)
             often = counts.sum(0) >= 2
             cell = _pair_cell(pair[often])
@@ -169,13 +220,26 @@ def count_pairs(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, key: str, t
                 sums.word[c] += np.bincount(word, counts[c], _WORDS).astype(np.int64)
                 sums.kinds[c] += np.bincount(before, counts[c] > 0, _WORDS).astype(np.int64)
                 sums.pair[c] += np.bincount(cell, counts[c][often], _PAIRS).astype(np.int64)
-            sums.before += np.bincount(word, minlength=_WORDS)
+            done, size = [], 0
+
+        last = None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] != last:
+                    close()
+                    last = row[0]
+                    if size >= most:
+                        tabulate()
+                waiting.append(_unbundled(*row, bits))
+        close()
+        tabulate()
         yield _pack(sums.stretches())
 
-    pairs = _keyed(docs, key, text).mapInArrow(own, "pair long, t int, o int").groupBy("pair").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    bundles = _keyed(docs, key, text).mapInArrow(own, "bucket long, size int, steps binary, counts binary")
     kind = "stretch int, places binary, amounts binary"
+    counted = bundles.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, kind)
     # A task sums each stretch, so the tables come to the driver once, whatever the number of partitions.
-    summed = pairs.mapInArrow(add, kind).repartition("stretch").mapInArrow(_merge, kind)
+    summed = counted.repartition("stretch").mapInArrow(_merge, kind)
     total = Counts.empty()
     stretches = dict(total.stretches())
     for row in summed.collect():

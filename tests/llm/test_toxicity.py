@@ -152,3 +152,15 @@ def test_query_on_the_table(spark, sf_small):
     from harborline.llm import queries as q
 
     assert q.op3_toxicity(spark, sf_small).count() == spark.read.parquet(f"{sf_small}/documents.parquet").count()
+
+
+def test_bundles_give_back_their_keys():
+    rng = np.random.default_rng(3)
+    for bits in (1, 5, 8):
+        key = np.concatenate([rng.integers(0, 2**63, 500).astype(np.uint64) * np.uint64(2), np.array([0, 2**64 - 1], np.uint64)])
+        key, counts = t._summed(np.concatenate([key, key[:200]]), rng.integers(0, 3, (2, len(key) + 200)).astype(np.int32) * (rng.random(len(key) + 200) < 0.1))
+        assert (key[1:] > key[:-1]).all()
+        rows = list(zip(*(c.to_pylist() for c in t._bundles(key, counts, bits).columns)))
+        back = [t._unbundled(*r, bits) for r in rows]
+        assert (np.concatenate([k for k, _ in back]) == key).all() and (np.concatenate([c for _, c in back], axis=1) == counts).all()
+        assert len(rows) == len(set(r[0] for r in rows)) and all((k >> np.uint64(64 - bits) == r[0]).all() for r, (k, _) in zip(rows, back))
