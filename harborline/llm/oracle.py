@@ -10,7 +10,13 @@ from harborline.llm import url_filter as u
 
 
 def op6_sql() -> str:
-    k = u.PRIOR_PAGES
+    def weight(bad: str, n: str, mean: str) -> str:
+        over = f"sum(power({bad} - {n} * {mean}, 2) - {n} * {mean} * (1 - {mean}))"
+        room = f"sum({n}::DOUBLE * ({n} - 1) * {mean} * (1 - {mean}))"
+        found = f"CASE WHEN {over} > 0 AND {room} > 0 THEN {room} / {over} - 1 ELSE {u.MOST_PRIOR} END"
+        return f"round(least(greatest({found}, {u.LEAST_PRIOR}), {u.MOST_PRIOR}), 6)::DOUBLE AS k"
+
+    shared = rf"regexp_matches(host, '[^.]\.({'|'.join(u.SHARED_LABELS)})\.[a-z]{{2}}$')"
     fits = {
         rule: "('.' || host) LIKE '%.{}' AND starts_with(path, '/{}')".format(*rule.split("/", 1)) for rule, _ in u.RULES
     }
@@ -26,21 +32,26 @@ WITH urls AS (
 outcomes AS (
   SELECT doc_id AS page_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad
   FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-hosts AS (
-  SELECT host, coalesce(sum(bad), 0) AS bad, count(bad) AS n,
-         array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix
+counted AS (
+  SELECT host, coalesce(sum(bad), 0) AS bad, count(bad) AS n, CASE WHEN {shared} THEN 2 ELSE 1 END AS wide
   FROM urls LEFT JOIN outcomes USING (page_id) GROUP BY host),
+hosts AS (
+  SELECT host, bad, n, array_to_string(list_slice(string_split(host, '.'), -wide - 1, -1), '.') AS domain,
+         array_to_string(list_slice(string_split(host, '.'), -wide, -1), '.') AS suffix
+  FROM counted),
 base AS (SELECT (coalesce(sum(bad), 0) + 1.0) / (coalesce(sum(n), 0) + 2.0)::DOUBLE AS base FROM hosts),
-suffixes AS (
-  SELECT suffix, (sum(bad) + {k}::DOUBLE * any_value(base)) / (sum(n) + {k}::DOUBLE) AS s_mean
-  FROM hosts, base GROUP BY suffix),
-domains AS (
-  SELECT domain, (sum(bad) + {k}::DOUBLE * any_value(s_mean)) / (sum(n) + {k}::DOUBLE) AS d_mean
-  FROM hosts JOIN suffixes USING (suffix) GROUP BY domain),
-posterior AS (
-  SELECT host, n, (bad + {k}::DOUBLE * d_mean) / (n + {k}::DOUBLE) AS mean FROM hosts JOIN domains USING (domain)),
+s_sums AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n, any_value(base) AS m FROM hosts, base GROUP BY suffix),
+s_weight AS (SELECT {weight("bad", "n", "m")} FROM s_sums),
+suffixes AS (SELECT suffix, (bad + k * m) / (n + k) AS s_mean FROM s_sums, s_weight),
+d_sums AS (
+  SELECT domain, sum(bad) AS bad, sum(n) AS n, any_value(s_mean) AS m FROM hosts JOIN suffixes USING (suffix) GROUP BY domain),
+d_weight AS (SELECT {weight("bad", "n", "m")} FROM d_sums),
+domains AS (SELECT domain, (bad + k * m) / (n + k) AS d_mean FROM d_sums, d_weight),
+h_sums AS (SELECT host, bad, n, d_mean AS m FROM hosts JOIN domains USING (domain)),
+h_weight AS (SELECT {weight("bad", "n", "m")} FROM h_sums),
+posterior AS (SELECT host, n, k, (bad + k * m) / (n + k) AS mean FROM h_sums, h_weight),
 bounds AS (
-  SELECT host, mean - {u.BOUND_DEVIATIONS} * sqrt(mean * (1 - mean) / (n + {k}::DOUBLE + 1)) AS low FROM posterior)
+  SELECT host, mean - {u.BOUND_DEVIATIONS} * sqrt(mean * (1 - mean) / (n + k + 1)) AS low FROM posterior)
 SELECT page_id, host, path, CASE {rule} END AS rule,
        CASE {verdict} WHEN low > {u.BAD_SHARE} THEN 'block' ELSE 'allow' END AS verdict
 FROM urls JOIN bounds USING (host)"""
