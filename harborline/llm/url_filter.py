@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.common import subset
+from harborline.llm.common import cut_lineage, subset
 
 BLOCK, ALLOW = "block", "allow"
 
@@ -90,6 +90,7 @@ def reputations(outcomes: DataFrame) -> DataFrame:
         F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"), F.count("bad").alias("n")
     )
     hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    hosts = cut_lineage(hosts)  # read at every level, and once more for each level's weight
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("d_bad"), F.sum("n").alias("d_n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("d_bad").alias("s_bad"), F.sum("d_n").alias("s_n"))
     whole = suffixes.agg(F.sum("s_bad").alias("w_bad"), F.sum("s_n").alias("w_n"))
